@@ -26,23 +26,29 @@ HISTORY_PREFIXES = (
 )
 PROMPT_SECTIONS = ("Long-Term Memory", "Documents", "Context")
 
+# What counts as blank at the ends of a string.
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 EMPTY_STRINGS = "array<string>"
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def lstrip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+", "")
+    return F.ltrim(col, F.lit(BLANKS))
 
 
 def rstrip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)\s+$", "")
+    return F.rtrim(col, F.lit(BLANKS))
 
 
 def strip_newlines(col: Column) -> Column:
-    return F.regexp_replace(col, r"^\n+|\n+$", "")
+    return F.btrim(col, F.lit("\n"))
 
 
 def collapse_ws(col: Column) -> Column:
@@ -116,8 +122,15 @@ def segments(col: Column) -> Column:
     )
 
 
+def content_lines(lines: Column) -> Column:
+    return F.filter(lines, lambda s: strip(s) != "")
+
+
 def looks_like_list(lines: Column) -> Column:
-    content = F.filter(lines, lambda s: strip(s) != "")
+    return _mostly_bullets(content_lines(lines))
+
+
+def _mostly_bullets(content: Column) -> Column:
     hits = F.size(F.filter(content, lambda s: s.rlike(BULLET)))
     need = F.greatest(F.lit(2), F.floor(F.size(content) * F.lit(0.6)).cast("int"))
     return (F.size(content) >= 2) & (hits >= need)
@@ -130,7 +143,7 @@ def strip_bullet(line: Column) -> Column:
 
 
 def list_items(lines: Column) -> Column:
-    return F.transform(F.filter(lines, lambda s: strip(s) != ""), strip_bullet)
+    return F.transform(content_lines(lines), strip_bullet)
 
 
 def split_fixed(col: Column, size: int = 1200, overlap: int = 120) -> Column:
@@ -280,51 +293,55 @@ def safe_name(col: Column, limit: int | None = None) -> Column:
 
 
 def blocks_from_text(col: Column) -> Column:
-    """Typed blocks of normalised text: page marker, heading, list or paragraph."""
-
-    def block(raw: Column) -> Column:
-        para = strip_newlines(raw)
-        bare = strip(para)
-        lines = F.split(para, "\n")
-        single = F.size(lines) == 1
-        page = F.regexp_extract(bare, PAGE_MARKER, 1)
-        marks = F.regexp_extract(bare, MD_HEADING, 1)
-        as_list = looks_like_list(lines)
-        items = list_items(lines)
-        flat = strip(
-            collapse_ws(
-                F.array_join(F.filter(F.transform(lines, strip), lambda s: s != ""), " ")
-            )
-        )
-        is_page = page != ""
-        is_heading = ~is_page & single & (marks != "")
-        is_list = ~is_page & ~is_heading & as_list
+    """Typed blocks of normalised text: page marker, heading, list or paragraph.
+
+    Each step is its own transform, so nothing is worked out twice for a paragraph.
+    """
+
+    def split(raw: Column) -> Column:
+        lines = F.split(strip_newlines(raw), "\n")
+        return F.struct(strip(raw).alias("bare"), F.size(lines).alias("n"), content_lines(lines).alias("content"))
+
+    def classify(p: Column) -> Column:
+        bare = p["bare"]
+        page = F.when(bare.startswith("---"), F.regexp_extract(bare, PAGE_MARKER, 1)).otherwise(F.lit(""))
+        marks = F.when((p["n"] == 1) & bare.startswith("#"), F.regexp_extract(bare, MD_HEADING, 1)).otherwise(F.lit(""))
         kind = (
-            F.when(is_page, "page_break")
-            .when(is_heading, "heading")
-            .when(is_list, "list")
-            .otherwise("paragraph")
+            F.when(page != "", "page_break").when(marks != "", "heading")
+            .when(_mostly_bullets(p["content"]), "list").otherwise("paragraph")
         )
+        return F.struct(kind.alias("kind"), bare.alias("bare"), p["content"].alias("content"), page.alias("page"), marks.alias("marks"))
+
+    def itemise(p: Column) -> Column:
+        items = F.when(p["kind"] == "list", F.transform(p["content"], strip_bullet))
+        return F.struct(
+            p["kind"].alias("kind"), p["bare"].alias("bare"), p["content"].alias("content"), p["page"].alias("page"),
+            p["marks"].alias("marks"), items.alias("items"),
+        )
+
+    def finish(p: Column) -> Column:
+        kind = p["kind"]
+        flat = strip(collapse_ws(F.array_join(F.transform(p["content"], strip), " ")))
         text = (
-            F.when(is_page, F.concat(F.lit("Page "), page.try_cast("int").cast("string")))
-            .when(is_heading, strip(F.regexp_extract(bare, MD_HEADING, 2)))
-            .when(is_list, F.array_join(items, "\n"))
+            F.when(kind == "page_break", F.concat(F.lit("Page "), p["page"].try_cast("int").cast("string")))
+            .when(kind == "heading", strip(F.regexp_extract(p["bare"], MD_HEADING, 2)))
+            .when(kind == "list", F.array_join(p["items"], "\n"))
             .otherwise(flat)
         )
-        return F.struct(
-            kind.alias("kind"),
-            text.alias("text"),
-            F.struct(
-                F.when(is_page, page.try_cast("int")).alias("page"),
-                F.when(is_heading, F.length(marks)).cast("int").alias("level"),
-                F.when(is_list, items).alias("items"),
-                F.lit(None).cast("boolean").alias("ocr"),
-                F.lit(None).cast("string").alias("source"),
-            ).alias("metadata"),
+        meta = F.struct(
+            F.when(kind == "page_break", p["page"].try_cast("int")).alias("page"),
+            F.when(kind == "heading", F.length(p["marks"])).cast("int").alias("level"),
+            p["items"].alias("items"),
+            F.lit(None).cast("boolean").alias("ocr"),
+            F.lit(None).cast("string").alias("source"),
         )
+        return F.struct(kind.alias("kind"), text.alias("text"), meta.alias("metadata"))
 
     paras = F.filter(F.split(F.coalesce(col, F.lit("")), "\n\n"), lambda p: strip(p) != "")
-    return F.transform(paras, block)
+    out = paras
+    for step in (split, classify, itemise, finish):
+        out = F.transform(out, step)
+    return out
 
 
 def render_block(kind: Column, text: Column, level: Column, items: Column) -> Column:

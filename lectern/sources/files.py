@@ -195,6 +195,6 @@ def extract_html(pages: DataFrame, html_col: str = "html") -> DataFrame:
     def visible(markup: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([html_to_text(m or "") for m in markup], columns=["text", "title"])
 
-    return pages.withColumn("_page", visible(html_col)).select(
+    return pages.withColumn("_page", visible.asNondeterministic()(html_col)).select(
         "*", F.col("_page.text").alias("text"), F.col("_page.title").alias("title")
     ).drop("_page")

@@ -53,6 +53,11 @@ def compare(df, con, sql: str) -> tuple[bool, str]:
     return False, f"{len(got)} vs {len(want)} rows; ours {sorted(a - b)[:2]} theirs {sorted(b - a)[:2]}{note}"[:1500]
 
 
+def _cause(text: str) -> str:
+    at = text.rfind("Caused by")
+    return text[:300] + " ... " + (text[at : at + 500] if at > 0 else "")
+
+
 def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     parts = sys.argv[2:]
@@ -77,7 +82,7 @@ def main() -> int:
             else:
                 ok, note = True, f"{df.count()} rows, no oracle"
         except Exception as exc:
-            ok, note = False, f"{type(exc).__name__}: {str(exc)[:700]}"
+            ok, note = False, f"{type(exc).__name__}: {_cause(str(exc))}"
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.1f}s {note}", flush=True)
     print("failed:", bad)
