@@ -1 +1,110 @@
-"""Queries."""
+"""Queries over raw lines: grep, windows, scores, overview."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.catalog.base import Tables, query, strip_sql, with_views
+from lectern.operators import scan as S
+from lectern.plans import jobs
+
+NL = "chr(10)"
+# every question is asked of the documents of one source: source number = query number mod 20 names its scope
+Q_SQL = """q AS (SELECT item_id AS query_id, 'file_' || doc_id AS file_id, b.text FROM benchmark b JOIN documents d ON d.source = 'src' || (item_id % 20))"""
+
+
+def _q(t: Tables):
+    ask = t.questions.withColumn("source", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    return ask.join(t.docs.select("source", "file_id"), "source").select("query_id", "file_id", "text")
+
+
+KEYS = """list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z]{4,80}'), lambda x: lower(x) NOT IN ('the','a','an','and','or','of','to','in','on','for','with','from','this','that','these','those','is','are','was','were','be','been','it','as','at','by','about','into','what','why','how','when','where','which','can','could','should','would'))"""
+IDS = "list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]{3,80}'), lambda x: regexp_matches(x, '[0-9_-]'))"
+TERMS_SQL = f"""tm AS (SELECT item_id AS query_id, {IDS} || {KEYS} AS l FROM benchmark),
+td AS (SELECT query_id, list_filter(l, lambda e, i: list_position(l, e) = i)[1:6] AS terms FROM tm),
+pt AS (SELECT query_id, unnest(terms) AS pattern, unnest(range(0, len(terms))) AS pattern_no FROM td)"""
+MATCH = "CASE WHEN pattern = lower(pattern) THEN contains(lower(line), pattern) ELSE contains(line, pattern) END"
+
+
+@query("r16_grep_lines", with_views("lines", f"""WITH {Q_SQL}, {TERMS_SQL},
+m AS (SELECT q.query_id, q.file_id, pattern_no, pattern, line_no, row_number() OVER (PARTITION BY q.query_id, q.file_id, pattern_no ORDER BY line_no) AS n
+  FROM q JOIN pt USING (query_id) JOIN lines l ON l.file_id = q.file_id WHERE {MATCH})
+SELECT query_id, file_id, CAST(pattern_no AS INTEGER) AS pattern_no, line_no FROM m WHERE n <= 80"""))
+def grep_lines(t: Tables):
+    found = S.grep_lines(t.lines.select("file_id", "line_no", "line"), S.scan_patterns(_q(t)), 80)
+    return found.select("query_id", "file_id", "pattern_no", "line_no")
+
+
+CONTEXT = 2
+RANGES_SQL = f"""{Q_SQL}, {TERMS_SQL},
+g AS (SELECT q.query_id, q.file_id, pattern_no, line_no, row_number() OVER (PARTITION BY q.query_id, q.file_id, pattern_no ORDER BY line_no) AS n
+  FROM q JOIN pt USING (query_id) JOIN lines l ON l.file_id = q.file_id WHERE line <> '' AND {MATCH}),
+fl AS (SELECT query_id, file_id, line_no, min(pattern_no) AS p FROM g WHERE n <= 80 GROUP BY ALL),
+kl AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY p, line_no) AS k FROM fl),
+la AS (SELECT file_id, max(line_no) AS last FROM lines GROUP BY file_id),
+rg AS (SELECT query_id, file_id, greatest(1, line_no - {CONTEXT}) AS s, least(last, line_no + {CONTEXT}) AS e FROM kl JOIN la USING (file_id) WHERE k <= 20),
+pv AS (SELECT *, max(e) OVER (PARTITION BY query_id, file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM rg),
+il AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, file_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM pv),
+mr AS (SELECT query_id, file_id, CAST(min(s) AS INTEGER) AS line_start, CAST(max(e) AS INTEGER) AS line_end FROM il GROUP BY query_id, file_id, i)"""
+
+
+@query("w19_raw_windows", with_views("lines", f"WITH {RANGES_SQL} SELECT * FROM mr"))
+def raw_windows(t: Tables):
+    return S.raw_windows(_q(t), t.lines.select("file_id", "line_no", "line"), context=CONTEXT)
+
+
+TEXT_SQL = f"""{RANGES_SQL},
+tx AS (SELECT query_id, mr.file_id, line_start, line_end, {strip_sql(f"string_agg(line, {NL} ORDER BY line_no)")} AS text FROM mr JOIN lines l ON l.file_id = mr.file_id AND line_no BETWEEN line_start AND line_end GROUP BY ALL),
+ks AS (SELECT query_id, list_filter(k, lambda e, i: list_position(k, e) = i) AS k, list_filter(d, lambda e, i: list_position(d, e) = i) AS d
+  FROM (SELECT item_id AS query_id, {KEYS} AS k, {IDS} AS d FROM benchmark)),
+sc AS (SELECT tx.*, len(list_filter(k, lambda x: contains(lower(text), lower(x)))) AS kh, len(list_filter(d, lambda x: contains(lower(text), lower(x)))) AS dh,
+  len(string_split(text, {NL})) AS nl FROM tx JOIN ks USING (query_id) WHERE text <> '')"""
+
+
+@query("w20_window_score", with_views("lines", f"WITH {TEXT_SQL} SELECT query_id, file_id, line_start, CAST(kh AS INTEGER) AS keyword_hits, round(dh * 3.0::DOUBLE + kh + (dh * 2 + kh) / nl::DOUBLE, 6) AS score FROM sc"))
+def window_score(t: Tables):
+    lines = t.lines.select("file_id", "line_no", "line")
+    scored = S.scored_windows(_q(t), S.raw_windows(_q(t), lines, context=CONTEXT), lines)
+    return scored.select("query_id", "file_id", "line_start", "keyword_hits", "score")
+
+
+def _selected(t: Tables, cap: int):
+    lines = t.lines.select("file_id", "line_no", "line")
+    scored = S.scored_windows(_q(t), S.raw_windows(_q(t), lines, context=CONTEXT), lines)
+    return S.select_raw_windows(scored, lines, cap, CONTEXT)
+
+
+@query("w21_select_windows", with_views("lines", f"""WITH {TEXT_SQL},
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY round(dh * 3.0::DOUBLE + kh + (dh * 2 + kh) / nl::DOUBLE, 6) DESC, line_start) AS place FROM sc)
+SELECT query_id, file_id, line_start, line_end, CAST(place AS INTEGER) AS place FROM rk WHERE place <= 3"""))
+def select_windows(t: Tables):
+    """The top windows without their neighbours, which the next query lists."""
+    return _selected(t, 3).filter("not neighbor").select("query_id", "file_id", "line_start", "line_end", "place")
+
+
+@query("w21_neighbor_windows")
+def neighbor_windows(t: Tables):
+    return _selected(t, 10).filter("neighbor").select("query_id", "file_id", "line_start", "line_end", "place")
+
+
+@query("w22_raw_overview", with_views("lines", f"""WITH {RANGES_SQL}, la2 AS (SELECT file_id, max(line_no) AS last FROM lines GROUP BY file_id)
+SELECT q.query_id, q.file_id, CAST(least(60, last) AS INTEGER) AS line_end, 0.1::DOUBLE AS score FROM q ANTI JOIN mr ON mr.query_id = q.query_id AND mr.file_id = q.file_id JOIN la2 ON la2.file_id = q.file_id
+WHERE EXISTS (SELECT 1 FROM lines l WHERE l.file_id = q.file_id AND l.line_no <= 60 AND trim(line) <> '')"""))
+def raw_overview(t: Tables):
+    lines = t.lines.select("file_id", "line_no", "line")
+    windows = S.raw_windows(_q(t), lines, context=CONTEXT)
+    return S.raw_overview(_q(t), windows, lines, CONTEXT).select("query_id", "file_id", "line_end", "score")
+
+
+@query("w23_cap_window_bytes", with_views("lines", f"""
+WITH u AS (SELECT file_id, line_no, line, sum(strlen(line) + 1) OVER (PARTITION BY file_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS used FROM lines)
+SELECT file_id, {strip_sql(f"coalesce(string_agg(line, {NL} ORDER BY line_no) FILTER (used <= 4096), '') || CASE WHEN max(used) > 4096 THEN CASE WHEN min(used) <= 4096 THEN {NL} ELSE '' END || '… (truncated)' ELSE '' END")} AS text FROM u GROUP BY file_id"""))
+def cap_window_bytes(t: Tables):
+    return S.cap_window_bytes(t.lines.select("file_id", "line_no", "line"), ["file_id"], 4096)
+
+
+@query("d4_scan_raw")
+def scan_raw(t: Tables):
+    return jobs.scan_raw(_q(t), t.docs.select("file_id", "text")).select("query_id", "file_id", "line_start", "line_end", "score", "place", "neighbor")
+
+

@@ -21,18 +21,14 @@ SCORE_DIGITS = 6
 def build_term_index(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, file_id, tf, positions, doc_len) over lower-cased letter-and-digit words.
 
-    Words are counted inside the chunk's own row, so nothing is shuffled.
+    Words are grouped by (term, chunk), which no single term or chunk can make hot.
     """
     found = F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORD), 0)
-    tokens = chunks.select("chunk_id", "file_id", found.alias("_words")).filter(F.size("_words") > 0)
-    one = tokens.select("chunk_id", "file_id", "_words", F.explode(F.array_distinct("_words")).alias("term"))
-    spots = F.filter(
-        F.transform(F.col("_words"), lambda w, i: F.when(w == F.col("term"), i.cast("int"))), lambda p: p.isNotNull()
-    )
-    return one.select(
-        "term", "chunk_id", "file_id", F.size(spots).alias("tf"), spots.alias("positions"),
-        F.size("_words").alias("doc_len"),
-    )
+    tokens = chunks.select("chunk_id", "file_id", found.alias("_words"))
+    spots = tokens.select("chunk_id", "file_id", F.size("_words").alias("doc_len"), F.posexplode("_words").alias("_pos", "term"))
+    return spots.groupBy("term", "chunk_id", "file_id", "doc_len").agg(
+        F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("_pos")).alias("positions")
+    ).select("term", "chunk_id", "file_id", "tf", "positions", "doc_len")
 
 
 def refresh_term_index(index: DataFrame, changed: DataFrame, deleted_files: DataFrame | None = None) -> DataFrame:
