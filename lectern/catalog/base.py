@@ -12,6 +12,7 @@ from lectern.functions.text import words
 from lectern.operators.ranking import top_per_group
 from lectern.operators.scan import to_lines
 from lectern.plans.jobs import line_chunks
+from lectern.session import settle
 
 Query = Callable[["Tables"], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +39,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -174,10 +176,11 @@ class Tables:
         shared = mine.join(theirs, "word").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
         best = top_per_group(shared, ["query_id"], [F.desc("n"), "chunk_id"], HITS_PER_QUERY, rank_col="pos")
         detail = self.chunks.select("chunk_id", "file_id", "seq", "text", "page_start", "page_end")
-        return best.join(detail, "chunk_id").join(self.files.select("file_id", "filename"), "file_id").select(
+        rows = best.join(detail, "chunk_id").join(self.files.select("file_id", "filename"), "file_id").select(
             "query_id", "pos", F.col("file_id").alias("doc_id"), "file_id", "chunk_id", "seq", "text",
             F.round(F.col("n") / 40.0, 6).alias("score"), "filename", F.lit(None).cast("int").alias("page"), "page_start", "page_end",
         )
+        return settle(rows, "hits")
 
     @cached_property
     def blocks(self) -> DataFrame:

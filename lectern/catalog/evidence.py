@@ -43,7 +43,7 @@ def cited_evidence(t: Tables):
 
 
 @query("w1_merge_ranges", """
-WITH r AS (SELECT event_type AS k, CAST(floor(epoch(ts) / 60) AS BIGINT) AS s, CAST(floor(epoch(ts) / 60) AS BIGINT) + CAST(floor(value / 4) AS BIGINT) AS e FROM events),
+WITH r AS (SELECT DISTINCT event_type AS k, CAST(floor(epoch(ts) / 60) AS BIGINT) AS s, CAST(floor(epoch(ts) / 60) AS BIGINT) + CAST(floor(value / 4) AS BIGINT) AS e FROM events),
 p AS (SELECT k, s, e, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r),
 i AS (SELECT k, s, e, sum(CASE WHEN m IS NULL OR s > m + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM p)
 SELECT k, min(s) AS start, max(e) AS "end" FROM i GROUP BY k, g""")

@@ -42,7 +42,7 @@ g AS (SELECT q.query_id, q.file_id, pattern_no, line_no, row_number() OVER (PART
 fl AS (SELECT query_id, file_id, line_no, min(pattern_no) AS p FROM g WHERE n <= 80 GROUP BY ALL),
 kl AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY p, line_no) AS k FROM fl),
 la AS (SELECT file_id, max(line_no) AS last FROM lines GROUP BY file_id),
-rg AS (SELECT query_id, file_id, greatest(1, line_no - {CONTEXT}) AS s, least(last, line_no + {CONTEXT}) AS e FROM kl JOIN la USING (file_id) WHERE k <= 20),
+rg AS (SELECT DISTINCT query_id, file_id, greatest(1, line_no - {CONTEXT}) AS s, least(last, line_no + {CONTEXT}) AS e FROM kl JOIN la USING (file_id) WHERE k <= 20),
 pv AS (SELECT *, max(e) OVER (PARTITION BY query_id, file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM rg),
 il AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, file_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM pv),
 mr AS (SELECT query_id, file_id, CAST(min(s) AS INTEGER) AS line_start, CAST(max(e) AS INTEGER) AS line_end FROM il GROUP BY query_id, file_id, i)"""

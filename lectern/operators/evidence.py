@@ -70,23 +70,25 @@ def budget_trim_balanced(hits: DataFrame, q: DataFrame, files: DataFrame, span:
     ``files`` lists (query_id, doc_id, file_pos). With fewer than two files the plain trim applies.
     The result's pos follows file order, with the other files' hits last.
     """
-    listed = files.select("query_id", "doc_id", "file_pos").groupBy("query_id", "doc_id").agg(F.min("file_pos").alias("file_pos"))
+    listed = files.groupBy("query_id", "doc_id").agg(F.min("file_pos").cast("bigint").alias("file_pos"))
     counts = listed.groupBy("query_id").agg(F.count("*").alias("_files"))
-    room = q.filter(F.col("budget") > 0).select("query_id", "budget", (F.col("budget").cast("bigint") * 4).alias("_room")).join(counts, "query_id", "left")
-    rows = hits.join(room, "query_id")
-    n = F.coalesce("_files", F.lit(0))
-    few = budget_trim(rows.filter(n < 2).select(*hits.columns), q, span).withColumn("file_pos", F.lit(0).cast("bigint"))
-    many = rows.filter(n >= 2).join(listed, ["query_id", "doc_id"], "left")
-    share = F.greatest(F.lit(FILE_FLOOR_CHARS), F.floor(F.col("_room") / F.col("_files")))
-    own = _trim(many.filter("file_pos is not null").withColumn("_share", share), ["query_id", "doc_id"], "_share", span)
-    spent = own.groupBy("query_id").agg(F.sum(F.length("text")).alias("_spent"))
-    strays = many.filter("file_pos is null").join(spent, "query_id", "left").withColumn(
-        "_rest", F.greatest(F.lit(0).cast("bigint"), F.col("_room") - F.coalesce("_spent", F.lit(0)))
-    )
-    rest = _trim(strays, ["query_id"], "_rest", span).withColumn("file_pos", F.lit(None).cast("bigint"))
-    cols = [*hits.columns, "file_pos"]
-    fixed = [F.col("file_pos").cast("bigint").alias("file_pos") if c == "file_pos" else F.col(c) for c in cols]
-    return few.select(*fixed).unionByName(own.select(*fixed)).unionByName(rest.select(*fixed))
+    room = q.filter(F.col("budget") > 0).select("query_id", (F.col("budget").cast("bigint") * 4).alias("_room"))
+    room = room.join(counts, "query_id", "left").withColumn("_files", F.coalesce("_files", F.lit(0)))
+    rows = hits.filter(~is_blank(F.col("text"))).join(room, "query_id").join(listed, ["query_id", "doc_id"], "left")
+    own = F.col("file_pos").isNotNull() & (F.col("_files") >= 2)
+    share = F.greatest(F.lit(FILE_FLOOR_CHARS).cast("bigint"), F.floor(F.col("_room") / F.col("_files")))
+    rows = rows.withColumns({
+        "_own": own, "_share": F.when(own, share), "_len": F.length("text").cast("bigint"),
+        "_part": F.when(own, F.col("doc_id")).otherwise(F.lit("")), "file_pos": F.when(own, F.col("file_pos")),
+    })
+    used = prefix_fold(rows, ["query_id", "_own", "_part"], ["pos"], F.floor(F.col("pos") / span), {"_used": ("_len", "sum")})
+    taken = F.least(F.col("_len"), F.greatest(F.col("_share") - F.col("_used"), F.lit(0)))
+    spent = used.filter("_own").groupBy("query_id").agg(F.sum(taken).alias("_spent"))
+    left_over = F.greatest(F.lit(0).cast("bigint"), F.col("_room") - F.coalesce("_spent", F.lit(0)))
+    limit = F.when(F.col("_own"), F.col("_share")).otherwise(left_over)
+    kept = used.join(spent, "query_id", "left").withColumn("_limit", limit).filter(F.col("_used") < F.col("_limit"))
+    cut = left(F.col("text"), (F.col("_limit") - F.col("_used")).cast("int"))
+    return kept.withColumn("text", cut).select(*hits.columns, "file_pos")
 
 
 def small_doc_check(q: DataFrame) -> DataFrame:

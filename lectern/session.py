@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -30,5 +33,20 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str | None:
-    """The folder all executors can reach, as named by the cluster; None when it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder every executor reaches, as the cluster names it; a local session makes its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and spark.sparkContext.master.startswith("local"):
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several branches read, and read it back: it is computed once and survives
+    lost executors. Without a shared folder the plan is returned as it is."""
+    folder = shared_dir(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
