@@ -170,15 +170,16 @@ class Tables:
 
     @cached_property
     def hits(self) -> DataFrame:
-        """Ranked hits: chunks sharing the most words with a benchmark text, forty per query."""
-        mine = self.questions.select("query_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("word"))
-        theirs = self.chunks.select("chunk_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("word"))
+        """Ranked hits: chunks sharing the most words of seven letters or more with a benchmark text, forty per query."""
+        long_words = F.filter(F.array_distinct(words(F.lower("text"))), lambda w: F.length(w) >= 7)
+        mine = self.questions.select("query_id", F.explode(long_words).alias("word"))
+        theirs = self.chunks.select("chunk_id", F.explode(long_words).alias("word"))
         shared = mine.join(theirs, "word").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
         best = top_per_group(shared, ["query_id"], [F.desc("n"), "chunk_id"], HITS_PER_QUERY, rank_col="pos")
         detail = self.chunks.select("chunk_id", "file_id", "seq", "text", "page_start", "page_end")
         rows = best.join(detail, "chunk_id").join(self.files.select("file_id", "filename"), "file_id").select(
             "query_id", "pos", F.col("file_id").alias("doc_id"), "file_id", "chunk_id", "seq", "text",
-            F.round(F.col("n") / 40.0, 6).alias("score"), "filename", F.lit(None).cast("int").alias("page"), "page_start", "page_end",
+            F.round(F.col("n") / 8.0, 6).alias("score"), "filename", F.lit(None).cast("int").alias("page"), "page_start", "page_end",
         )
         return settle(rows, "hits")
 
@@ -248,12 +249,12 @@ VIEWS = {
         FROM events""",
     "jobs": """SELECT 'job_' || doc_id AS job_id, 'file_' || doc_id AS file_id, CASE lang WHEN 'en' THEN 'completed'
         WHEN 'fr' THEN 'running' WHEN 'de' THEN 'failed' ELSE 'queued' END AS status, doc_id AS created_at FROM documents""",
-    "hits": f"""SELECT b.query_id, b.pos, c.file_id AS doc_id, c.file_id, c.chunk_id, c.seq, c.text, round(b.n / 40.0, 6) AS score,
+    "hits": f"""SELECT b.query_id, b.pos, c.file_id AS doc_id, c.file_id, c.chunk_id, c.seq, c.text, round(b.n / 8.0, 6)::DOUBLE AS score,
         f.filename, CAST(NULL AS INTEGER) AS page, c.page_start, c.page_end FROM (
           SELECT query_id, chunk_id, n, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS INTEGER) AS pos FROM (
             SELECT q.query_id, t.chunk_id, count(*) AS n FROM
-              (SELECT query_id, unnest(list_distinct({words_sql("lower(text)")})) AS word FROM questions) q JOIN
-              (SELECT chunk_id, unnest(list_distinct({words_sql("lower(text)")})) AS word FROM chunks) t USING (word)
+              (SELECT query_id, unnest(list_filter(list_distinct({words_sql("lower(text)")}), lambda w: length(w) >= 7)) AS word FROM questions) q JOIN
+              (SELECT chunk_id, unnest(list_filter(list_distinct({words_sql("lower(text)")}), lambda w: length(w) >= 7)) AS word FROM chunks) t USING (word)
             GROUP BY ALL)) b
         JOIN chunks c USING (chunk_id) JOIN files f USING (file_id) WHERE b.pos <= {HITS_PER_QUERY}""",
     "blocks": """SELECT file_id, line_no - 1 AS idx, CASE WHEN length(line) < 90 THEN 'heading' WHEN length(line) < 200 THEN 'list'

@@ -122,14 +122,14 @@ def _memories(t: Tables):
     )
 
 
-@query("m5_save_memories", f"""
-WITH old AS (SELECT CAST(doc_id AS VARCHAR) AS memory_id, 'chat_' || source AS chat_id, text, CASE WHEN lang = 'es' THEN 0 ELSE {NOW} - (doc_id % 60) * 86400 END AS at, 0 AS fresh FROM documents),
-new AS (SELECT 'n' || doc_id AS memory_id, 'chat_' || source AS chat_id, text, {NOW} AS at, 1 AS fresh FROM (
+@query("m5_save_memories", rf"""
+WITH old AS (SELECT CAST(doc_id AS VARCHAR) AS memory_id, 'chat_' || source AS chat_id, text, CASE WHEN lang = 'es' THEN 0 ELSE {NOW} - (doc_id % 60) * 86400 END AS made, 0 AS fresh FROM documents),
+new AS (SELECT 'n' || doc_id AS memory_id, 'chat_' || source AS chat_id, text, {NOW} AS made, 1 AS fresh FROM (
   SELECT d.doc_id, source, regexp_replace({strip_sql(r"regexp_replace(text, '\s+', ' ', 'g')")}[1:1200], '\s+$', '') AS text FROM documents d JOIN labels USING (doc_id) WHERE source <> 'src1' AND toxic = 1) WHERE text <> ''),
 b AS (SELECT * FROM old UNION ALL SELECT * FROM new),
-w AS (SELECT *, chat_id IN (SELECT chat_id FROM new) AS touched, row_number() OVER (PARTITION BY chat_id, lower(text) ORDER BY fresh DESC, at DESC, memory_id) AS n FROM b),
-k AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY at DESC, fresh DESC, memory_id) AS r FROM w WHERE touched AND n = 1)
-SELECT memory_id, CAST(at AS BIGINT) AS created_at FROM w WHERE NOT touched UNION ALL SELECT memory_id, at FROM k WHERE r <= 8 AND (at = 0 OR at >= {NOW - 30 * 86400})""")
+w AS (SELECT *, chat_id IN (SELECT chat_id FROM new) AS touched, row_number() OVER (PARTITION BY chat_id, lower(text) ORDER BY fresh DESC, made DESC, memory_id) AS n FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY made DESC, fresh DESC, memory_id) AS r FROM w WHERE touched AND n = 1)
+SELECT memory_id, CAST(made AS BIGINT) AS created_at FROM w WHERE NOT touched UNION ALL SELECT memory_id, made FROM k WHERE r <= 8 AND (made = 0 OR made >= {NOW - 30 * 86400})""")
 def save_memories(t: Tables):
     """Toxic documents of all sources but one bring a new memory to their chat."""
     new = t.documents.join(t.read("labels").filter("toxic = 1"), "doc_id").filter("source <> 'src1'").select(

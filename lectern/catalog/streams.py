@@ -66,8 +66,8 @@ def recent_history(t: Tables):
 
 
 @query("k7_memory_stream_twin", """
-WITH m AS (SELECT user_id, event_type || ' ' || CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS text, max(ts) AS at FROM events GROUP BY ALL), n AS (SELECT max(ts) AS now FROM events)
-SELECT user_id, text FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at DESC, text) AS r FROM m) , n WHERE r <= 8 AND at >= now - INTERVAL 30 DAY""")
+WITH m AS (SELECT user_id, event_type || ' ' || CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS text, max(ts) AS seen FROM events GROUP BY ALL), n AS (SELECT max(ts) AS now FROM events)
+SELECT user_id, text FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, text) AS r FROM m), n WHERE r <= 8 AND seen >= now - INTERVAL 30 DAY""")
 def memory_twin(t: Tables):
     """Event notes as memories: the newest of equal notes stays, eight per user, thirty days at most."""
     from lectern.operators.ranking import top_per_group
@@ -83,7 +83,9 @@ def _tokens(t: Tables):
     """Messages as streamed tokens of ten characters, hidden spans cut across tokens."""
     tagged = F.when(F.col("role") == "assistant", F.concat(F.lit("<think>"), F.substr("text", F.lit(1), F.lit(25)), F.lit("</think>"), "text")).otherwise(F.col("text"))
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / 10).cast("int")), lambda i: F.substr("_t", i * 10 + 1, F.lit(10)))
-    rows = t.messages.withColumn("_t", tagged).filter("_t <> ''").select(F.col("message_id").alias("request_id"), F.posexplode(pieces).alias("ord", "token"), F.size(pieces).alias("n"))
+    # pieces get a column of their own: beside a generator they would be worked out for every token
+    cut = t.messages.withColumn("_t", tagged).filter("_t <> ''").select(F.col("message_id").alias("request_id"), pieces.alias("pieces"))
+    rows = cut.select("request_id", F.posexplode("pieces").alias("ord", "token"), F.size("pieces").alias("n"))
     return rows.select("request_id", "ord", "token", (F.col("ord") == F.col("n") - 1).alias("is_end"))
 
 

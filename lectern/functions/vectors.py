@@ -38,5 +38,5 @@ def mean_pool(tokens: DataFrame, keys: list[str], vector_col: str = "vector", ma
     rows = tokens if mask_col is None else tokens.filter(F.col(mask_col) == 1)
     cells = rows.select(*keys, F.posexplode(as_double(F.col(vector_col))).alias("_dim", "_value"))
     means = cells.groupBy(*keys, "_dim").agg(F.avg("_value").alias("_mean"))
-    ordered = F.array_sort(F.collect_list(F.struct("_dim", "_mean")))
+    ordered = F.sort_array(F.collect_list(F.struct("_dim", "_mean")))
     return means.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_mean"]).alias(vector_col))

@@ -134,7 +134,7 @@ def small_doc_pack(asked: DataFrame, files: DataFrame, file_text: DataFrame) ->
     whole = rows.groupBy("query_id").agg(F.bool_and(~is_blank(F.col("plain_text"))).alias("_whole")).filter("_whole")
     rows = numbered_names(rows.join(whole.select("query_id"), "query_id"), ["query_id"], "_name", "file_pos", "_shown")
     section = F.concat(F.lit("===== FILE: "), F.col("_shown"), F.lit(" =====\n"), strip(F.col("plain_text")), F.lit("\n"))
-    parts = F.array_sort(F.collect_list(F.struct("file_pos", section.alias("s"), F.col("_shown").alias("n"))))
+    parts = F.sort_array(F.collect_list(F.struct("file_pos", section.alias("s"), F.col("_shown").alias("n"))))
     packed = rows.groupBy("query_id").agg(parts.alias("_p"))
     pack = strip(F.array_join(F.transform("_p", lambda p: p["s"]), "\n"))
     return packed.select(
@@ -163,7 +163,7 @@ def citations(hits: DataFrame) -> DataFrame:
     )
     docs = numbered_names(docs, ["query_id"], "_base", "cite_pos", "filename")
     merged = merge_ranges(rows.filter("_paged").select("query_id", "_doc", "start", "end"), ["query_id", "_doc"])
-    spans = merged.groupBy("query_id", "_doc").agg(F.array_sort(F.collect_list(F.array("start", "end"))).alias("_ranges"))
+    spans = merged.groupBy("query_id", "_doc").agg(F.sort_array(F.collect_list(F.array("start", "end"))).alias("_ranges"))
     out = docs.join(spans, ["query_id", "_doc"], "left")
     return out.select(
         "query_id", "cite_pos", "filename",
@@ -196,15 +196,15 @@ def context_pack(q: DataFrame, hits: DataFrame, memory: DataFrame, scope_files:
         F.concat(F.lit(" p"), F.least(start, end).cast("string"), F.lit("-"), F.greatest(start, end).cast("string"))
     )
     entry = F.struct("pos", F.concat(safe_name(F.col("filename")), page, F.lit("\n"), strip(F.col("text"))).alias("t"))
-    evidence = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_e")).select(
+    evidence = shown.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("_e")).select(
         "query_id", F.transform("_e", lambda e, i: F.concat(F.lit("[E"), (i + 1).cast("string"), F.lit("] "), e["t"])).alias("_evidence")
     )
     recalled = memory.filter(~is_blank(F.col("text"))).groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", strip(F.col("text")).alias("t")))).alias("_m")
+        F.sort_array(F.collect_list(F.struct("rank", strip(F.col("text")).alias("t")))).alias("_m")
     ).select("query_id", F.transform("_m", lambda m, i: F.concat(F.lit("[M"), (i + 1).cast("string"), F.lit("] "), m["t"])).alias("_memory"))
     firsts = scope_files.withColumn("_name", safe_name(F.col("filename"))).groupBy("query_id", "_name").agg(F.min("file_pos").alias("file_pos"))
     early = firsts.withColumn("_rn", F.row_number().over(W.partitionBy("query_id").orderBy("file_pos", "_name"))).filter(F.col("_rn") <= SCOPE_NAMES)
-    names = early.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_rn", "_name"))).alias("_n")).select(
+    names = early.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("_rn", "_name"))).alias("_n")).select(
         "query_id", F.transform("_n", lambda n: n["_name"]).alias("_names")
     )
     rows = q.join(evidence, "query_id", "left").join(recalled, "query_id", "left").join(names, "query_id", "left")
@@ -262,5 +262,5 @@ def cited_names(cited: DataFrame) -> DataFrame:
     """Distinct names per message in first-seen order. ``cited``: message_id, pos, filename, file_id."""
     name = F.coalesce(F.nullif("filename", F.lit("")), F.nullif("file_id", F.lit("")))
     firsts = cited.withColumn("_name", name).filter("_name is not null").groupBy("message_id", "_name").agg(F.min("pos").alias("_pos"))
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_name")))
+    ordered = F.sort_array(F.collect_list(F.struct("_pos", "_name")))
     return firsts.groupBy("message_id").agg(F.transform(ordered, lambda s: s["_name"]).alias("names"))

@@ -297,7 +297,7 @@ def effective_document(
     has_blocks = F.size(F.coalesce("blocks", F.array().cast(BLOCKS))) > 0
     edited = F.coalesce(F.col("is_user_edited"), F.lit(False)) & F.col("doc").isNotNull()
     bare = texts.filter(has_blocks).select("file_id")
-    pieces = F.array_sort(F.collect_list(F.struct("seq", F.col("text").alias("t"))))
+    pieces = F.sort_array(F.collect_list(F.struct("seq", F.col("text").alias("t"))))
     rebuilt = (
         chunks.join(bare, "file_id", "left_anti").filter(~is_blank(F.col("text")))
         .groupBy("file_id").agg(F.array_join(F.transform(pieces, lambda p: strip(p["t"])), "\n\n").alias("_rebuilt"))

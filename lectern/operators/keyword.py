@@ -27,7 +27,7 @@ def build_term_index(chunks: DataFrame) -> DataFrame:
     tokens = chunks.select("chunk_id", "file_id", found.alias("_words"))
     spots = tokens.select("chunk_id", "file_id", F.size("_words").alias("doc_len"), F.posexplode("_words").alias("_pos", "term"))
     return spots.groupBy("term", "chunk_id", "file_id", "doc_len").agg(
-        F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("_pos")).alias("positions")
+        F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("_pos")).alias("positions")
     ).select("term", "chunk_id", "file_id", "tf", "positions", "doc_len")
 
 

@@ -39,11 +39,11 @@ def reading_order(spans: DataFrame) -> DataFrame:
     rows = drop_page_furniture(spans)
     narrow = F.when(F.col("x1") - F.col("x0") <= F.col("page_width") * 0.8, F.col("x0"))
     page = W.partitionBy(*PAGE)
-    xs = F.array_sort(F.collect_list(narrow).over(page))
+    xs = F.sort_array(F.collect_list(narrow).over(page))
     gap = F.greatest(F.lit(24.0), F.col("page_width") * 0.18)
     pairs = F.arrays_zip(F.slice("_xs", 1, F.greatest(F.size("_xs") - 1, F.lit(0))).alias("a"), F.slice("_xs", 2, F.greatest(F.size("_xs") - 1, F.lit(0))).alias("b"))
     wide = F.filter(pairs, lambda p: p["b"] - p["a"] > F.col("_gap"))
-    mids = F.slice(F.array_sort(F.array_distinct(F.transform(wide, lambda p: (p["a"] + p["b"]) / 2.0))), 1, MAX_SPLITS)
+    mids = F.slice(F.sort_array(F.array_distinct(F.transform(wide, lambda p: (p["a"] + p["b"]) / 2.0))), 1, MAX_SPLITS)
     rows = rows.withColumn("_xs", xs).withColumn("_gap", gap).withColumn("_cuts", F.when(F.col("page_width") > 0, mids).otherwise(F.array().cast("array<double>")))
     column = F.size(F.filter("_cuts", lambda c: F.col("x0") > c))
     rows = rows.withColumn("column_no", column)
@@ -140,7 +140,7 @@ def classify_layout_blocks(scored: DataFrame) -> DataFrame:
     opens = (F.col("kind") != "list") | ~F.lag("kind").over(order).eqNullSafe(F.lit("list"))
     rows = rows.withColumn("_run", F.sum(opens.cast("int")).over(order))
     body = F.when(F.col("kind") == "code", F.array_join("lines", "\n")).otherwise(_joined(F.col("lines")))
-    entries = F.array_sort(F.collect_list(F.struct("reading_pos", "_items")))
+    entries = F.sort_array(F.collect_list(F.struct("reading_pos", "_items")))
     grouped = rows.withColumn("_body", body).groupBy(*PAGE, "_run").agg(
         F.first("kind").alias("kind"), F.min("reading_pos").alias("reading_pos"), F.max("heading_level").alias("level"),
         F.flatten(F.transform(entries, lambda e: e["_items"])).alias("_all"), F.min_by("_body", "reading_pos").alias("_text"),

@@ -213,7 +213,7 @@ def compact(messages: DataFrame, capacity: int, summarize=extractive_summary, fo
     clean = old.withColumn("text", strip_history_prefix(F.coalesce("text", F.lit("")))).filter(~is_scaffold_message(F.col("text")))
     # at most 600 characters or three sentences count, so the first 601 messages with text are enough
     lead = top_per_group(clean.filter("text <> ''"), ["chat_id"], ["pos", "message_id"], 601)
-    parts = F.array_sort(F.collect_list(F.struct("pos", "message_id", F.substr("text", F.lit(1), F.lit(2000)).alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("pos", "message_id", F.substr("text", F.lit(1), F.lit(2000)).alias("t"))))
     joined = lead.groupBy("chat_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("_t"))
     return kept, joined.select("chat_id", summarize(F.col("_t")).alias("text"))
 

@@ -168,7 +168,7 @@ def failure_summary(df: DataFrame, by: Sequence[str], order: Sequence[str], fail
     rows = df.withColumn("_failed", failed)
     counts = rows.groupBy(*by).agg(F.count("*").alias("requests"), F.count_if("_failed").alias("failures"))
     first = top_per_group(rows.filter("_failed"), by, list(order), FAILURES_SHOWN, rank_col="_n")
-    shown = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_n", message.alias("m")))).alias("_m"))
+    shown = first.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_n", message.alias("m")))).alias("_m"))
     return counts.join(shown, list(by), "left").select(
         *by, "requests", "failures", (F.col("failures") / F.col("requests")).alias("failure_rate"),
         F.coalesce(F.transform("_m", lambda m: m["m"]), F.array().cast("array<string>")).alias("first_failures"),

@@ -94,7 +94,7 @@ def cap_window_bytes(lines: DataFrame, keys: list[str], limit: int = WINDOW_BYTE
     limit = max(WINDOW_BYTES_FLOOR, limit)
     order = W.partitionBy(*keys).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     used = lines.withColumn("_used", F.sum(F.octet_length("line") + 1).over(order))
-    parts = F.array_sort(F.collect_list(F.when(F.col("_used") <= limit, F.struct("line_no", "line"))))
+    parts = F.sort_array(F.collect_list(F.when(F.col("_used") <= limit, F.struct("line_no", "line"))))
     text = used.groupBy(*keys).agg(parts.alias("_p"), F.max(F.col("_used") > limit).alias("_cut"))
     body = F.transform("_p", lambda p: p["line"])
     body = F.when(F.col("_cut"), F.array_append(body, F.lit(CUT_LINE))).otherwise(body)

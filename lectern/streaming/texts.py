@@ -42,7 +42,7 @@ def strip_pending(pending: str, hidden: bool, final: bool) -> tuple[str, str, bo
 
 def visible_text(tokens: DataFrame) -> DataFrame:
     """Batch twin of strip_reasoning_stream: whole visible text per request."""
-    parts = F.array_sort(F.collect_list(F.struct("ord", "token")))
+    parts = F.sort_array(F.collect_list(F.struct("ord", "token")))
     whole = F.array_join(F.transform(parts, lambda p: p["token"]), "")
     return tokens.groupBy("request_id").agg(strip_reasoning(whole).alias("text"))
 
@@ -100,7 +100,7 @@ class _Assembler(StatefulProcessor):
 
 def assemble_batch(tokens: DataFrame, sources: DataFrame) -> DataFrame:
     """Messages of ended requests with their sources, which may have come later."""
-    parts = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("token", F.lit("")).alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("ord", F.coalesce("token", F.lit("")).alias("t"))))
     done = tokens.groupBy("request_id").agg(
         F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"), F.bool_or("is_end").alias("_done")
     ).filter("_done").drop("_done")
