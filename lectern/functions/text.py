@@ -100,7 +100,7 @@ def _nfc(texts: pd.Series) -> pd.Series:
 def compose_nfc(col: Column) -> Column:
     """Only rows holding non-ASCII text carry their value through Python."""
     needs = col.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(_nfc(F.when(needs, col)), col)
+    return F.coalesce(_nfc.asNondeterministic()(F.when(needs, col)), col)
 
 
 def normalize_text(col: Column, nfc: bool = True) -> Column:

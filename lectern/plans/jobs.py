@@ -18,6 +18,7 @@ from lectern.operators.filters import classify_file_size, relevance_gate, resolv
 from lectern.operators.hybrid import hybrid_topk
 from lectern.operators.keyword import bm25_topk, build_term_index, keyword_scan_topk
 from lectern.operators.maintenance import plan_retries
+from lectern.session import settle
 from lectern.sources.files import default_registry, detect_mime, extract
 
 MODEL, VERSION = "hashed-bag", 1
@@ -39,7 +40,7 @@ def ingest(
     once = ident.join(chosen, ["file_id", "path"], "left_semi")
     routed = classify_file_size(detect_mime(once, "filename"))
     taken = routed.filter("policy = 'ingest'")
-    texts = extract(taken.select("file_id", "mime", "content"), registry or default_registry())
+    texts = settle(extract(taken.select("file_id", "mime", "content"), registry or default_registry()), "texts")
     read = texts.filter(F.col("error").isNull()).select("file_id", normalize_text(F.col("text")).alias("plain_text"))
     with_blocks = text_blocks(read, "plain_text")
     owners = taken.select(
@@ -49,6 +50,7 @@ def ingest(
     chunks = with_chunk_context(chunk_documents(with_blocks, "file_id", "plain_text", "blocks"), owners).withColumns(
         {"embedding_model": F.lit(model), "embedding_version": F.lit(version)}
     )
+    chunks = settle(chunks, "chunks")
     usable = chunks.filter(~is_blank(F.col("text")))
     vectors = embed(usable, "text", factory or hashed_bag()).drop("text").withColumn("embedding_id", F.col("chunk_id"))
     bad_read = texts.filter(F.col("error").isNotNull()).select(
@@ -60,7 +62,7 @@ def ingest(
     failures = plan_retries(bad_read.unionByName(refused).withColumn("retry_count", F.lit(0)), now_s, jitter=0.0)
     failed = failures.select("file_id", F.lit("failed").alias("_failed"))
     rows = routed.drop("content").join(failed, "file_id", "left").withColumn(
-        "status", F.coalesce("_failed", F.when(F.col("policy") == "raw_large", "completed").otherwise("completed"))
+        "status", F.coalesce("_failed", F.lit("completed"))
     ).drop("_failed", "reject_reason")
     return {
         "files": rows, "links": links, "file_text": with_blocks, "chunks": chunks, "vectors": vectors,
@@ -155,6 +157,7 @@ def retrieve(
 ) -> tuple[DataFrame, DataFrame]:
     """(plans, evidence): evidence rows of every document question, within budget and gated."""
     plan, turn_files = plan_turns(turns, chat_files, files)
+    plan, turn_files = settle(plan, "turns"), settle(turn_files, "turn-files")
     searched = plan.filter(F.col("route").isin("rag", "selection_rag"))
     asked = searched.join(turn_files, "query_id")
     depth = F.greatest(F.col("depth"), F.lit(12))
@@ -163,7 +166,7 @@ def retrieve(
     per_file = F.when(F.col("scope") == "all", F.ceil(F.greatest(F.lit(codes.DEPTH_ALL), F.col("depth") * F.col("n_files")) / F.col("n_files"))).otherwise(F.col("depth"))
     knobs = pairs.select("query_id", "file_id", per_file.alias("_k"), "radius", codes.file_cap(F.greatest(F.lit(600), F.col("budget")), F.col("n_files")).alias("cap"), "scope", "budget")
     anchors = fused.join(knobs, ["query_id", "file_id"]).filter(F.col("rank") <= F.col("_k"))
-    spans = windows.budgeted_windows(anchors, chunks, F.col("radius"), "cap")
+    spans = settle(windows.budgeted_windows(anchors, chunks, F.col("radius"), "cap"), "windows")
     names = files.select("file_id", "filename")
     hits = windows.windows_to_hits(spans, names).drop("window_no")
     fill_q = knobs.filter("scope = 'focused'").select("query_id", "file_id", "budget")
@@ -181,7 +184,7 @@ def retrieve(
 
     spot = W.partitionBy("query_id").orderBy("_stage", "file_pos", "_o", "chunk_id")
     listed = staged.withColumn("pos", F.row_number().over(spot)).select(*cols, "pos")
-    unique = evidence.dedup_hits(listed)
+    unique = settle(evidence.dedup_hits(listed), "evidence")
     all_scope = plan.filter("scope = 'all'")
     total = F.greatest(F.lit(codes.DEPTH_ALL), F.col("base_depth") * F.greatest(F.col("n_files"), F.lit(1)))
     mixed = evidence.round_robin(
@@ -192,7 +195,7 @@ def retrieve(
         unique.join(all_scope.select("query_id"), "query_id", "left_anti"),
         plan.filter("scope = 'focused'").select("query_id", "budget"),
     )
-    cut = fair.select(*cols, "pos").unionByName(single.select(*cols, "pos"))
+    cut = settle(fair.select(*cols, "pos").unionByName(single.select(*cols, "pos")), "trimmed")
     gate_text = F.concat_ws("\n", "retrieval_query", F.when(F.col("route") == "selection_rag", F.substr(strip(F.col("selection_text")), F.lit(1), F.lit(1800))))
     gated = relevance_gate(cut, plan.select("query_id", questions.relevance_terms(gate_text).alias("terms"), "intent", "scope"))
     return plan, gated
@@ -232,7 +235,7 @@ def compare(q: DataFrame, chunks: DataFrame, files: DataFrame, budgets: DataFram
     order = q.select("query_id", F.col("file_id").alias("doc_id"), "file_pos")
     spot = W.partitionBy("query_id").orderBy("file_pos", "doc_id", "window_no")
     listed = hits.join(order, ["query_id", "doc_id"]).withColumn("pos", F.row_number().over(spot)).drop("file_pos")
-    turns = evidence.round_robin(listed, 1 << 30).withColumn("pos", F.col("mix_pos")).drop("mix_pos")
+    turns = evidence.round_robin(settle(listed, "compare"), 1 << 30).withColumn("pos", F.col("mix_pos")).drop("mix_pos")
     return evidence.budget_trim_balanced(turns, budgets, order)
 
 

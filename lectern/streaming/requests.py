@@ -61,11 +61,12 @@ class _Recent(StatefulProcessor):
         fresh = pd.concat(list(rows))[["ts", "id", "latency_ms", "status"]]
         held = list(self.kept.get()) if self.kept.exists() else []
         every = held + [tuple(r) for r in fresh.itertuples(index=False)]
-        every = sorted(every, key=lambda r: (pd.Timestamp(r[0]).tz_localize(None) if pd.Timestamp(r[0]).tzinfo else pd.Timestamp(r[0]), r[1]))[-self.n :]
-        every = [(pd.Timestamp(r[0]).to_pydatetime(), int(r[1]), float(r[2]), int(r[3])) for r in every]
+        naive = lambda t: pd.Timestamp(t).tz_localize(None).to_pydatetime()
+        every = [(naive(ts), int(i), float(ms), int(status)) for ts, i, ms, status in every]
+        every = sorted(every)[-self.n :]
         self.kept.put(every)
         out = pd.DataFrame(every, columns=["ts", "id", "latency_ms", "status"])
-        out.insert(0, "endpoint", key[0])
+        out.insert(0, "endpoint", [key[0]] * len(out))
         yield out
 
     def close(self) -> None:

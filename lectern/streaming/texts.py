@@ -136,7 +136,7 @@ class _Memory(StatefulProcessor):
 
     def _rows(self, chat_id: str) -> pd.DataFrame:
         rows = sorted(((int(at), text) for _, (text, at) in self.kept.iterator()), reverse=True)
-        return pd.DataFrame({"chat_id": chat_id, "text": [t for _, t in rows], "created_ms": [a for a, _ in rows]})
+        return pd.DataFrame({"chat_id": [chat_id] * len(rows), "text": [t for _, t in rows], "created_ms": [a for a, _ in rows]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("ts")
@@ -158,7 +158,7 @@ class _Memory(StatefulProcessor):
         stale = [k[0] for k, v in self.kept.iterator() if int(v[1]) <= limit]
         for old in stale:
             self.kept.removeKey((old,))
-        if stale:
+        if stale and list(self.kept.keys()):
             yield self._rows(key[0])
 
     def close(self) -> None:

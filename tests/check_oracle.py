@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -11,6 +12,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+LIMIT_S = 100
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -75,6 +77,8 @@ def main() -> int:
         if parts and not any(name.startswith(p) for p in parts):
             continue
         start = time.time()
+        guard = threading.Timer(LIMIT_S, spark.sparkContext.cancelAllJobs)
+        guard.start()
         try:
             df = fn(spark, folder)
             if name in oracle:
@@ -83,6 +87,7 @@ def main() -> int:
                 ok, note = True, f"{df.count()} rows, no oracle"
         except Exception as exc:
             ok, note = False, f"{type(exc).__name__}: {_cause(str(exc))}"
+        guard.cancel()
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.1f}s {note}", flush=True)
     print("failed:", bad)
