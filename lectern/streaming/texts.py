@@ -135,7 +135,7 @@ class _Memory(StatefulProcessor):
         self.kept = handle.getMapState("kept", "hash string", "text string, at bigint")
 
     def _rows(self, chat_id: str) -> pd.DataFrame:
-        rows = sorted(((int(at), text) for _, (text, at) in self.kept.iterator()), reverse=True)
+        rows = sorted(((int(at), text) for _, (text, at) in self.kept.iterator()), reverse=True) or [(None, None)]
         return pd.DataFrame({"chat_id": [chat_id] * len(rows), "text": [t for _, t in rows], "created_ms": [a for a, _ in rows]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -158,7 +158,7 @@ class _Memory(StatefulProcessor):
         stale = [k[0] for k, v in self.kept.iterator() if int(v[1]) <= limit]
         for old in stale:
             self.kept.removeKey((old,))
-        if stale and list(self.kept.keys()):
+        if stale:
             yield self._rows(key[0])
 
     def close(self) -> None:
@@ -166,7 +166,8 @@ class _Memory(StatefulProcessor):
 
 
 def memory_stream(new: DataFrame, keep: int = KEEP_SUMMARIES, max_age_s: int = MAX_AGE_S, late: str = "1 minute") -> DataFrame:
-    """The memories of a chat after each change; at most ``keep``, none older than the age.
+    """The memories of a chat after each change; at most ``keep``, none older than the age. A chat whose
+    last memory expired gives one row without text.
 
     ``new``: chat_id, ts, text. Needs the RocksDB state store.
     """
