@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import words
+from lectern.operators.keyword import build_term_index
 from lectern.operators.ranking import top_per_group
 from lectern.operators.scan import to_lines
 from lectern.plans.jobs import line_chunks
 from lectern.session import settle
+from lectern.sources.tables import spread_small_source
 
 Query = Callable[["Tables"], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,7 +46,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return spread_small_source(self.read("documents"), "doc_id")
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -65,6 +67,11 @@ class Tables:
             (F.col("doc_id") * 100000 + F.col("line_no")).alias("created_ord"), page.alias("page_start"), page.alias("page_end"),
         )
 
+    @cached_property
+    def term_index(self) -> DataFrame:
+        """The keyword index as the stored table it is meant to be."""
+        return settle(build_term_index(self.chunks), "terms")
+
     @cached_property
     def questions(self) -> DataFrame:
         return self.read("benchmark").select(F.col("item_id").alias("query_id"), "text")

@@ -120,14 +120,14 @@ SELECT query_id, chunk_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row
 
 @query("r7_bm25_topk", _bm25_sql("text"))
 def bm25(t: Tables):
-    return keyword.bm25_topk(t.questions, keyword.build_term_index(t.chunks), 20).drop("file_id")
+    return keyword.bm25_topk(t.questions, t.term_index, 20).drop("file_id")
 
 
 @query("r7_bm25_phrases", _bm25_sql("regexp_extract(text, '[A-Za-z]+ [A-Za-z]+', 0).replace(' ', '-')"))
 def bm25_phrases(t: Tables):
     """The first two words of each question as one phrase."""
     phrase = F.replace(F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+", 0), F.lit(" "), F.lit("-"))
-    return keyword.bm25_topk(t.questions.withColumn("text", phrase), keyword.build_term_index(t.chunks), 20).drop("file_id")
+    return keyword.bm25_topk(t.questions.withColumn("text", phrase), t.term_index, 20).drop("file_id")
 
 
 COUNT = "list_sum(list_transform(terms, lambda w: (length(body) - length(replace(body, w, ''))) // length(w)))"

@@ -27,24 +27,23 @@ def to_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut.select(*rest, (F.col("_pos") + 1).alias("line_no"), "line")
 
 
-def line_matches(line: Column, pattern: Column, regex: bool = False) -> Column:
-    """Smart case: a pattern without capitals ignores case."""
-    bare = pattern == F.lower(pattern)
-    if regex:
-        return F.rlike(line, F.concat(F.when(bare, "(?iu)").otherwise(""), pattern))
-    return F.when(bare, F.contains(F.lower(line), pattern)).otherwise(F.contains(line, pattern))
-
-
 def grep_lines(lines: DataFrame, patterns: DataFrame, max_per_file: int = 500, regex: bool = False) -> DataFrame:
     """First matching lines of each (query, pattern, file); the cap is 1..5000.
 
-    ``patterns``: query_id, file_id (the roots to search), pattern_no, pattern.
+    ``patterns``: query_id, file_id (the roots to search), pattern_no, pattern. Smart case: a pattern
+    without capitals ignores case. Lines are lower-cased once, not once per pattern.
     """
     cap = clamp(max_per_file, 1, 5000)
-    asked = patterns.withColumn("pattern", strip(F.col("pattern"))).filter(F.col("pattern") != "")
-    found = salted_join(lines, asked, ["file_id"], ["line_no"]).filter(
-        line_matches(F.col("line"), F.col("pattern"), regex)
+    pattern = strip(F.col("pattern"))
+    asked = patterns.withColumn("pattern", pattern).filter(F.col("pattern") != "").withColumn(
+        "_bare", F.col("pattern") == F.lower("pattern")
     )
+    ready = lines.select("file_id", "line_no", "line", F.lower("line").alias("_low"))
+    if regex:
+        hit = F.rlike(F.col("line"), F.concat(F.when(F.col("_bare"), "(?iu)").otherwise(""), F.col("pattern")))
+    else:
+        hit = F.contains(F.when(F.col("_bare"), F.col("_low")).otherwise(F.col("line")), F.col("pattern"))
+    found = salted_join(ready, asked, ["file_id"], ["line_no"]).filter(hit)
     return top_per_group(
         found.select(*PAIR, "pattern_no", "pattern", "line_no", "line"), [*PAIR, "pattern_no"], ["line_no"], cap
     )

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
-DEFAULT_SPAN = 4096
+ROWS_PER_CUT = 1_000_000
 
 
 def salted_join(
@@ -18,18 +17,25 @@ def salted_join(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = DEFAULT_SALTS,
+    rows_per_cut: int = ROWS_PER_CUT,
 ) -> DataFrame:
     """Equi-join whose big side may hold most of its rows under one key.
 
-    The big side is cut by a hash of its own columns; the small side is repeated once per cut.
-    Only inner and left (big side kept) joins are safe this way.
+    A key with more than ``rows_per_cut`` rows is cut by a hash of the big side's own columns, and the
+    small side's rows of that key are repeated once per cut; other keys are left alone. Only joins that
+    keep the big side are safe this way.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"salted_join cannot run a {how} join")
-    cut = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return cut.join(copies, [*on, "_salt"], how).drop("_salt")
+    on = list(on)
+    cuts = F.ceil(F.count("*") / rows_per_cut).cast("int")
+    hot = big.groupBy(*on).agg(cuts.alias("_cuts")).filter("_cuts > 1")
+    # at most rows / rows_per_cut keys are hot, so this table is small by construction
+    hot = F.broadcast(hot.toDF(*hot.columns))
+    n = F.coalesce("_cuts", F.lit(1))
+    cut = big.join(hot, on, "left").withColumn("_cut", F.pmod(F.xxhash64(*spread_by), n).cast("int")).drop("_cuts")
+    copies = small.join(hot, on, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), n - 1))).drop("_cuts")
+    return cut.join(copies, [*on, "_cut"], how).drop("_cut")
 
 
 def _fold(kind: str, col: Column) -> Column:

@@ -9,6 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def spread_small_source(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a source with fewer files than the cluster has cores, dealt out by key.
+
+    A large source has many files and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def last_write(changes: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key: the last by order, ties cut by the whole row so that re-runs agree."""
     spec = W.partitionBy(*keys).orderBy(*[F.desc(o) if isinstance(o, str) else o for o in order])

@@ -135,7 +135,7 @@ def test_prefix_fold_and_salted_and_band_join(spark):
         prior = [v for k, p, v in rows if k == r.k and p < r.pos]
         assert r.before == sum(prior) and r.top == (max(prior) if prior else None)
     small = spark.createDataFrame([("hot", "x"), ("b", "y")], "k string, name string")
-    assert spread.salted_join(df, small, ["k"], ["pos"], salts=5).count() == 300
+    assert spread.salted_join(df, small, ["k"], ["pos"], rows_per_cut=30).count() == 300
     ranges = spark.createDataFrame([("hot", 10, 99), ("b", 200, 100), ("b", 0, 30)], "k string, lo int, hi int")
     got = spread.band_join(df, ranges, ["k"], "pos", "lo", "hi", width=8).count()
     assert got == sum(1 for k, p, _ in rows if (k == "hot" and 10 <= p <= 99) or (k == "b" and 0 <= p <= 30))
