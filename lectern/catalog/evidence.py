@@ -12,6 +12,7 @@ from lectern.operators import keyword, windows
 from lectern.operators.embedding import embed
 from lectern.operators.joins import enrich_chunks
 from lectern.plans import jobs
+from lectern.session import settle
 
 NL = "chr(10)"
 
@@ -36,7 +37,7 @@ def cited_evidence(t: Tables):
     spans = windows.seq_windows(placed.withColumnRenamed("rank", "pos"), t.chunks, 2, ["query_id", "pos"])
     named = spans.join(t.files.select("file_id", "filename"), "file_id").select(
         "query_id", "pos", F.col("file_id").alias("doc_id"), "text", "filename", F.lit(None).cast("int").alias("page"), "page_start", "page_end")
-    cut = E.budget_trim(named, t.questions.select("query_id", F.lit(600).alias("budget")))
+    cut = E.budget_trim(settle(named, "windows"), t.questions.select("query_id", F.lit(600).alias("budget")))
     cited = E.citations(cut)
     pages = F.flatten(F.transform("page_ranges", lambda r: F.sequence(r[0], r[1])))
     return cited.select("query_id", "cite_pos", "filename", F.array_join(pages.cast("array<string>"), ",").alias("pages"))

@@ -32,6 +32,7 @@ BLANKS = (
     "\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 EMPTY_STRINGS = "array<string>"
 
 
@@ -52,7 +53,8 @@ def strip_newlines(col: Column) -> Column:
 
 
 def collapse_ws(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)\s+", " ")
+    """Every run of blanks as one space; single spaces are not touched, so plain prose costs one scan."""
+    return F.regexp_replace(col, f"{BLANK}{BLANK}+|[{BLANK}&&[^ ]]", " ")
 
 
 def is_blank(col: Column) -> Column:
@@ -81,7 +83,7 @@ def approx_tokens(col: Column) -> Column:
 
 
 def words(col: Column) -> Column:
-    return F.filter(F.split(F.coalesce(col, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(col, F.lit("")), BLANK + "+"), lambda w: w != "")
 
 
 def word_count(col: Column) -> Column:
@@ -107,12 +109,27 @@ def normalize_text(col: Column, nfc: bool = True) -> Column:
     text = F.coalesce(col, F.lit(""))
     if nfc:
         text = compose_nfc(text)
-    text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"(?U)(\w)-\n(\w+)", "$1$2")
-    text = F.regexp_replace(text, PAGE_LINE, "")
-    text = F.regexp_replace(text, r"(?mdU)[^\S\n]+$", "")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return strip(text)
+    # each step runs only where its mark occurs: most texts skip most of the patterns
+    text = _where(text, F.contains(text, F.lit("\r")), r"\r\n?", "\n")
+    return strip(_tidy(text))
+
+
+def _where(text: Column, found: Column, pattern: str, replacement: str) -> Column:
+    return F.when(found, F.regexp_replace(text, pattern, replacement)).otherwise(text)
+
+
+def _tidy(whole: Column) -> Column:
+    """Joined words, page lines, line ends and blank lines, step by step on a one-element array."""
+    steps = (
+        lambda t: _where(t, F.contains(t, F.lit("-\n")), r"(?U)(\w)-\n(\w+)", "$1$2"),
+        lambda t: _where(t, t.rlike(r"(?i)page [0-9\P{ASCII}]"), PAGE_LINE, ""),
+        lambda t: _where(t, t.rlike(BLANK + r"\n"), r"(?mdU)[^\S\n]+$", ""),
+        lambda t: _where(t, F.contains(t, F.lit("\n\n\n")), r"\n{3,}", "\n\n"),
+    )
+    out = F.array(whole)
+    for step in steps:
+        out = F.transform(out, step)
+    return out[0]
 
 
 def segments(col: Column) -> Column:

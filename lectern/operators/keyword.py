@@ -9,12 +9,14 @@ from lectern.functions.questions import INDEX_TOKEN, index_terms
 from lectern.functions.text import substring_count
 from lectern.operators.ranking import clamp, top_per_group
 from lectern.operators.spread import salted_join
+from lectern.session import settle
 from lectern.sources.tables import upsert
 
 # BM25 as SQLite's full-text search defines it.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WORD = r"[\p{L}\p{N}]+"
 NEWEST_FLOOR, NEWEST_PER_K = 500, 20
+SCAN_CUT = 64
 SCORE_DIGITS = 6
 
 
@@ -50,8 +52,9 @@ def keyword_query(q: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def index_stats(index: DataFrame) -> DataFrame:
-    docs = index.groupBy("chunk_id").agg(F.max("doc_len").alias("dl"))
-    return docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    """Chunks and their mean length. Each chunk has one posting that holds its first word."""
+    firsts = index.filter(F.col("positions")[0] == 0)
+    return firsts.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
 
 
 def _phrase_df(phrases: DataFrame, index: DataFrame) -> DataFrame:
@@ -93,7 +96,7 @@ def bm25_topk(q: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """
     k = clamp(k, 1, 500)
     asked = keyword_query(q).withColumn("phrase", F.array_join("words", " "))
-    postings = _phrase_df(asked, index)
+    postings = settle(_phrase_df(asked, index), "postings")
     df = postings.groupBy("phrase").agg(F.count("*").alias("df"))
     stats = index_stats(index)
     n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
@@ -147,7 +150,7 @@ def keyword_scan_topk(
     uses = words.groupBy(*keys, "query_id", "_term").agg(F.count("*").alias("_times"))
     terms = uses.select(*keys, "_term").distinct()
     body = recent.select(*keys, "chunk_id", "file_id", F.lower("text").alias("_body"))
-    seen = salted_join(body, terms, keys, ["chunk_id"]).filter(F.contains(F.col("_body"), F.col("_term")))
+    seen = salted_join(body, terms, keys, ["chunk_id"], rows_per_cut=SCAN_CUT).filter(F.contains(F.col("_body"), F.col("_term")))
     counted = seen.select(
         *keys, "chunk_id", "file_id", "_term", substring_count(F.col("_body"), F.col("_term")).alias("_n")
     )
