@@ -276,8 +276,8 @@ def answer_packs(t: Tables):
 def selection_hits(t: Tables):
     """Every question selects its own text, over the ten files of the indexed documents."""
     picked = t.asked.select("query_id", F.lit(True).alias("has_selection"), F.col("text").alias("selection_text"), F.lit(6).alias("base_depth"))
-    files = t.indexed.select("file_id").distinct().withColumn("_one", F.lit(1))
-    pairs = picked.withColumn("_one", F.lit(1)).join(files, "_one").select("query_id", "file_id")
+    files = t.indexed.agg(F.sort_array(F.collect_set("file_id")).alias("f")).scalar()
+    pairs = picked.select("query_id", files.alias("_files")).select("query_id", F.explode("_files").alias("file_id"))
     chunks = t.indexed.select("chunk_id", "file_id", "text", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
     index = embed(t.indexed.select("file_id", "chunk_id", "text")).drop("text")
     names = t.indexed.select("file_id", F.concat("file_id", F.lit(".txt")).alias("filename")).distinct()

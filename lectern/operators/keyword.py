@@ -16,7 +16,7 @@ from lectern.sources.tables import upsert
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WORD = r"[\p{L}\p{N}]+"
 NEWEST_FLOOR, NEWEST_PER_K = 500, 20
-SCAN_CUT = 64
+SCAN_CUT, SCAN_PIECES = 64, 16
 SCORE_DIGITS = 6
 
 
@@ -144,13 +144,17 @@ def keyword_scan_topk(
     keys = list(scope or [])
     recent = newest_chunks(chunks, k, order, keys)
     asked = q.select(*keys, "query_id", index_terms(F.col("text")).alias("_terms")).filter(F.size("_terms") > 0)
-    if not keys:
-        asked, recent, keys = asked.withColumn("_all", F.lit(0)), recent.withColumn("_all", F.lit(0)), ["_all"]
     words = asked.select("query_id", *keys, F.explode("_terms").alias("_term"))
     uses = words.groupBy(*keys, "query_id", "_term").agg(F.count("*").alias("_times"))
     terms = uses.select(*keys, "_term").distinct()
     body = recent.select(*keys, "chunk_id", "file_id", F.lower("text").alias("_body"))
-    seen = salted_join(body, terms, keys, ["chunk_id"], rows_per_cut=SCAN_CUT).filter(F.contains(F.col("_body"), F.col("_term")))
+    if keys:
+        pairs = salted_join(body, terms, keys, ["chunk_id"], rows_per_cut=SCAN_CUT)
+    else:
+        cut = F.pmod(F.xxhash64("chunk_id"), F.lit(SCAN_PIECES))
+        pieces = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SCAN_PIECES - 1).cast("bigint")))
+        pairs = body.withColumn("_cut", cut.cast("bigint")).join(terms.withColumn("_cut", pieces), "_cut").drop("_cut")
+    seen = pairs.filter(F.contains(F.col("_body"), F.col("_term")))
     counted = seen.select(
         *keys, "chunk_id", "file_id", "_term", substring_count(F.col("_body"), F.col("_term")).alias("_n")
     )

@@ -286,12 +286,10 @@ def find_in_documents(q: DataFrame, documents: DataFrame, **options) -> DataFram
 def evaluate(gold: DataFrame, pred: DataFrame | None, k: int, **limits) -> DataFrame:
     """One report row: retrieval, grounding, latency and the threshold verdict."""
     rows = gold if pred is None else joins.merge_predictions(gold, pred, ["retrieved_doc_ids", "answer", "latency_ms"])
-    one = F.lit(1).alias("_one")
-    parts = [reports.evaluate_retrieval(rows, k), reports.evaluate_grounding(rows), reports.latency_summary(rows, "latency_ms")]
-    joined = parts[0].select("*", one)
-    for part in parts[1:]:
-        joined = joined.join(part.select("*", one), "_one")
-    return reports.quality_gate(joined.drop("_one"), **limits)
+    grounding, latency = reports.evaluate_grounding(rows), reports.latency_summary(rows, "latency_ms")
+    row = lambda df: df.select(F.struct(*df.columns).alias("r")).scalar()
+    report = reports.evaluate_retrieval(rows, k).withColumn("_g", row(grounding)).withColumn("_l", row(latency))
+    return reports.quality_gate(report.select("*", "_g.*", "_l.*").drop("_g", "_l"), **limits)
 
 
 def index_health(chunks: DataFrame, vectors: DataFrame, embedder: Callable[[DataFrame], DataFrame] = embed, delete_orphans: bool = False):
