@@ -7,6 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm import urls
+from lectern.llm.ball_tree import search_embeddings
+from lectern.llm.language import identify_held_out
+from lectern.llm.licenses import scan
+from lectern.llm.merkle import fingerprint_documents
 from lectern.llm.mixture import mix
 from lectern.llm.near_dedup import near_duplicates
 from lectern.llm.packing import pack_documents
@@ -28,15 +33,35 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_held_out(table(spark, folder, "documents"))
+
+
 def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))
 
 
+def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return search_embeddings(table(spark, folder, "embeddings"))
+
+
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_documents(table(spark, folder, "documents"))
+
+
+def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"))
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     done = pseudonymize(table(spark, folder, "documents"), PII_KEY)
     return done.select("doc_id", "text", "private", "private_kinds")
 
 
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(table(spark, folder, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return rate_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -73,12 +98,56 @@ SELECT d.doc_id, d.source, d.size, r.source_size, r.target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN q ON r.source IS NOT DISTINCT FROM q.source
 """
 
+OP5_SQL = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, [floor(CAST(x AS DOUBLE) * 256) for x in embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def _op7_sql() -> str:
+    """The automaton's counts by one regular expression a term, over text whose separators are doubled so that
+    neighbouring terms do not share one."""
+    def count(terms: tuple[str, ...], each: str) -> str:
+        return " + ".join(each.format("[^a-z0-9]" + t.replace("-", "--") + "[^a-z0-9]") for t in terms)
+
+    strict = count(urls.STRICT, "len(regexp_extract_all(s, '{}'))")
+    soft = count(urls.SOFT, "CAST(regexp_matches(s, '{}') AS INTEGER)")
+    rules = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in urls.RULES)
+    return rf"""
+WITH u AS (
+  SELECT row_number() OVER () AS n, page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urls._UPPER}', '{urls._LOWER}'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         regexp_replace(' ' || translate(coalesce(url, ''), '{urls._UPPER}', '{urls._LOWER}') || ' ', '([^a-z0-9])', '\1\1', 'g') AS s
+  FROM pages),
+c AS (SELECT *, CAST({strict} AS INTEGER) AS strict_hits, CAST({soft} AS INTEGER) AS soft_terms FROM u),
+r(h, p, v) AS (VALUES {rules}),
+m AS (
+  SELECT n, max_by(h || p, len(h || p)) AS rule, max_by(v, len(h || p)) AS v
+  FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN strict_hits > 0 OR soft_terms >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       strict_hits, soft_terms
+FROM c LEFT JOIN m USING (n)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
+    "op3_language": op3_language,
     "op4_mixture": op4_mixture,
+    "op5_topk": op5_topk,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_urls": op7_urls,
     "op8_pii": op8_pii,
+    "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {"op4_mixture": OP4_SQL}
+ORACLE: dict[str, str] = {"op4_mixture": OP4_SQL, "op5_topk": OP5_SQL, "op7_urls": _op7_sql()}

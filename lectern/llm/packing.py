@@ -141,7 +141,7 @@ def _packer(path: str, capacity: int, windows: int, grain: int, keep_ids: bool):
         filler = _Filler(TaskContext.get().partitionId() << 36, capacity, windows, grain)
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
-            cols = list(zip(*rows)) if rows else [()] * 7
+            cols = list(zip(*rows))
             out = {
                 "doc_id": pd.Series(cols[0], dtype="object"), "start": cols[1], "length": cols[2], "ids_crc32": [zlib.crc32(b) for b in cols[3]],
                 "doc_tokens": cols[4], "sequence_id": cols[5], "offset": cols[6],
@@ -157,8 +157,10 @@ def _packer(path: str, capacity: int, windows: int, grain: int, keep_ids: bool):
                 if len(rows) >= 20_000:
                     yield frame(rows)
                     rows = []
-            yield frame(rows)
-        yield frame(list(filler.flush()) if filler.waiting else [])
+            if rows:
+                yield frame(rows)
+        if filler.waiting:
+            yield frame(list(filler.flush()))
 
     return run
 
