@@ -43,7 +43,7 @@ def word_features(chunk: str) -> tuple[list[int], int]:
 
 
 def _features(batches):
-    """(grade, buckets, values): shares of a text's words, so that a text's length does not matter."""
+    """(grade, buckets, shares of the text's words as bytes): a text's length does not matter."""
     for batch in batches:
         rows = []
         for grade, text in zip(batch["grade"], batch["text"]):
@@ -55,7 +55,7 @@ def _features(batches):
                     counts[b] += times
             keys = np.fromiter(counts, dtype="int32", count=len(counts))
             values = np.fromiter(counts.values(), dtype="float32", count=len(counts)) * (SCALE / (words + DAMPING))
-            rows.append((grade, keys, values))
+            rows.append((grade, keys.tobytes(), values.tobytes()))
         yield pd.DataFrame(rows, columns=["grade", "buckets", "shares"])
 
 
@@ -150,10 +150,10 @@ def fit(docs: DataFrame, grades: DataFrame, per_grade: int = PER_GRADE) -> Ordin
         return OrdinalModel(np.zeros(BUCKETS, dtype="float32"), np.full(1, 30.0))
     # bounded by per_grade rows a grade
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text")
-    rows = texts.mapInPandas(_features, "grade int, buckets array<int>, shares array<float>").toPandas()
-    order = sorted(range(len(rows)), key=lambda i: (rows["grade"][i], len(rows["buckets"][i]), rows["buckets"][i].tolist()[:8]))
-    buckets, shares = [rows["buckets"][i] for i in order], [rows["shares"][i] for i in order]
-    found = rows["grade"].to_numpy()[order].astype(int)
+    rows = sorted(map(tuple, texts.mapInPandas(_features, "grade int, buckets binary, shares binary").collect()))
+    buckets = [np.frombuffer(b, dtype="int32") for _, b, _ in rows]
+    shares = [np.frombuffer(s, dtype="float32") for _, _, s in rows]
+    found = np.array([g for g, _, _ in rows])
     model = fit_ordinal(buckets, shares, found, totals)
     if set(found.tolist()) != {0, 1}:
         return model
