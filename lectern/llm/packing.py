@@ -52,7 +52,9 @@ def differencing(sizes: Sequence[int], windows: int) -> list[int]:
 
 def pack(sizes: Sequence[int], capacity: int = CAPACITY, windows: int | None = None) -> tuple[list[int], int]:
     """(window of each size, number of windows): as many near-equal windows as it takes for none to exceed ``capacity``."""
-    count = max(windows or 1, -(-sum(sizes) // capacity))
+    count = max(windows or 0, -(-sum(sizes) // capacity))
+    if not sizes:
+        return [], count
     while True:
         dealt = differencing(sizes, count)
         sums = [0] * count
@@ -67,6 +69,8 @@ def pack(sizes: Sequence[int], capacity: int = CAPACITY, windows: int | None = N
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÿ]+\Z")
 #: The vocabulary's own division of a word, fixed by its file, over those letters.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Most words: letters, and marks after them that are one piece.
+_LETTERS, _MARKS = re.compile(r"[a-zß-öø-ÿ]+\Z"), ".,;:!?*%$#&"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -90,11 +94,16 @@ class WordIds:
         self.words = Memory(self._word)
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
+        low = text.lower()
+        body = low.rstrip(_MARKS)
+        if _LETTERS.match(body):
+            marks = low[len(body) :]
+            return self.pieces[body] + self.pieces[marks] if marks else self.pieces[body]
         if _PLAIN.match(text) and "<|" not in text:
             return b"".join([self.pieces[p] for p in _PIECE.findall(text.lower())])
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
