@@ -16,18 +16,18 @@ from pyspark.sql import functions as F
 from lectern.llm.shared import Memory
 
 #: Labelled documents of each grade that the model is fitted on, at most.
-PER_GRADE = 5000
+PER_GRADE = 3000
 BUCKETS = 1 << 18
 SCALE = 50.0
 #: Words added to every text's length: a text of a few words is weak evidence.
 DAMPING = 20
 #: Documents at least so likely to be of grade 1 or more are rejected.
-REJECT_FROM = 0.4
-STEPS = 150
-RIDGE = 1e-3
-FLOOR = 0.1
+REJECT_FROM = 0.3
+STEPS = 250
+RIDGE = 1e-5
+FLOOR = 1.0
 #: Prefix lengths: inflected forms of a word share them.
-PREFIXES = (4, 5)
+PREFIXES = (3, 4, 5)
 
 _WORD = re.compile(r"\w+")
 
@@ -68,7 +68,7 @@ class OrdinalModel:
 
     def above(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k) for each score and k."""
-        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
+        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 700)))
 
 
 def _sigmoid(x):
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, grades: DataFrame, per_grade: int = PER_GRADE) -> Ordin
     buckets = [np.frombuffer(b, dtype="int32") for _, b, _ in rows]
     shares = [np.frombuffer(s, dtype="float32") for _, _, s in rows]
     found = np.array([g for g, _, _ in rows])
-    model = fit_ordinal(buckets, shares, found, totals)
+    model = fit_ordinal(buckets, shares, found, totals, STEPS // 2)
     if set(found.tolist()) != {0, 1}:
         return model
     evidence = np.array([float(s @ model.weights[b]) for b, s in zip(buckets, shares)])
@@ -176,10 +176,11 @@ def _scorer(model: OrdinalModel):
 
         known = Memory(weigh)
         for texts in batches:
-            scores = np.zeros(len(texts))
+            scores = np.full(len(texts), -np.inf)  # a text without words
             for i, text in enumerate(texts):
                 found = [known[c] for c in (text or "").split()]
-                scores[i] = sum(s for s, _ in found) / (sum(n for _, n in found) + DAMPING)
+                if words := sum(n for _, n in found):
+                    scores[i] = sum(s for s, _ in found) / (words + DAMPING)
             above = model.above(scores)
             grade = (above >= 0.5).sum(axis=1)
             yield pd.DataFrame({"severity": above.sum(axis=1), "grade": grade.astype("int32"), "toxic_p": above[:, 0]})
@@ -200,8 +201,8 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
 def rate_documents(docs: DataFrame, labels: DataFrame, reject_from: float = REJECT_FROM, per_grade: int = PER_GRADE) -> DataFrame:
     """(doc_id, severity, grade, toxic_p, rejected) of every document; rejected: toxic_p of at least ``reject_from``.
 
-    The weights are learned from the labelled documents and apply to all, whole texts. A null or wordless text has the
-    severity of no evidence. Null labels, labels of unknown documents and other columns take no part; a null doc_id stays
+    The weights are learned from the labelled documents and apply to all, whole texts. A null or wordless text has
+    severity 0. Null labels, labels of unknown documents and other columns take no part; a null doc_id stays
     null; repeated rows are rated alike; an empty table gives an empty result, and without labels of at least two grades
     nothing is rejected.
     """
