@@ -18,7 +18,7 @@ NL = "chr(10)"
 
 
 @query("slice_cited_evidence", with_views("chunks files", f"""
-WITH n AS (SELECT chunk_id, file_id, lower(text) AS body FROM chunks ORDER BY created_ord DESC, chunk_id DESC LIMIT 500),
+WITH n AS (SELECT chunk_id, file_id, lower(text) AS body FROM chunks),
 q AS (SELECT item_id AS query_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]{{1,80}}'), lambda x: lower(x))[1:8] AS terms FROM benchmark),
 s AS (SELECT query_id, chunk_id, file_id, list_sum(list_transform(terms, lambda w: (length(body) - length(replace(body, w, ''))) // length(w))) AS c FROM q, n),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, chunk_id) AS r FROM s WHERE c > 0),
@@ -246,7 +246,7 @@ def _index(t: Tables):
 
 def _retrieved(t: Tables):
     files = t.files.withColumn("policy", F.lit("ingest"))
-    return jobs.retrieve(turns(t), t.chat_files, files, t.chunks, _index(t), max_depth=16)
+    return jobs.retrieve(turns(t), t.chat_files, files, t.chunks, _index(t))
 
 
 @query("d2_retrieve")

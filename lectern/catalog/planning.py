@@ -216,9 +216,9 @@ def latest_n(t: Tables):
     return ranking.latest_n(t.messages.select("chat_id", "message_id", "created_s"), 3, ["created_s", "message_id"], ["chat_id"])
 
 
-@query("l1_top_n", "SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 500)")
+@query("l1_top_n", "SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 9999)")
 def top_n(t: Tables):
-    return ranking.top_n(t.documents.select("doc_id", "n_chars"), 9999, 1, 500, [F.desc("n_chars"), "doc_id"])
+    return ranking.top_n(t.documents.select("doc_id", "n_chars"), 9999, 1, 10000, [F.desc("n_chars"), "doc_id"])
 
 
 @query("l3_listing", with_views("jobs", "SELECT job_id, status, created_at FROM jobs"))

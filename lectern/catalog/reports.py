@@ -14,7 +14,7 @@ from lectern.sources import logs
 WITH l AS (SELECT DISTINCT chat_id, file_id FROM chat_files),
 s AS (SELECT chat_id, count(*) AS total, count(*) FILTER (status IN ('completed', 'failed')) AS done, count(*) FILTER (status = 'pending') AS pending,
   count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM l JOIN files USING (file_id) GROUP BY chat_id),
-a AS (SELECT chat_id, least(count(*), 200) AS n FROM l JOIN jobs USING (file_id) WHERE status IN ('queued', 'running') GROUP BY chat_id)
+a AS (SELECT chat_id, count(*) AS n FROM l JOIN jobs USING (file_id) WHERE status IN ('queued', 'running') GROUP BY chat_id)
 SELECT s.*, CAST(coalesce(n, 0) AS BIGINT) AS active_jobs, round(done / total * 100.0::DOUBLE, 2) AS percent FROM s LEFT JOIN a USING (chat_id)"""))
 def ingestion_progress(t: Tables):
     return R.ingestion_progress(t.files, t.chat_files, t.jobs)
@@ -149,7 +149,7 @@ def context_status(t: Tables):
     return R.context_status(t.messages, 1024)
 
 
-@query("s9_recent_requests", "SELECT event_id AS id, event_type AS endpoint FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)")
+@query("s9_recent_requests", "SELECT event_id AS id, event_type AS endpoint FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 900)")
 def recent_requests(t: Tables):
     return logs.recent_requests(t.requests, 900, "ts", "id").select("id", "endpoint")
 

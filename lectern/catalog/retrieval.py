@@ -135,7 +135,7 @@ TERMS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]{1,80}
 
 
 @query("r8_keyword_scan", with_views("chunks", f"""
-WITH n AS (SELECT chunk_id, lower(text) AS body FROM chunks ORDER BY created_ord DESC, chunk_id DESC LIMIT 500),
+WITH n AS (SELECT chunk_id, lower(text) AS body FROM chunks),
 q AS (SELECT item_id AS query_id, {TERMS} AS terms FROM benchmark),
 s AS (SELECT query_id, chunk_id, CAST(-{COUNT} AS DOUBLE) AS score FROM q, n)
 SELECT query_id, chunk_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS r FROM s WHERE score < 0) WHERE r <= 20"""))
@@ -149,9 +149,9 @@ EXACT = r"""list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]{3,80}
 
 def _legs(partition: str, depth: int) -> str:
     return f"""{DENSE}, d AS (SELECT query_id, chunk_id, file_id, row_number() OVER (PARTITION BY {partition} ORDER BY score DESC, chunk_id) AS r FROM p),
-n AS (SELECT chunk_id, file_id, lower(text) AS body, row_number() OVER ({'PARTITION BY file_id' if 'file_id' in partition else ''} ORDER BY created_ord DESC, chunk_id DESC) AS r FROM indexed),
+n AS (SELECT chunk_id, file_id, lower(text) AS body FROM indexed),
 q AS (SELECT query_id, {TERMS} AS terms FROM asked),
-k AS (SELECT query_id, chunk_id, file_id, -{COUNT} AS score FROM q, n WHERE n.r <= 500),
+k AS (SELECT query_id, chunk_id, file_id, -{COUNT} AS score FROM q, n),
 s AS (SELECT query_id, chunk_id, file_id, row_number() OVER (PARTITION BY {partition} ORDER BY score, chunk_id) AS r FROM k WHERE score < 0),
 b AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, d.r AS dr, s.r AS sr
   FROM (SELECT * FROM d WHERE r <= {depth}) d FULL OUTER JOIN (SELECT * FROM s WHERE r <= {depth}) s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id),
@@ -263,7 +263,7 @@ def file_status_for_chat(t: Tables):
 
 @query("j5_active_jobs", with_views("chat_files files jobs", """
 SELECT chat_id, job_id, status, filename, CAST(n AS INTEGER) AS job_rank FROM (SELECT c.chat_id, j.job_id, j.status, f.filename, row_number() OVER (PARTITION BY chat_id ORDER BY j.created_at DESC, job_id) AS n
-  FROM jobs j JOIN chat_files c USING (file_id) JOIN files f USING (file_id) WHERE j.status IN ('queued', 'running')) WHERE n <= 200"""))
+  FROM jobs j JOIN chat_files c USING (file_id) JOIN files f USING (file_id) WHERE j.status IN ('queued', 'running'))"""))
 def active_jobs(t: Tables):
     return joins.active_jobs(t.jobs, t.chat_files, t.files).select("chat_id", "job_id", "status", "filename", "job_rank")
 

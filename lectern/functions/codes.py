@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
 
-# Lookup tables.
-MIME_BY_SUFFIX = {
+# Lookup tables. The standard library's table of suffixes, without what the machine's own files add,
+# and the suffixes that it lacks or names otherwise.
+MIME_BY_SUFFIX = mimetypes.MimeTypes(filenames=()).types_map[True] | {
+    ".log": "text/plain",
     ".txt": "text/plain",
     ".md": "text/markdown",
     ".csv": "text/csv",

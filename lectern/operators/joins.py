@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.codes import normalize_status
@@ -11,8 +12,6 @@ from lectern.operators.ranking import top_per_group
 from lectern.operators.spread import band_join
 from lectern.schemas import ACTIVE_JOB_STATUSES
 
-ACTIVE_JOBS_SHOWN = 200
-REPAIRS_PER_FILE = 5000
 
 
 def enrich_chunks(hits: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -48,13 +47,15 @@ def file_status_for_chat(chat_files: DataFrame, files: DataFrame, chat_id: str |
     )
 
 
-def active_jobs(jobs: DataFrame, chat_files: DataFrame, files: DataFrame, limit: int = ACTIVE_JOBS_SHOWN) -> DataFrame:
-    """Queued and running jobs of each chat, newest first, at most 200 shown."""
+def active_jobs(jobs: DataFrame, chat_files: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Queued and running jobs of each chat, newest first; with ``limit`` only so many of them."""
     live = jobs.filter(F.col("status").isin(*ACTIVE_JOB_STATUSES))
     rows = live.join(chat_files.select("chat_id", "file_id"), "file_id").join(
         files.select("file_id", "filename"), "file_id"
     )
-    return top_per_group(rows, ["chat_id"], [F.desc("created_at"), "job_id"], limit, rank_col="job_rank")
+    newest = W.partitionBy("chat_id").orderBy(F.desc("created_at"), "job_id")
+    ranked = rows.withColumn("job_rank", F.row_number().over(newest))
+    return ranked if limit is None else ranked.filter(F.col("job_rank") <= limit)
 
 
 def seq_range_join(windows: DataFrame, chunks: DataFrame, width: int = 64) -> DataFrame:
@@ -95,16 +96,16 @@ def repair_index(
     vectors: DataFrame,
     embed,
     delete_orphans: bool = False,
-    max_repairs: int = REPAIRS_PER_FILE,
+    max_repairs: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(new vector table, per-file report). ``embed`` takes a DataFrame with text and adds vector.
 
-    Missing ids with text are embedded, the lowest max_repairs ids of a file per run; a later run
-    takes the rest.
+    Missing ids with text are embedded; with ``max_repairs``, the lowest so many ids of a file per run, and a later
+    run takes the rest.
     """
     issues = index_issues(chunks, vectors)
     missing = issues.filter("issue = 'missing'").select("file_id", "chunk_id")
-    due = top_per_group(missing, ["file_id"], ["chunk_id"], max_repairs)
+    due = missing if max_repairs is None else top_per_group(missing, ["file_id"], ["chunk_id"], max_repairs)
     rows = due.join(chunks.select("chunk_id", "text"), "chunk_id")
     usable = rows.filter(~is_blank(F.col("text")))
     fixed = embed(usable).select(*vectors.columns)

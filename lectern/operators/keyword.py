@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.questions import INDEX_TOKEN, index_terms
 from lectern.functions.text import substring_count
-from lectern.operators.ranking import clamp, top_per_group
+from lectern.operators.ranking import top_per_group
 from lectern.operators.spread import salted_join
 from lectern.session import settle
 from lectern.sources.tables import upsert
@@ -15,8 +15,8 @@ from lectern.sources.tables import upsert
 # BM25 as SQLite's full-text search defines it.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WORD = r"[\p{L}\p{N}]+"
-NEWEST_FLOOR, NEWEST_PER_K = 500, 20
-SCAN_CUT, SCAN_PIECES = 64, 16
+#: Runs of the letters that scan terms are made of, after lower-casing.
+SCAN_WORD = r"[a-z0-9_-]+"
 SCORE_DIGITS = 6
 
 
@@ -88,14 +88,14 @@ def _phrase_df(phrases: DataFrame, index: DataFrame) -> DataFrame:
     return hits.unionByName(phrase_hits.select(*hits.columns))
 
 
-def bm25_topk(q: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def bm25_topk(q: DataFrame, index: DataFrame, k: int, scope: list[str] | None = None) -> DataFrame:
     """(query_id, chunk_id, file_id, score, rank): every phrase is required, lower scores are better.
 
+    With ``scope=["file_id"]`` a query's hits are those of its own files (q has a row for each), taken before the limit.
     The rarest phrase of a query yields its candidate chunks; the others are looked up by
     (phrase, chunk_id), so a stop word never fans out to all the chunks that hold it.
     """
-    k = clamp(k, 1, 500)
-    asked = keyword_query(q).withColumn("phrase", F.array_join("words", " "))
+    asked = keyword_query(q.dropDuplicates(["query_id"])).withColumn("phrase", F.array_join("words", " "))
     postings = settle(_phrase_df(asked, index), "postings")
     df = postings.groupBy("phrase").agg(F.count("*").alias("df"))
     stats = index_stats(index)
@@ -121,45 +121,39 @@ def bm25_topk(q: DataFrame, index: DataFrame, k: int) -> DataFrame:
         .filter("_got = _need")
         .select("query_id", "chunk_id", "file_id", F.round(-F.col("_sum"), SCORE_DIGITS).alias("score"))
     )
+    if scope:
+        totals = totals.join(q.select("query_id", *scope).distinct(), ["query_id", *scope], "left_semi")
     return top_per_group(totals, ["query_id"], ["score", "chunk_id"], k, rank_col="rank")
 
 
-def newest_chunks(chunks: DataFrame, k: int, order: str, by: list[str]) -> DataFrame:
-    """The newest max(20k, 500) chunks (of each scope): all that a keyword scan looks at."""
-    window = max(NEWEST_PER_K * k, NEWEST_FLOOR)
-    if by:
-        return top_per_group(chunks, by, [F.desc(order), F.desc("chunk_id")], window)
-    return chunks.orderBy(F.desc(order), F.desc("chunk_id")).limit(window)
-
-
 def keyword_scan_topk(
-    q: DataFrame, chunks: DataFrame, k: int, scope: list[str] | None = None, order: str = "created_ord"
+    q: DataFrame, chunks: DataFrame, k: int, scope: list[str] | None = None, order: str = "created_ord", newest: int | None = None
 ) -> DataFrame:
-    """(query_id, chunk_id, file_id, score, rank) by minus the number of term occurrences.
+    """(query_id, chunk_id, file_id, score, rank) by minus the number of term occurrences, over every chunk of the scope.
 
-    Looks at the newest max(20k, 500) chunks of the scope, as the default sparse leg does. That window
-    is at most 10 000 chunks, so pairing it with the queries is bounded.
+    A term counts wherever its letters stand, inside words as well. Terms and the words of a chunk are of the same
+    letters, so a term lies inside one word: the distinct words are matched with the terms once, by the first letters of
+    a term among a word's runs of three, and chunks meet terms by the words they hold. With ``newest``, only so many of
+    the newest chunks (of each scope) are looked at.
     """
-    k = clamp(k, 1, 500)
     keys = list(scope or [])
-    recent = newest_chunks(chunks, k, order, keys)
+    if newest is not None:
+        latest = [F.desc(order), F.desc("chunk_id")]
+        chunks = top_per_group(chunks, keys, latest, newest) if keys else chunks.orderBy(*latest).limit(newest)
     asked = q.select(*keys, "query_id", index_terms(F.col("text")).alias("_terms")).filter(F.size("_terms") > 0)
-    words = asked.select("query_id", *keys, F.explode("_terms").alias("_term"))
-    uses = words.groupBy(*keys, "query_id", "_term").agg(F.count("*").alias("_times"))
-    terms = uses.select(*keys, "_term").distinct()
-    body = recent.select(*keys, "chunk_id", "file_id", F.lower("text").alias("_body"))
-    if keys:
-        pairs = salted_join(body, terms, keys, ["chunk_id"], rows_per_cut=SCAN_CUT)
-    else:
-        cut = F.pmod(F.xxhash64("chunk_id"), F.lit(SCAN_PIECES))
-        pieces = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SCAN_PIECES - 1).cast("bigint")))
-        pairs = body.withColumn("_cut", cut.cast("bigint")).join(terms.withColumn("_cut", pieces), "_cut").drop("_cut")
-    seen = pairs.filter(F.contains(F.col("_body"), F.col("_term")))
-    counted = seen.select(
-        *keys, "chunk_id", "file_id", "_term", substring_count(F.col("_body"), F.col("_term")).alias("_n")
+    uses = asked.select("query_id", *keys, F.explode("_terms").alias("_term")).groupBy(*keys, "query_id", "_term").agg(F.count("*").alias("_times"))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(SCAN_WORD), 0)
+    words = chunks.select(*keys, "chunk_id", "file_id", F.explode(found).alias("_word")).groupBy(*keys, "chunk_id", "file_id", "_word").agg(F.count("*").alias("_n"))
+    grams = F.array_distinct(F.flatten(F.transform(F.array(F.lit(2), F.lit(3)), lambda n: F.when(
+        F.length("_word") >= n, F.transform(F.sequence(F.lit(1), F.length("_word") - n + 1), lambda i: F.substr("_word", i, n))
+    ).otherwise(F.array().cast("array<string>")))))
+    known = words.select("_word").distinct().withColumn("_gram", F.explode(grams))
+    terms = uses.select("_term").distinct().withColumn("_gram", F.substring("_term", 1, 3))
+    inside = known.join(terms, "_gram").filter(F.contains(F.col("_word"), F.col("_term"))).select(
+        "_word", "_term", substring_count(F.col("_word"), F.col("_term")).alias("_each")
     )
+    counted = words.join(inside, "_word").groupBy(*keys, "chunk_id", "file_id", "_term").agg(F.sum(F.col("_n") * F.col("_each")).alias("_n"))
     scored = counted.join(uses, [*keys, "_term"]).groupBy("query_id", "chunk_id", "file_id").agg(
         (-F.sum(F.col("_n") * F.col("_times"))).cast("double").alias("score")
     )
     return top_per_group(scored, ["query_id"], ["score", "chunk_id"], k, rank_col="rank")
-

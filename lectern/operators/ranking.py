@@ -28,7 +28,9 @@ def top_per_group(
 def top_n(
     df: DataFrame, n: int, lo: int, hi: int, order: Sequence[Column | str], by: Sequence[str] = ()
 ) -> DataFrame:
-    n = clamp(n, lo, hi)
+    """First n rows (of each group); an n outside lo..hi is refused."""
+    if not lo <= n <= hi:
+        raise ValueError(f"n must be between {lo} and {hi}, not {n}")
     if by:
         return top_per_group(df, by, order, n)
     return df.orderBy(*order).limit(n)

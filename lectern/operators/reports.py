@@ -13,7 +13,6 @@ from lectern.operators.ranking import top_per_group
 from lectern.operators.spread import exact_quantiles, linear_rank, nearest_low_rank
 from lectern.schemas import ACTIVE_JOB_STATUSES, FILE_STATUSES
 
-ACTIVE_JOBS_COUNTED = 200
 GROWTH_LIMIT, GROWTH_SAMPLES = 80.0, 5
 FAILURES_SHOWN = 10
 
@@ -22,7 +21,7 @@ COMPONENTS = ("uploads", "qdrant", "kv_sessions", "cache", "logs", "db.sqlite")
 
 
 def ingestion_progress(files: DataFrame, chat_files: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Per chat: totals, counts by status, active jobs (200 at most) and percent done."""
+    """Per chat: totals, counts by status, active jobs and percent done."""
     links = chat_files.select("chat_id", "file_id").distinct()
     states = links.join(files.select("file_id", codes.normalize_status(F.col("status")).alias("status")), "file_id")
     n = lambda *names: F.count_if(F.col("status").isin(*names))
@@ -32,7 +31,7 @@ def ingestion_progress(files: DataFrame, chat_files: DataFrame, jobs: DataFrame)
     )
     live = jobs.filter(F.col("status").isin(*ACTIVE_JOB_STATUSES)).groupBy("file_id").agg(F.count("*").alias("_n"))
     active = links.join(live, "file_id").groupBy("chat_id").agg(
-        F.least(F.sum("_n"), F.lit(ACTIVE_JOBS_COUNTED)).alias("active_jobs")
+        F.sum("_n").alias("active_jobs")
     )
     percent = F.when(F.col("total") > 0, F.round(F.col("done") / F.col("total") * 100.0, 2)).otherwise(100.0)
     return totals.join(active, "chat_id", "left").withColumn(
@@ -195,8 +194,9 @@ def growth_check(samples: DataFrame, by: Sequence[str], value: str, order: Seque
 def storage_usage(listing: DataFrame, base: str, components: Sequence[str] = COMPONENTS) -> DataFrame:
     """Bytes and files by component below ``base``; what no component names is "other"."""
     root = base.rstrip("/") + "/"
-    inside = listing.filter(F.contains("path", F.lit(root)))
-    below = F.substring_index("path", root, -1)
+    bare = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")  # without scheme and host
+    inside = listing.filter(bare.startswith(root))
+    below = F.substring(bare, len(root) + 1, 1 << 30)
     name = F.substring_index(below, "/", 1)
     part = F.when(name.isin(*components), F.regexp_replace(name, r"\.sqlite$", "")).otherwise("other")
     return inside.groupBy(part.alias("component")).agg(

@@ -30,8 +30,8 @@ def salted_join(
     on = list(on)
     cuts = F.ceil(F.count("*") / rows_per_cut).cast("int")
     hot = big.groupBy(*on).agg(cuts.alias("_cuts")).filter("_cuts > 1")
-    # at most rows / rows_per_cut keys are hot, so this table is small by construction
-    hot = F.broadcast(hot.toDF(*hot.columns))
+    # at most rows / rows_per_cut keys are hot; whether that is small enough to broadcast is decided by its size
+    hot = hot.toDF(*hot.columns)
     n = F.coalesce("_cuts", F.lit(1))
     cut = big.join(hot, on, "left").withColumn("_cut", F.pmod(F.xxhash64(*spread_by), n).cast("int")).drop("_cuts")
     copies = small.join(hot, on, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), n - 1))).drop("_cuts")

@@ -126,7 +126,8 @@ def hybrid_per_file(
 ) -> DataFrame:
     """Fused hits of every (query, file) pair: each file is searched on its own.
 
-    ``asked``: query_id, file_id, text. Queries are embedded once, before they meet their files.
+    ``asked``: query_id, file_id, text, and where there is one leg (int, at most k), how deep each pair's legs go.
+    Queries are embedded once, before they meet their files.
     """
     once = embed_query(asked.select("query_id", "text").dropDuplicates(["query_id"])).select("query_id", "vector")
     pair = F.concat_ws("\u0001", F.col("query_id").cast("string"), F.col("file_id"))
@@ -135,15 +136,18 @@ def hybrid_per_file(
     dense = vector_topk(dense_q, vectors.select("file_id", "chunk_id", "vector"), k, scope=["file_id"])
     sparse_q = pairs.select(F.col("_pair").alias("query_id"), "file_id", "text")
     if sparse == "bm25":
-        # terms are scored over the whole index, then kept to the pair's own file
-        leg = bm25_topk(sparse_q.select("query_id", "text"), build_term_index(chunks), 500).join(
-            sparse_q.select("query_id", "file_id"), ["query_id", "file_id"]
-        )
+        # terms are scored over the whole index, then kept to the pair's own file before the limit
+        leg = bm25_topk(sparse_q, build_term_index(chunks), k, scope=["file_id"])
     else:
         leg = keyword_scan_topk(sparse_q, chunks, k, scope=["file_id"], order="seq")
+    if "leg" in asked.columns:
+        deep = pairs.select(F.col("_pair").alias("query_id"), "leg")
+        dense, leg = (hits.join(deep, "query_id").filter(F.col("rank") <= F.col("leg")) for hits in (dense, leg))
+        sparse_q = sparse_q.join(deep, "query_id").withColumnRenamed("leg", "k")
+    else:
+        sparse_q = sparse_q.withColumn("k", F.lit(k))
     fused = hybrid_topk(
-        dense.select("query_id", "chunk_id", "rank"), leg.select("query_id", "chunk_id", "rank"),
-        sparse_q.withColumn("k", F.lit(k)), chunks, "k",
+        dense.select("query_id", "chunk_id", "rank"), leg.select("query_id", "chunk_id", "rank"), sparse_q, chunks, "k",
     )
     back = pairs.select("_pair", F.col("query_id").alias("_query"))
     return fused.join(back, F.col("query_id") == F.col("_pair")).select(
@@ -161,7 +165,7 @@ def retrieve(
     searched = plan.filter(F.col("route").isin("rag", "selection_rag"))
     asked = searched.join(turn_files, "query_id")
     depth = F.greatest(F.col("depth"), F.lit(12))
-    pairs = asked.select("query_id", "file_id", F.col("retrieval_query").alias("text"), "depth", "budget", "radius", "scope", "n_files", depth.alias("_leg"))
+    pairs = asked.select("query_id", "file_id", F.col("retrieval_query").alias("text"), "depth", "budget", "radius", "scope", "n_files", F.least(depth, F.lit(max_depth)).cast("int").alias("leg"))
     fused = hybrid_per_file(pairs, chunks, vectors, max_depth, embed_query, sparse)
     per_file = F.when(F.col("scope") == "all", F.ceil(F.greatest(F.lit(codes.DEPTH_ALL), F.col("depth") * F.col("n_files")) / F.col("n_files"))).otherwise(F.col("depth"))
     knobs = pairs.select("query_id", "file_id", per_file.alias("_k"), "radius", codes.file_cap(F.greatest(F.lit(600), F.col("budget")), F.col("n_files")).alias("cap"), "scope", "budget")
@@ -210,7 +214,7 @@ def selection_hits(
     asked = embed_query(picked).join(turn_files.select("query_id", "file_id"), "query_id")
     pair = F.concat_ws("\u0001", F.col("query_id").cast("string"), F.col("file_id"))
     q = asked.select(pair.alias("query_id"), "file_id", "vector")
-    found = vector_topk(q, vectors.select("file_id", "chunk_id", "vector"), codes.DEPTH_SUMMARY, scope=["file_id"])
+    found = vector_topk(q, vectors.select("file_id", "chunk_id", "vector"), codes.MAX_DEPTH, scope=["file_id"])
     back = asked.select(pair.alias("_pair"), F.col("query_id").alias("_query"), "_k")
     from lectern.operators.ranking import top_per_group
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,10 +35,12 @@ def build_session(
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder every executor reaches, as the cluster names it; a local session makes its own."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor reaches, as the cluster names it; a session in one process makes its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and spark.sparkContext.master.startswith("local"):
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -45,10 +48,7 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several branches read, and read it back: it is computed once and survives
-    lost executors. Without a shared folder the plan is returned as it is."""
-    folder = shared_dir(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    lost executors."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

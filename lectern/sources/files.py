@@ -154,6 +154,7 @@ def default_registry() -> dict[str, Extractor]:
         "text/csv": per_file(_csv_text, "plain_text"),
         "application/xml": per_file(_plain, "plain_text"),
         "text/*": per_file(_plain, "plain_text"),
+        "*": per_file(_plain, "plain_text"),
     }
 
 
@@ -184,8 +185,7 @@ def extract(files: DataFrame, registry: dict[str, Extractor] | None = None) -> D
 
 def extract_text(files: DataFrame) -> DataFrame:
     """Plain-text family: UTF-8 dropping bad bytes, JSON indented, CSV cells trimmed."""
-    registry = {k: v for k, v in default_registry().items() if k != "text/html"}
-    return extract(files, {**registry, "*": per_file(_plain, "plain_text")})
+    return extract(files, {k: v for k, v in default_registry().items() if k != "text/html"})
 
 
 def extract_html(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 
 def spread_small_source(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a source with fewer files than the cluster has cores, dealt out by key.
+    """Rows of a source that would be read by fewer tasks than the cluster has cores, dealt out by key.
 
-    A large source has many files and is left as it is, without a shuffle.
+    A large source is read by many tasks and left as it is, without a shuffle. Only the number of read tasks is looked at.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def last_write(changes: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

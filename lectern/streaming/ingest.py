@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lectern.plans.jobs import ingest
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
-TABLES = ("files", "file_text", "chunks", "vectors", "failures")
+TABLES = ("files", "links", "file_text", "chunks", "vectors", "raw_large", "failures")
 
 
 def batch_writer(sink: str, chat_id: str, cancelled: DataFrame | None = None, **options) -> Callable[[DataFrame, int], None]:

@@ -308,7 +308,9 @@ def test_extractors(spark):
     df = spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in rows], "file_id string, mime string, content binary")
     out = {r.file_id: r for r in files.extract(df).collect()}
     assert out["a"].text == "xy" and out["b"].text == '{\n  "k": [\n    1\n  ]\n}' and out["c"].text == "a, b,c\n1, 2"
-    assert (out["d"].title, out["d"].text) == ("T", "T\none\ntwo") and out["e"].error.startswith("ExtractionError") and out["f"].text == "{bad"
+    assert (out["d"].title, out["d"].text) == ("T", "T\none\ntwo") and out["e"].text == "z" and out["f"].text == "{bad"
+    only = files.extract(df, {"text/*": files.per_file(lambda c: (c.decode("utf-8", "ignore"), None), "x")})
+    assert only.filter("error like 'ExtractionError%'").count() == 3
 
     def boom(content):
         raise ValueError("no")
@@ -414,3 +416,42 @@ def test_empty_tables(spark):
     hits = spark.createDataFrame([], "query_id int, pos int, doc_id string, chunk_id string, text string, score double, filename string, page int, page_start int, page_end int")
     q = spark.createDataFrame([(1, 10)], "query_id int, budget int")
     assert evidence.budget_trim(hits, q).count() == 0 and evidence.citations(hits).count() == 0 and evidence.round_robin(hits, 3).count() == 0
+
+
+def test_scan_sees_the_oldest_chunk_and_parts_of_words(spark):
+    from lectern.operators import keyword
+
+    rows = [(f"c{i:04d}", "f", i, "filler text") for i in range(1, 900)] + [("c0000", "f", 0, "Forgotten word-play, PLAYER play_2 ab")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, file_id string, created_ord int, text string")
+    q = spark.createDataFrame([(1, "play forgotten"), (2, "ab"), (3, "absent play"), (4, "")], "query_id int, text string")
+    got = {r.query_id: (r.chunk_id, r.score) for r in keyword.keyword_scan_topk(q, chunks, 5).collect()}
+    assert got == {1: ("c0000", -4.0), 2: ("c0000", -1.0), 3: ("c0000", -3.0)}
+    recent = keyword.keyword_scan_topk(q, chunks, 5, newest=100)
+    assert recent.count() == 0
+
+
+def test_bm25_keeps_to_the_file_before_the_limit(spark):
+    from lectern.operators import keyword
+
+    rows = [(f"o{i}", "other", "needle needle") for i in range(600)] + [("a1", "asked", "one needle in much longer text about other things")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, file_id string, text string")
+    q = spark.createDataFrame([(1, "asked", "needle")], "query_id int, file_id string, text string")
+    got = keyword.bm25_topk(q, keyword.build_term_index(chunks), 5, scope=["file_id"]).collect()
+    assert [(r.chunk_id, r.rank) for r in got] == [("a1", 1)]
+
+
+def test_ordinary_files_are_read_and_unknown_models_refused(spark):
+    names = ["a.log", "b.rs", "c.yaml", "d.txt", "e.java", "f.md", "g.c", "h.ts", "noext"]
+    rows = [(n, n, 5, f"text of {n}".encode()) for n in names]
+    df = spark.createDataFrame(rows, "file_id string, filename string, size_bytes int, content binary")
+    got = files.extract(files.detect_mime(df, "filename").select("file_id", "mime", "content")).collect()
+    assert {r.file_id: r.text for r in got} == {n: f"text of {n}" for n in names}
+    df = spark.createDataFrame([("x", "nobody")], "text string, embedding_model string")
+    with pytest.raises(Exception, match="unknown embedding model"):
+        embedding.embed_by_model(df, {"hashed-bag": embedding.hashed_bag()}).collect()
+
+
+def test_storage_is_counted_below_the_base_only(spark):
+    rows = [("file:/ws/uploads/ws/x", 1), ("file:///ws/cache/a", 2), ("file:/other/ws/logs/a", 4), ("/ws/misc", 8)]
+    got = reports.storage_usage(spark.createDataFrame(rows, "path string, length bigint"), "/ws").collect()
+    assert {r.component: r.bytes for r in got} == {"uploads": 1, "cache": 2, "other": 8}
