@@ -40,7 +40,7 @@ def test_no_cross_joins(spark, name):
 
 
 def test_topk_limits_groups_before_the_shuffle(spark):
-    for name in ("r2_vector_topk", "r13_head_chunks", "p7_transcript", "j5_active_jobs"):
+    for name in ("r2_vector_topk", "r13_head_chunks", "p7_transcript", "r8_keyword_scan"):
         assert "WindowGroupLimit" in plan(QUERIES[name](spark, FOLDER)), name
 
 
