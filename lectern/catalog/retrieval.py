@@ -10,6 +10,7 @@ from lectern.operators import hybrid, joins, keyword
 from lectern.operators.dense import vector_topk
 from lectern.operators.embedding import embed, hashed_bag
 from lectern.plans import jobs
+from lectern.session import settle
 
 K = 10
 
@@ -20,26 +21,34 @@ def embed_documents(t: Tables):
     return rows.select("file_id", F.size("vector").alias("dim"), F.round(vectors.norm(F.col("vector")), 4).alias("norm"))
 
 
+def _asked_vectors(t: Tables, *more: str):
+    """A stated query set: every vector whose id fifty divides, against all."""
+    return t.vectors.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector", *more)
+
+
 @query("r2_vector_topk", f"""
-WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b)
+WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)
 SELECT query_id, chunk_id, score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM p) WHERE n <= {K}""")
 def dense_topk(t: Tables):
-    q = t.vectors.select(F.col("chunk_id").alias("query_id"), "vector")
-    return vector_topk(q, t.vectors, K)
+    return vector_topk(_asked_vectors(t), t.vectors, K)
 
 
 @query("r2_vector_topk_scoped", f"""
-WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label)
+WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0)
 SELECT query_id, chunk_id, score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM p) WHERE n <= {K}""")
 def dense_topk_scoped(t: Tables):
-    q = t.vectors.select(F.col("chunk_id").alias("query_id"), "vector", "scope")
-    return vector_topk(q, t.vectors, K, scope=["scope"])
+    return vector_topk(_asked_vectors(t, "scope"), t.vectors, K, scope=["scope"])
 
 
 @query("r3_vector_topk_approx")
 def dense_topk_approx(t: Tables):
-    q = t.vectors.select(F.col("chunk_id").alias("query_id"), "vector")
-    return vector_topk(q, t.vectors, K, approx=True, tables=6, bits=4)
+    """Hits from shared signatures, with the share of each query's exact hits that are among them."""
+    q = _asked_vectors(t)
+    found = settle(vector_topk(q, t.vectors, K, approx=True, tables=18, bits=4), "approximate")
+    exact = vector_topk(q, t.vectors, K).select("query_id", "chunk_id")
+    right = exact.join(found.select("query_id", "chunk_id", F.lit(1).alias("_in")), ["query_id", "chunk_id"], "left")
+    recall = right.groupBy("query_id").agg(F.round(F.count("_in") / F.count("*"), 6).alias("recall"))
+    return found.join(recall, "query_id")
 
 
 @query("j10_query_chunk_scores", """
