@@ -19,6 +19,8 @@ from lectern.llm.shared import saved
 
 #: A section ends after a paragraph whose digest this divides, so an edit moves no other section's ends.
 SECTION = 8
+#: Digits of a digest below the root that a fingerprint string shows: enough to tell the nodes of two texts apart.
+SHORT = 6
 #: Leaves of a paragraph: runs that end with a sentence, or after 128 characters.
 _LEAF = re.compile(r"[^\n]{16,128}?[.!?]+(?=[ \t])|[^\n]{1,128}\n?|\n")
 
@@ -37,10 +39,10 @@ class Tree:
     def __str__(self) -> str:
         out = [self.root]
         for section, paragraphs in self.sections:
-            out.append(f"/{section[:8]}")
+            out.append(f"/{section[:SHORT]}")
             for paragraph, leaves in paragraphs:
-                out.append(f":{paragraph[:8]}")
-                out.extend(f",{leaf[:8]}.{size:x}" for leaf, size in leaves)
+                out.append(f":{paragraph[:SHORT]}")
+                out.extend(f",{leaf[:SHORT]}.{size:x}" for leaf, size in leaves)
         return "".join(out)
 
 
@@ -61,7 +63,7 @@ def build(text: str) -> Tree:
 
 
 def parse(fingerprint: str) -> Tree:
-    """The tree of a fingerprint string; digests below the root are shortened to 8 digits there."""
+    """The tree of a fingerprint string; digests below the root are shortened to ``SHORT`` digits there."""
     root, *sections = fingerprint.split("/")
     out = []
     for section in sections:
@@ -69,13 +71,13 @@ def parse(fingerprint: str) -> Tree:
         rows = []
         for paragraph in paragraphs:
             name, *leaves = paragraph.split(",")
-            rows.append((name, [(leaf[:8], int(leaf[9:], 16)) for leaf in leaves]))
+            rows.append((name, [(leaf[:SHORT], int(leaf[SHORT + 1 :], 16)) for leaf in leaves]))
         out.append((digest, rows))
     return Tree(root, out)
 
 
 def _branches(nodes: list[tuple]) -> Counter:
-    return Counter(d[:8] for d, _ in nodes)
+    return Counter(d[:SHORT] for d, _ in nodes)
 
 
 def _weight(node: tuple) -> int:
@@ -89,14 +91,14 @@ def _differing(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], list[tuple]
     shared, left = 0, both.copy()
     rest_a, rest_b = [], []
     for node in a:
-        if left[node[0][:8]]:
-            left[node[0][:8]] -= 1
+        if left[node[0][:SHORT]]:
+            left[node[0][:SHORT]] -= 1
             shared += _weight(node)
         else:
             rest_a.append(node)
     for node in b:
-        if both[node[0][:8]]:
-            both[node[0][:8]] -= 1
+        if both[node[0][:SHORT]]:
+            both[node[0][:SHORT]] -= 1
         else:
             rest_b.append(node)
     return rest_a, rest_b, shared
@@ -119,12 +121,12 @@ def edits(a: Tree, b: Tree) -> list[tuple[int, int]]:
     out, at = [], 0
     if a.root == b.root:
         return out
-    theirs = Counter(leaf[0][:8] for _, paragraphs in b.sections for _, leaves in paragraphs for leaf in leaves)
+    theirs = Counter(leaf[0][:SHORT] for _, paragraphs in b.sections for _, leaves in paragraphs for leaf in leaves)
     for _, paragraphs in a.sections:
         for _, leaves in paragraphs:
             for digest, size in leaves:
-                if theirs[digest[:8]]:
-                    theirs[digest[:8]] -= 1
+                if theirs[digest[:SHORT]]:
+                    theirs[digest[:SHORT]] -= 1
                 else:
                     if out and out[-1][1] == at:
                         out[-1] = (out[-1][0], at + size)
@@ -193,7 +195,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
-    walked = saved(dealt.mapInPandas(_along, f"kind int, part int, doc_id {kind}, {_TYPES}, text string"), "walked")
+    walked = saved(dealt.mapInPandas(_along, f"kind int, part int, doc_id {kind}, {_TYPES}, text string"), "walked", compression="zstd")
 
     heads = walked.filter(F.col("kind") == _HEAD).select("part", F.col("text").alias("next_text"))
     by_part = W.orderBy("part")  # a number for each range
