@@ -213,7 +213,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         hinted = hinted | F.col("_low").contains(hint)
     rows = rows.select("doc_id", F.regexp_count("_low", F.lit(WORD)).cast("bigint").alias("n_words"), F.when(hinted, spaced(F.col("_low"))).alias("_words"))
     words = F.col("_words")
-    named = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(words, k))
+    # patterns and phrases begin at a word, and so do keywords
+    named = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(words, F.concat(F.lit(" "), k)))
     rows = rows.select("doc_id", "n_words", "_words", F.when(words.isNotNull(), named).alias("_named"))
 
     gated = F.filter(known, lambda r: F.array_contains(F.col("_named"), r["keyword"]))
@@ -243,11 +244,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _covering(keywords: list[str]) -> list[str]:
-    """One word for each keyword, as few as a greedy choice needs: a text without any of them holds no keyword."""
-    left, out = list(keywords), []
-    while left:
-        candidates = sorted({w for k in left for w in k.split()})
-        best = max(candidates, key=lambda w: (sum(w in k for k in left), len(w), w))
-        out.append(best)
-        left = [k for k in left if best not in k]
+    """The longest word of each keyword, where no word taken before lies in it: a text without any of them holds no
+    keyword, and long words are rare in other texts."""
+    out: list[str] = []
+    for keyword in sorted(keywords, key=lambda k: (len(k), k)):
+        if not any(hint in keyword for hint in out):
+            out.append(max(keyword.split(), key=lambda w: (len(w), w)))
     return out
