@@ -10,18 +10,51 @@ ROUNDS = 6
 WALKS = 64
 YEARS = (1900, 200)
 
+# The length of an IBAN in each country that has them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: Digits of a card without gaps, or in the groups that cards are printed in.
+CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 3, 3, 3), (6, 13))
+
+
+def _card(groups: tuple[int, ...]) -> str:
+    return "[ -]".join(f"[0-9]{{{n}}}" for n in groups)
+
+
 # What counts as personal data. Order matters: the first alternative that fits a place is taken.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9])(?:{'|'.join(_iban(n, c) for n, c in IBAN_LENGTHS.items())})(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\1(?:19|20)[0-9]{2})(?![0-9A-Za-z/-])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "card": rf"(?<![0-9A-Za-z])(?:{_card((4, 4, 4, 4))}[ -][0-9]{{1,3}}|{'|'.join(map(_card, CARD_GROUPS))}|[0-9]{{13,19}})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|\+[1-9][0-9]{0,2}(?:[ ./()-]{0,2}[0-9]{2,4}){2,5}(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
+#: A card whose longest reading fails may be followed by another number (a security code, an expiry date).
+SHORTER = rf"(?<![0-9A-Za-z]){_card((4, 4, 4, 4))}(?![0-9A-Za-z])"
+#: Other groupings and countries, where nothing above is found.
+LOOSE = {
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+}
+_LOOSE = "|".join(LOOSE.values())
+_NAMED = ANY.replace("([./-])", "(?<dot>[./-])").replace(r"\1", r"\k<dot>")
+#: Nothing, where a match begins: group 1 the match, 3 its shorter reading, 4 the loose one.
+STARTS = f"(?=({_NAMED})|{_LOOSE})(?=({SHORTER})|)(?=({_LOOSE})|)"
+_SPANS = "array<struct<at:int,stop:int,value:string>>"
 
 _DIGITS = "0123456789"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -186,7 +219,7 @@ def _written(iso: Column, fmt: Column) -> Column:
 def _spec(value: Column, core: Column) -> Column:
     """What of a match is permuted: kind, head (kept), body, the classes of its characters, tail (kept), tweak.
     Kind is null where the match fails validation."""
-    whole = {k: value.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
+    whole = {k: value.rlike(f"^(?:{p}|{LOOSE[k]})$" if k in LOOSE else f"^(?:{p})$") for k, p in PATTERNS.items()}
     length = F.length(core)
 
     def out(kind: str | None, body: Column, head: Column | str = "", tail: Column | str = "", tweak: Column | str = "", kinds: Column | None = None) -> Column:
@@ -243,13 +276,63 @@ def pseudonym(value: Column, key: str) -> Column:
     return _let(_core(value), lambda core: _let(_spec(value, core), from_spec))
 
 
-def _found(text: Column, key: str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))
+def _valid(value: Column) -> Column:
+    return _let(_core(value), lambda core: _spec(value, core)["kind"].isNotNull())
+
+
+def _candidates(text: Column) -> Column:
+    """Every place where a match begins, inside other matches too: where (from 0), the match, its shorter and its loose reading."""
+    padded = F.concat(F.lit("\n"), text)  # a split leaves out an empty piece at the very start
+    pieces = F.transform(F.split(padded, STARTS), lambda p: F.length(p))
+    places = F.aggregate(
+        F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out")), lambda acc: acc["out"])
+    first, shorter, loose = (F.regexp_extract_all(padded, F.lit(STARTS), F.lit(i)) for i in (1, 3, 4))
+    return F.arrays_zip(places.alias("at"), first.alias("first"), shorter.alias("shorter"), loose.alias("loose"))
+
+
+def _span(at: Column, value: Column) -> Column:
+    return F.struct(at.alias("at"), (at + F.length(value)).alias("stop"), value.alias("value"))
+
+
+def _taken(candidates: Column) -> Column:
+    """From left to right the first valid reading at each place that no taken one covers."""
+    def add(acc: Column, c: Column) -> Column:
+        read = F.when(_valid(c["first"]), c["first"]).when(_valid(c["shorter"]), c["shorter"])
+        with_it = lambda v: F.when(v.isNull(), acc).otherwise(
+            F.struct((c["at"] + F.length(v)).alias("end"), F.concat(acc["out"], F.array(_span(c["at"], v))).alias("out")))
+        return F.when((c["first"] == "") | (c["at"] < acc["end"]), acc).otherwise(_let(read, with_it))
+
+    return F.aggregate(candidates, F.struct(F.lit(0).alias("end"), F.array().cast(_SPANS).alias("out")), add, lambda acc: acc["out"])
+
+
+def _rest(candidates: Column, taken: Column) -> Column:
+    """Valid ones of the loose readings that touch nothing taken, each behind the one before."""
+    def add(acc: Column, c: Column) -> Column:
+        stop = c["at"] + F.length(c["loose"])
+        free = (c["loose"] != "") & (c["at"] >= acc["end"]) & ~F.exists(taken, lambda t: (t["at"] < stop) & (t["stop"] > c["at"]))
+        out = F.when(_valid(c["loose"]), F.concat(acc["out"], F.array(_span(c["at"], c["loose"])))).otherwise(acc["out"])
+        return F.when(free, F.struct(stop.alias("end"), out.alias("out"))).otherwise(acc)
+
+    return F.aggregate(candidates, F.struct(F.lit(0).alias("end"), F.array().cast(_SPANS).alias("out")), add, lambda acc: acc["out"])
+
+
+def _replaced(spans: Column, key: str) -> Column:
+    """The spans in order with kind and pseudonym."""
+    def one(x: Column) -> Column:
+        return _let(pseudonym(x["value"], key), lambda p: F.struct(x["at"].alias("at"), x["stop"].alias("stop"), p["kind"].alias("kind"), p["value"].alias("value")))
+
+    return F.transform(F.array_sort(spans), one)
 
 
 def _rewritten(text: Column, found: Column) -> Column:
-    gaps = F.split(text, ANY)
-    return F.array_join(F.zip_with(gaps, found, lambda gap, hit: F.concat(gap, F.coalesce(hit["value"], F.lit("")))), "")
+    """The text with its spans replaced."""
+    def piece(x: Column, i: Column) -> Column:
+        before = F.when(i == 0, 0).otherwise(F.get(found, i - 1)["stop"])
+        return F.concat(F.substr(text, before + 1, x["at"] - before), x["value"])
+
+    tail = F.substr(text, F.element_at(found, -1)["stop"] + 1)
+    return F.concat(F.array_join(F.transform(found, piece), ""), tail)
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -260,16 +343,17 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     The pseudonym of a value has its format: separators stay, digits become digits, letters letters of their case, check
     digits (Luhn, mod 97) are made anew, dates stay dates and addresses addresses. It depends on the key, the kind and
     the value without separators alone, so equal values stay linked across documents; it is a permutation, which the
-    holder of the key can undo. What fails validation (a wrong check digit, 31 February) is left alone, and so is a
-    text without any match, byte for byte. Nulls stay null with 0 found; a column already named ``private`` or
+    holder of the key can undo. What fails validation (a wrong check digit, 31 February) is left alone, but for
+    values that it holds or that begin in it; a text without any match stays as it is, byte for byte. Nulls stay null with 0 found; a column already named ``private`` or
     ``private_kinds`` is replaced. No shuffle, no Python. ``key`` shows in the plan: keep plans where the key may be.
     """
     # every match holds one of these, and most texts do not
     hint = F.col(text_col).rlike("[0-9@]|AKIA|ASIA")
-    hit = F.coalesce(hint & F.col(text_col).rlike(ANY), F.lit(False))
-    # first the found values as a column of their own: both uses share one evaluation
-    found = docs.withColumn("_found", F.when(hit, _found(F.col(text_col), key)))
-    hits = F.filter("_found", lambda x: x["kind"].isNotNull())
+    hit = F.coalesce(hint & F.col(text_col).rlike(f"{ANY}|{_LOOSE}"), F.lit(False))
+    # what is used twice is a column of its own: both uses share one evaluation
+    found = docs.withColumn("_seen", F.when(hit, _candidates(F.col(text_col)))).withColumn("_taken", _taken(F.col("_seen")))
+    found = found.withColumn("_found", _replaced(F.concat("_taken", _rest(F.col("_seen"), F.col("_taken"))), key)).drop("_seen", "_taken")
+    hits = F.col("_found")
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["kind"]))), ",")
     text = F.when(F.size(hits) > 0, _rewritten(F.col(text_col), F.col("_found"))).otherwise(F.col(text_col))
     done = found.withColumns({"private": F.coalesce(F.when(F.col("_found").isNotNull(), F.size(hits)), F.lit(0)), "private_kinds": F.coalesce(kinds, F.lit("")), text_col: text})

@@ -181,3 +181,20 @@ def test_stage_keeps_columns_and_the_plan_has_no_python(docs_of):
     assert done.columns == docs.columns and all(r.text is None or r.n_chars == len(r.text) for r in done.collect())
     shown = done._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in shown and "Exchange" not in shown
+
+
+#: Texts with their values in braces: what stands next to a value hides it no more.
+BESIDE = (
+    ("in 2023 {555-123-4567}", "phone"), ("room 123 {212-555-0199}", "phone"), ("id 1234 {123-45-6789}", "ssn"), ("{4111 1111 1111 1111} 123", "card"),
+    ("{4111 1111 1111 1111} 12/27", "card"), ("{4111111111111111} 123", "card"), ("{3782 822463 10005} 1234", "card"), ("1234 {4111 1111 1111 1111}", "card"),
+    ("{555-123-4567} {555-765-4321}", "phone phone"), ("4111 1111 1111 1112 {123-45-6789}", "ssn"), ("{BE68 5390 0754 7034} PAID", "iban"),
+    ("DE00 3704 0044 0532 0130 00 {212-555-0199}", "phone"), ("{41 11 11 11 11 11 11 11}", "card"), ("\U0001f600 é {4111-1111-1111-1111} 99 é {9.9.9.9}", "card ip"),
+)
+
+
+def test_values_beside_other_numbers_are_found(docs_of):
+    got = {r.doc_id: r for r in pii.pseudonymize(docs_of([(i, re.sub("[{}]", "", t)) for i, (t, _) in enumerate(BESIDE)]), "k").collect()}
+    for i, (text, kinds) in enumerate(BESIDE):
+        rest = iter(kinds.split())
+        assert got[i].text == re.sub("{(.*?)}", lambda m: slow_value(next(rest), m[1], "k"), text), text
+        assert (got[i].private, got[i].private_kinds) == (len(kinds.split()), ",".join(sorted(set(kinds.split()))))
