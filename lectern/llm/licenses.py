@@ -17,14 +17,16 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 # License families as (label, keyword, names, versions). Names are regular expressions over words set
 # apart by single blanks; a version "2 1" stands for 2.1.
 FAMILIES = (
-    ("gpl", "gnu general public license", (r"(?:the )?gnu general public licen[cs]e", r"gnu gpl"), ("1", "2", "3")),
+    ("gpl", "gnu general public licen", (r"(?:the )?gnu general public licen[cs]e",), ("1", "2", "3")),
+    ("gpl", "gnu gpl", (r"gnu gpl",), ("1", "2", "3")),
     ("gpl", "gpl", (r"gpl",), ("1", "2", "3")),
     ("lgpl", "lesser general public", (r"(?:the )?gnu lesser general public licen[cs]e",), ("2 1", "3")),
     ("lgpl", "library general public", (r"(?:the )?gnu library general public licen[cs]e",), ("2",)),
     ("lgpl", "lgpl", (r"(?:gnu )?lgpl",), ("2", "2 1", "3")),
     ("agpl", "affero", (r"(?:the )?(?:gnu )?affero general public licen[cs]e",), ("1", "3")),
     ("agpl", "agpl", (r"(?:gnu )?agpl",), ("1", "3")),
-    ("fdl", "free documentation", (r"(?:the )?gnu free documentation licen[cs]e", r"gfdl"), ("1 1", "1 2", "1 3")),
+    ("fdl", "free documentation", (r"(?:the )?gnu free documentation licen[cs]e",), ("1 1", "1 2", "1 3")),
+    ("fdl", "gfdl", (r"gfdl",), ("1 1", "1 2", "1 3")),
     ("apache", "apache", (r"(?:the )?apache(?: software)? licen[cs]e", r"apache"), ("1 0", "1 1", "2 0", "2")),
     ("mpl", "mozilla public", (r"(?:the )?mozilla public licen[cs]e",), ("1 0", "1 1", "2 0")),
     ("mpl", "mpl", (r"mpl",), ("1 0", "1 1", "2 0")),
@@ -39,11 +41,12 @@ FAMILIES = (
     ("boost", "boost", (r"(?:the )?boost software licen[cs]e",), ("1 0",)),
     ("ms-pl", "microsoft public", (r"(?:the )?microsoft public licen[cs]e",), ()),
     ("ms-rl", "microsoft reciprocal", (r"(?:the )?microsoft reciprocal licen[cs]e",), ()),
-    ("psf", "python software", (r"(?:the )?python software foundation licen[cs]e", r"psf licen[cs]e"), ("2",)),
+    ("psf", "python software", (r"(?:the )?python software foundation licen[cs]e",), ("2",)),
+    ("psf", "psf licen", (r"psf licen[cs]e",), ("2",)),
     ("ofl", "open font", (r"(?:the )?(?:sil )?open font licen[cs]e",), ("1 0", "1 1")),
     ("odbl", "open database", (r"(?:the )?open(?: data commons open)? database licen[cs]e",), ("1 0",)),
     ("zpl", "zope", (r"(?:the )?zope public licen[cs]e",), ("1 1", "2 0", "2 1")),
-    ("php", "php license", (r"(?:the )?php licen[cs]e",), ("3 0", "3 01")),
+    ("php", "php licen", (r"(?:the )?php licen[cs]e",), ("3 0", "3 01")),
     ("cpl", "common public", (r"(?:the )?common public licen[cs]e",), ("1 0",)),
     ("ipl", "ibm public", (r"(?:the )?ibm public licen[cs]e",), ("1 0",)),
     ("qpl", "q public", (r"(?:the )?q public licen[cs]e",), ("1 0",)),
@@ -67,7 +70,7 @@ COMMONS_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 
 # Sentences and names that are a rule of their own, as (label, keyword, pattern).
 SINGLE = (
-    ("mit", "mit license", r"(?:the )?mit licen[cs]e"),
+    ("mit", "mit licen", r"(?:the )?mit licen[cs]e"),
     ("mit", "mit", r"(?:released|licensed|distributed|available) under (?:the )?(?:terms of )?(?:the )?mit(?: licen[cs]e)?"),
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit-0", "mit no attribution", r"mit no attribution"),
@@ -75,10 +78,12 @@ SINGLE = (
     ("isc", "isc", r"(?:the )?isc licen[cs]e"),
     ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "bsd", r"(?:the )?(?:new |modified |revised |simplified )?bsd(?: style)? licen[cs]e"),
-    ("bsd-2-clause", "bsd", r"(?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
+    ("bsd-2-clause", "bsd", r"(?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?"),
+    ("bsd-2-clause", "freebsd", r"(?:the )?freebsd(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", r"(?:the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
     ("bsd-4-clause", "bsd", r"(?:the )?(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
-    ("bsd-0-clause", "bsd", r"(?:the )?(?:0bsd|bsd 0 clause|zero clause bsd)(?: licen[cs]e)?"),
+    ("bsd-0-clause", "bsd", r"(?:the )?(?:bsd 0 clause|zero clause bsd)(?: licen[cs]e)?"),
+    ("bsd-0-clause", "0bsd", r"(?:the )?0bsd(?: licen[cs]e)?"),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "neither the name", r"neither the name of .{1,80}? nor the names of its contributors may be used to endorse"),
     ("zlib", "zlib", r"(?:the )?zlib(?: libpng)? licen[cs]e"),
@@ -94,7 +99,7 @@ SINGLE = (
     ("jquery", "jquery", r"jquery licen[cs]e"),
     ("openssl", "openssl", r"openssl licen[cs]e"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[cs]e"),
-    ("json", "json license", r"json licen[cs]e"),
+    ("json", "json licen", r"json licen[cs]e"),
     ("json", "good not evil", r"the software shall be used for good not evil"),
     ("proprietary", "all rights reserved", r"all rights reserved"),
     ("proprietary", "proprietary and confidential", r"proprietary and confidential"),
@@ -116,8 +121,8 @@ PRIORITIES = 5
 def rules() -> Iterator[tuple[str, int, str, str]]:
     """(label, priority, keyword, pattern) in order: names first, then versions, "or later" forms, identifiers.
 
-    A pattern works on words set apart by single blanks and begins and ends at a word; the keyword is plain text without
-    which it cannot match. The higher priority suppresses what it contains; earlier rules come first among equals.
+    A pattern works on words set apart by single blanks and begins and ends at a word; the keyword is plain text that begins
+    at a word of everything the pattern matches, in each of its spellings. The higher priority suppresses what it contains; earlier rules come first among equals.
     """
     for label, keyword, names, versions in FAMILIES:
         for name in names:

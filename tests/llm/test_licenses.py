@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import re._parser as parser
 
 from lectern.llm import licenses as lc
 from lectern.llm.catalog import op9_licenses
@@ -64,3 +65,46 @@ def test_labels_of_known_sentences(docs_of):
 def test_plan_is_narrow_and_native(sf):
     shown = lc.scan(sf("documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in shown and "Python" not in shown
+
+
+def samples(parsed):
+    """Strings that a pattern matches: each alternative and spelling, with and without each optional part."""
+    out = [""]
+    for op, value in parsed:
+        match str(op):
+            case "LITERAL":
+                forms = [chr(value)]
+            case "IN":
+                forms = [chr(v) if str(o) == "LITERAL" else "x" for o, v in value]
+            case "ANY":
+                forms = ["x"]
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                forms = [s * n for n in dict.fromkeys((value[0], max(value[0], 1))) for s in samples(value[2])]
+            case "SUBPATTERN":
+                forms = samples(value[3])
+            case "BRANCH":
+                forms = [s for branch in value[1] for s in samples(branch)]
+            case "ASSERT_NOT":
+                forms = [""]
+        out = [a + b for a in out for b in dict.fromkeys(forms)]
+    return out
+
+
+def ungated(text):
+    line = f" {text} "
+    hits = [(m.start(), m.end(), p, rank, label) for rank, (label, p, _, r) in enumerate(RULES) for m in r.finditer(line)]
+    hits.sort(key=lambda h: (h[0], -h[1], -h[2], h[3]))
+    kept = {h[4] for n, h in enumerate(hits) if not any(g[1] >= h[1] and g[2] >= h[2] for g in hits[:n])}
+    return ",".join(sorted(kept | {label for phrase, label in lc.BASE if f" {phrase} " in line}))
+
+
+def test_all_that_a_pattern_matches_passes_its_keyword(docs_of):
+    tried = []
+    for _, priority, keyword, pattern in lc.rules():
+        forms = samples(parser.parse(pattern))
+        assert all(f" {keyword}" in f" {s}" for s in forms), (keyword, pattern)
+        tried += forms if priority <= 2 else forms[:2]
+    tried = list(dict.fromkeys(tried))
+    got = {r.doc_id: r.labels for r in lc.scan(docs_of(list(enumerate(tried)))).collect()}
+    assert {s: got[i] for i, s in enumerate(tried)} == {s: ungated(s) for s in tried}
+    assert {"freebsd license", "0bsd", "gfdl", "psf licence", "the mit licence", "php licence", "json licence", "gnu general public licence"} <= {s for s in tried if ungated(s)}
