@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import urls
 from lectern.llm.ball_tree import search_embeddings
+from lectern.llm.hard_negatives import NEGATIVES_SQL, mine
 from lectern.llm.language import identify_held_out
 from lectern.llm.licenses import scan
+from lectern.llm.manifest import manifest_sql, prove_documents
 from lectern.llm.merkle import fingerprint_documents
 from lectern.llm.mixture import mix
 from lectern.llm.near_dedup import near_duplicates
 from lectern.llm.packing import pack_documents
 from lectern.llm.pii import pseudonymize
+from lectern.llm.quality import judge_quality, quality_sql
 from lectern.llm.shared import table
 from lectern.llm.toxicity import rate_documents
 
@@ -66,6 +69,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return rate_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return prove_documents(table(spark, folder, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return mine(table(spark, folder, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -148,6 +163,12 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op11_manifest": op11_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_quality": op13_quality,
 }
 
-ORACLE: dict[str, str] = {"op4_mixture": OP4_SQL, "op5_topk": OP5_SQL, "op7_urls": _op7_sql()}
+ORACLE: dict[str, str] = {
+    "op4_mixture": OP4_SQL, "op5_topk": OP5_SQL, "op7_urls": _op7_sql(), "op11_manifest": manifest_sql(), "op12_hard_negatives": NEGATIVES_SQL,
+    "op13_quality": quality_sql(),
+}
