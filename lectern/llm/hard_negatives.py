@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import saved
-from lectern.llm.vectors import LONGEST, as_long, finite, matrix, numbered, products, scaled
+from lectern.llm.vectors import LONGEST, finite, matrix, numbered, products, scaled
 
 K = 5
 #: Reference directions, chosen among so many rows (those of the smallest hashes); they steer the pruning, not the result.
@@ -113,7 +113,7 @@ def _search(k: int, same: bool):
                     able = scored[i] & ((labels == label) if same else (labels != label)) & (rows != anchor)
                     for want in wants[i]:
                         fit = able & (scores[i] >= want["low"]) & (scores[i] <= want["high"])
-                        out += [(anchor, want["want"], rows[p], ids[p], as_long(scores[i][p])) for p in _best(scores[i], ids, fit, k)]
+                        out += [(anchor, want["want"], rows[p], ids[p], int(scores[i][p])) for p in _best(scores[i], ids, fit, k)]
         return pd.DataFrame(out, columns=["anchor", "want", "row", "vec_id", "score"]).astype("int64")
 
     return run
@@ -173,7 +173,7 @@ def mine(embeddings: DataFrame, anchors: str = "vec_id % 100 = 0", k: int = K, s
     Rows take part if label, vec_id and vector are there and all components are finite; a table without labels gives
     nothing. Rows count one by one: another row with the anchor's id is a candidate like any other, each row of a
     repeated anchor id mines for itself, and a repeated positive does so in each of its places. Vectors of different
-    lengths do not meet. Ties go to the smaller vec_id. Scores beyond a long become the outermost long. Columns other
+    lengths do not meet. Ties go to the smaller vec_id. Scores beyond a long count as the outermost long. Columns other
     than vec_id, label and embedding take no part.
     """
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("bigint")

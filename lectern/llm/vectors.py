@@ -37,13 +37,8 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of the rows of ``a`` with those of ``b``: float64 where sums stay exact in it, else Python's
-    integers, which are slow but never round."""
+    integers, which are slow but never round; beyond a long they become the outermost long."""
     if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(a.shape[1], 1) < EXACT:
         return a @ b.T
     whole = [np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (a, b)]
-    return np.dot(whole[0], whole[1].T)
-
-
-def as_long(score: object) -> int:
-    """A score as a long; what lies beyond one becomes the outermost."""
-    return max(-LONGEST - 1, min(LONGEST, int(score)))
+    return np.frompyfunc(lambda s: max(-LONGEST - 1, min(LONGEST, s)), 1, 1)(np.dot(whole[0], whole[1].T))
