@@ -115,13 +115,13 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN q ON r.source
 
 OP5_SQL = """
 WITH v AS (
-  SELECT CAST(vec_id AS BIGINT) AS vec_id, [floor(CAST(x AS DOUBLE) * 256) for x in embedding] AS q
+  SELECT row_number() OVER () AS n, CAST(vec_id AS BIGINT) AS vec_id, [floor(CAST(x AS DOUBLE) * 256) for x in embedding] AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 p AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+  SELECT a.n, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.n <> b.n AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 

@@ -43,10 +43,30 @@ def test_many_shards_and_blocks_with_ties(spark):
     assert found(bt.top_k(rows, asked, shard_rows=90, block_queries=5).collect()) == brute(vectors)
 
 
+def slow_rows(rows):
+    """Row by row: (query_id, rank, vec_id, score) over (vec_id, vector) rows, repeated ids and all."""
+    out = []
+    for n, (q, v) in enumerate(rows):
+        if q is not None and q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(rows) if m != n and i is not None and len(w) == len(v))
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:5], 1)]
+    return sorted(out)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (50, [0.0, 1.0], 2), (3, None, 1), (4, [nan, 1.0], 1), (5, [inf, 0.0], 1), (6, [None, 1.0], 1), (None, [1.0, 1.0], 1), (7, [1.0, 1.0, 1.0], 1), (100, [], 1), (8, [-1.0, -1.0], 1)]
-    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int")
-    assert found(bt.search_embeddings(table).collect()) == {0: [(50, 0), (8, -65536)], 50: [(0, 0), (8, -65536)]}
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (50, [0.0, 1.0], 2), (3, None, 1), (4, [nan, 1.0], 1), (5, [inf, 0.0], 1), (6, [None, 1.0], 1), (None, [1.0, 1.0], 1),
+            (7, [1.0, 1.0, 1.0], 1), (100, [], 1), (8, [-1.0, -1.0], 1), (1, [0.5, 0.0], 1), (1, [0.9, 0.0], 1), (1, [0.9, 0.0], 1)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int").selectExpr("*", "1 as row", "2 as own", "3 as ask")
+    able = [(i, whole(v)) for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    able = [(i, [math.floor(256 * 0.8999999761581421) if x == 230 else x for x in v]) for i, v in able]
+    assert sorted(tuple(r) for r in bt.search_embeddings(table).collect()) == slow_rows(able)
     assert bt.search_embeddings(table.filter("false")).count() == 0
-    assert bt.search_embeddings(table.filter("vec_id = 0")).count() == 0
+    assert bt.search_embeddings(table.filter("vec_id = 7")).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    vectors = [(0, [2.0**60, 1.0]), (1, [4.0, 3.0]), (2, [4.0, 2.0]), (3, [2.0**60, 0.0]), (4, [-(2.0**60), 0.0])]
+    rows = spark.createDataFrame(vectors, "vec_id bigint, vector array<double>")
+    got = bt.top_k(rows, rows.filter("vec_id = 0").withColumnRenamed("vec_id", "query_id")).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 3, 2**63 - 1), (2, 1, 2**62 + 3), (3, 2, 2**62 + 2), (4, 4, -(2**63))]
