@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import WORD, saved
+from lectern.llm.shared import WORD, saved, unnamed
 
 EPOCHS = 3.0
 #: Each source's documents are dealt by hash into so many slots; the fractional repetition ends inside one of them.
@@ -121,18 +121,21 @@ def repeat_documents(docs: DataFrame, weights: DataFrame | None = None, epochs:
     that it takes in part. Columns are those of ``docs`` (n_chars, where there is one, follows the text)."""
     sized = saved(docs.select("source", word_count(F.col("text")).alias("size"), slot(F.col("doc_id"), seed).alias("slot")), "sizes")
     rates = saved(_rates(sized, _targets(sized, weights, epochs), SLOTS), "rates")
-    rates = rates.select(F.struct(*rates.columns).alias("_rate"))
-    mixed = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_slot", slot(F.col("doc_id"), seed))
-    mixed = mixed.join(rates, F.col("source").eqNullSafe(F.col("_rate.source")))
-    more = F.when(F.col("_slot") < F.col("_rate.cut"), F.col("_size")).when(
-        F.col("_slot") == F.col("_rate.cut"), F.floor(F.col("_size") * F.col("_rate.part") + 0.5)).otherwise(0).cast("int")
-    whole = (F.col("_rate.whole") + (more == F.col("_size")).cast("int")).cast("int")
-    cut = F.when((more > 0) & (more < F.col("_size")), more).otherwise(0)
+    rates = rates.select(F.struct(*rates.columns).alias("rate"))
+    plain, names, back = unnamed(docs)
+    old = F.col(names["text"])
+    mixed = plain.withColumn("size", word_count(old)).withColumn("slot", slot(F.col(names["doc_id"]), seed))
+    mixed = mixed.join(rates, F.col(names["source"]).eqNullSafe(F.col("rate.source")))
+    more = F.when(F.col("slot") < F.col("rate.cut"), F.col("size")).when(
+        F.col("slot") == F.col("rate.cut"), F.floor(F.col("size") * F.col("rate.part") + 0.5)).otherwise(0).cast("int")
+    whole = (F.col("rate.whole") + (more == F.col("size")).cast("int")).cast("int")
+    cut = F.when((more > 0) & (more < F.col("size")), more).otherwise(0)
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.filter(F.array(cut), lambda x: x > 0))
-    rows = mixed.withColumn("_words", F.explode(copies))
-    ends = F.split("text", rf"(?<={WORD[:-1]})(?={WORD[:1]}{WORD[2:-1]})")
-    first = F.array_join(F.slice(ends, 1, F.greatest(F.col("_words"), F.lit(1))), "")
-    rows = rows.withColumn("text", F.when(F.col("_words") > 0, first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    rows = mixed.withColumn("words", F.explode(copies))
+    ends = F.split(old, rf"(?<={WORD[:-1]})(?={WORD[:1]}{WORD[2:-1]})")
+    first = F.array_join(F.slice(ends, 1, F.greatest(F.col("words"), F.lit(1))), "")
+    rows = rows.withColumn(names["text"], F.when(F.col("words") > 0, first).otherwise(old))
+    if "n_chars" in names:
+        count, kind = names["n_chars"], docs.schema["n_chars"].dataType
+        rows = rows.withColumn(count, F.when(F.col("words") > 0, F.length(old).cast(kind)).otherwise(F.col(count)))
+    return rows.select(*back)

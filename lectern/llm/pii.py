@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import unnamed
+
 ROUNDS = 6
 #: A pseudonym outside the valid values is permuted again; so many times always suffice in practice (see ``_walk``).
 WALKS = 64
@@ -347,24 +349,34 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     values that it holds or that begin in it; a text without any match stays as it is, byte for byte. Nulls stay null with 0 found; a column already named ``private`` or
     ``private_kinds`` is replaced. No shuffle, no Python. ``key`` shows in the plan: keep plans where the key may be.
     """
+    done, back = _rewritten_texts(docs, key, text_col)
+    back = [c for c, name in zip(back, docs.columns) if name not in ("private", "private_kinds")]
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))), ",")
+    count = F.coalesce(F.when(F.col("found").isNotNull(), F.size("found")), F.lit(0))
+    return done.select(*back, count.alias("private"), F.coalesce(kinds, F.lit("")).alias("private_kinds"))
+
+
+def _rewritten_texts(docs: DataFrame, key: str, text_col: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` under plain names with its texts rewritten, ``found`` (what was, in order) and ``old`` (the text before),
+    and its columns under their own names."""
+    plain, names, back = unnamed(docs)
+    text = F.col(names[text_col])
     # every match holds one of these, and most texts do not
-    hint = F.col(text_col).rlike("[0-9@]|AKIA|ASIA")
-    hit = F.coalesce(hint & F.col(text_col).rlike(f"{ANY}|{_LOOSE}"), F.lit(False))
+    hint = text.rlike("[0-9@]|AKIA|ASIA")
+    hit = F.coalesce(hint & text.rlike(f"{ANY}|{_LOOSE}"), F.lit(False))
     # what is used twice is a column of its own: both uses share one evaluation
-    found = docs.withColumn("_seen", F.when(hit, _candidates(F.col(text_col)))).withColumn("_taken", _taken(F.col("_seen")))
-    found = found.withColumn("_found", _replaced(F.concat("_taken", _rest(F.col("_seen"), F.col("_taken"))), key)).drop("_seen", "_taken")
-    hits = F.col("_found")
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["kind"]))), ",")
-    text = F.when(F.size(hits) > 0, _rewritten(F.col(text_col), F.col("_found"))).otherwise(F.col(text_col))
-    done = found.withColumns({"private": F.coalesce(F.when(F.col("_found").isNotNull(), F.size(hits)), F.lit(0)), "private_kinds": F.coalesce(kinds, F.lit("")), text_col: text})
-    return done.drop("_found")
+    found = plain.withColumn("seen", F.when(hit, _candidates(text))).withColumn("taken", _taken(F.col("seen")))
+    found = found.withColumn("found", _replaced(F.concat("taken", _rest(F.col("seen"), F.col("taken"))), key)).drop("seen", "taken")
+    new = F.when(F.size("found") > 0, _rewritten(text, F.col("found"))).otherwise(text)
+    return found.withColumns({names[text_col]: new, "old": text}), back
 
 
 def pseudonymize_documents(docs: DataFrame, key: str) -> DataFrame:
-    """The documents with pseudonyms in their texts; columns are those of ``docs`` (pseudonyms keep lengths but for
-    addresses, so n_chars, where there is one, is counted anew for changed texts)."""
-    done = pseudonymize(docs.withColumns({"_private": F.lit(None), "_text": F.col("text")}), key)
+    """The documents with pseudonyms in their texts; columns are those of ``docs``, whatever their names (pseudonyms keep
+    lengths but for addresses, so n_chars, where there is one, is counted anew for changed texts)."""
+    done, back = _rewritten_texts(docs, key, "text")
     if "n_chars" in docs.columns:
+        text, count = (f"c{docs.columns.index(c)}" for c in ("text", "n_chars"))
         kind = docs.schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.when(F.col("text") != F.col("_text"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+        done = done.withColumn(count, F.when(F.col(text) != F.col("old"), F.length(text).cast(kind)).otherwise(F.col(count)))
+    return done.select(*back)

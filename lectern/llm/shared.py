@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,9 +17,11 @@ REMEMBERED = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a session that names none (a test) gets its own."""
+    """The folder that driver and executors share; a session in one process (a test) that names none gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -34,6 +38,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def unnamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """``docs`` with plain names c0, c1, …, so that no column of an operator's own can clash with one; the plain name of
+    each column, and the columns under their old names."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*plain), dict(zip(docs.columns, plain)), [F.col(p).alias(n) for p, n in zip(plain, docs.columns)]
+
+
 class Memory(dict):
     """A dict of bounded size: when the newer half is full, the older one goes."""
 

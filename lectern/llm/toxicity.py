@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import Memory
+from lectern.llm.shared import Memory, unnamed
 
 #: Labelled documents of each grade that the model is fitted on, at most.
 PER_GRADE = 3000
@@ -212,6 +212,7 @@ def rate_documents(docs: DataFrame, labels: DataFrame, reject_from: float = REJE
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, reject_from: float = REJECT_FROM, per_grade: int = PER_GRADE) -> DataFrame:
-    """The documents that ``rate_documents`` does not reject, with the columns of ``docs``."""
-    rated = score(docs, fit(docs, grades_of(labels), per_grade))
-    return rated.filter(F.col("_toxicity.toxic_p") < reject_from).select(*docs.columns)
+    """The documents that ``rate_documents`` does not reject, with the columns of ``docs``, whatever their names."""
+    plain, names, back = unnamed(docs)
+    rated = score(plain, fit(docs, grades_of(labels), per_grade), names["text"])
+    return rated.filter(F.col("_toxicity.toxic_p") < reject_from).select(*back)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from lectern.llm import toxicity as tx
 from lectern.llm.packing import CAPACITY
@@ -57,6 +59,18 @@ def test_every_stage_against_brute_force(spark, sf, folder):
     assert max(filled.values()) <= CAPACITY
 
 
+def test_stages_leave_columns_of_any_name_alone(spark, docs_of):
+    taken = ["private", "private_kinds", "_found", "_seen", "_taken", "_text", "_private", "_size", "_slot", "_rate", "_words", "_toxicity", "found", "old",
+             "seen", "taken", "slot", "rate", "words", "node", "root", "row", "doc", "mark", "bands", "c0", "c1"]
+    docs = docs_of([(1, "call 415-555-2671 or a@b.example today, please do", "en", "a"), (2, None, "en", "a"), (3, "", None, None)])
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in taken})
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in taken), name
+
+
 def test_run_gives_pieces(spark):
     rows = cp.run(spark, SF).collect()
     assert rows and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} == set(rows[0].asDict())
