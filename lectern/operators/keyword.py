@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.questions import INDEX_TOKEN, index_terms
-from lectern.functions.text import substring_count
 from lectern.operators.ranking import top_per_group
 from lectern.operators.spread import salted_join
 from lectern.session import settle
@@ -16,7 +20,9 @@ from lectern.sources.tables import upsert
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WORD = r"[\p{L}\p{N}]+"
 #: Runs of the letters that scan terms are made of, after lower-casing.
-SCAN_WORD = r"[a-z0-9_-]+"
+_SCAN_WORD = re.compile("[a-z0-9_-]+")
+#: Lists of terms of one pass over the chunks, chunks counted at a time, rows and words that a task remembers.
+SCAN_QUESTIONS, SCAN_ROWS, SCAN_KEPT, KNOWN_WORDS = 1024, 2000, 200_000, 500_000
 SCORE_DIGITS = 6
 
 
@@ -126,34 +132,120 @@ def bm25_topk(q: DataFrame, index: DataFrame, k: int, scope: list[str] | None =
     return top_per_group(totals, ["query_id"], ["score", "chunk_id"], k, rank_col="rank")
 
 
+class _Terms:
+    """The terms of a bounded number of questions, looked up in words by their first letters."""
+
+    def __init__(self, lists: list[list[str]]):
+        self.names = sorted({t for terms in lists for t in terms})
+        place = {t: i for i, t in enumerate(self.names)}
+        # how often each question has each term
+        self.times = np.zeros((len(self.names), len(lists)), dtype=np.float32)
+        for at, terms in enumerate(lists):
+            for t in terms:
+                self.times[place[t], at] += 1
+        self.starts: dict[str, list[tuple[int, str]]] = {}
+        for t, i in place.items():
+            self.starts.setdefault(t[:3], []).append((i, t))
+        self.seen: dict[str, np.ndarray] = {}
+
+    def inside(self, word: str) -> np.ndarray:
+        """The terms a word holds, each as often as it stands there without overlapping itself."""
+        found = self.seen.get(word)
+        if found is None:
+            hits, free = [], {}
+            for at in range(len(word) - 1):
+                for gram in {word[at : at + 2], word[at : at + 3]}:
+                    for i, t in self.starts.get(gram, ()):
+                        if free.get(i, 0) <= at and word.startswith(t, at):
+                            hits.append(i)
+                            free[i] = at + len(t)
+            if len(self.seen) >= KNOWN_WORDS:
+                self.seen.clear()
+            found = self.seen[word] = np.array(hits, dtype=np.int64)
+        return found
+
+    def counts(self, texts: pd.Series) -> np.ndarray:
+        """texts x questions: occurrences of the question's terms, repeats of a term included."""
+        out = np.zeros((len(texts), len(self.names)), dtype=np.float32)
+        for row, text in enumerate(texts):
+            held = [self.inside(w) for w in _SCAN_WORD.findall(text or "")]
+            if held:
+                out[row] = np.bincount(np.concatenate(held), minlength=len(self.names))
+        return out @ self.times
+
+
+def _scan_best(lists: list[list[str]], k: int, keys: list[str], names: list[str]):
+    """The ``k`` best chunks of each question within each scope that a task sees, questions by their places in ``lists``."""
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["_n", "chunk_id"], ascending=[False, True], kind="stable").groupby([*keys, "_at"], dropna=False, sort=False).head(k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, kept = _Terms(lists), None
+        for batch in batches:
+            for start in range(0, len(batch), SCAN_ROWS):
+                part = batch.iloc[start : start + SCAN_ROWS].sort_values("chunk_id")  # ties go to the smaller id
+                counts = terms.counts(part["_low"])
+                if keys:
+                    wanted = np.zeros(counts.shape, dtype=bool)
+                    for row, asks in enumerate(part["_asks"]):
+                        wanted[row, asks] = True
+                    rows, at = np.nonzero(wanted & (counts > 0))
+                else:
+                    top = np.argsort(-counts, axis=0, kind="stable")[:k]
+                    rows, at = top.ravel(), np.tile(np.arange(counts.shape[1]), len(top))
+                    held = counts[rows, at] > 0
+                    rows, at = rows[held], at[held]
+                found = part.iloc[rows][names].assign(_at=at.astype("int32"), _n=counts[rows, at].astype("int64"))
+                kept = best(found if kept is None else pd.concat([kept, found]))
+                if len(kept) > SCAN_KEPT:
+                    yield kept
+                    kept = None
+        if kept is not None:
+            yield kept
+
+    return run
+
+
 def keyword_scan_topk(
     q: DataFrame, chunks: DataFrame, k: int, scope: list[str] | None = None, order: str = "created_ord", newest: int | None = None
 ) -> DataFrame:
     """(query_id, chunk_id, file_id, score, rank) by minus the number of term occurrences, over every chunk of the scope.
 
-    A term counts wherever its letters stand, inside words as well. Terms and the words of a chunk are of the same
-    letters, so a term lies inside one word: the distinct words are matched with the terms once, by the first letters of
-    a term among a word's runs of three, and chunks meet terms by the words they hold. With ``newest``, only so many of
-    the newest chunks (of each scope) are looked at.
+    A term counts wherever its letters stand, inside words as well. Questions go to the chunks, ``SCAN_QUESTIONS`` lists
+    of terms at a time, and no text is shuffled: a task counts the terms of its chunks word by word (a term lies inside
+    one word, and a word is looked at once), multiplies the counts by the questions and keeps the best ``k`` chunks of
+    each. A term that every chunk holds costs no more than a rare one. With a scope, each chunk brings the questions
+    asked of its own scope. With ``newest``, only so many of the newest chunks (of each scope) are looked at.
     """
     keys = list(scope or [])
     if newest is not None:
         latest = [F.desc(order), F.desc("chunk_id")]
         chunks = top_per_group(chunks, keys, latest, newest) if keys else chunks.orderBy(*latest).limit(newest)
     asked = q.select(*keys, "query_id", index_terms(F.col("text")).alias("_terms")).filter(F.size("_terms") > 0)
-    uses = asked.select("query_id", *keys, F.explode("_terms").alias("_term")).groupBy(*keys, "query_id", "_term").agg(F.count("*").alias("_times"))
-    found = F.regexp_extract_all(F.lower("text"), F.lit(SCAN_WORD), 0)
-    words = chunks.select(*keys, "chunk_id", "file_id", F.explode(found).alias("_word")).groupBy(*keys, "chunk_id", "file_id", "_word").agg(F.count("*").alias("_n"))
-    grams = F.array_distinct(F.flatten(F.transform(F.array(F.lit(2), F.lit(3)), lambda n: F.when(
-        F.length("_word") >= n, F.transform(F.sequence(F.lit(1), F.length("_word") - n + 1), lambda i: F.substr("_word", i, n))
-    ).otherwise(F.array().cast("array<string>")))))
-    known = words.select("_word").distinct().withColumn("_gram", F.explode(grams))
-    terms = uses.select("_term").distinct().withColumn("_gram", F.substring("_term", 1, 3))
-    inside = known.join(terms, "_gram").filter(F.contains(F.col("_word"), F.col("_term"))).select(
-        "_word", "_term", substring_count(F.col("_word"), F.col("_term")).alias("_each")
-    )
-    counted = words.join(inside, "_word").groupBy(*keys, "chunk_id", "file_id", "_term").agg(F.sum(F.col("_n") * F.col("_each")).alias("_n"))
-    scored = counted.join(uses, [*keys, "_term"]).groupBy("query_id", "chunk_id", "file_id").agg(
-        (-F.sum(F.col("_n") * F.col("_times"))).cast("double").alias("score")
-    )
+    asked = settle(asked, "asked")
+    lists = asked.select("_terms").distinct()
+    passes = max(1, -(-lists.count() // SCAN_QUESTIONS))
+    names = list(dict.fromkeys([*keys, "chunk_id", "file_id"]))
+    texts = chunks.select(*names, F.lower("text").alias("_low"))
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", _at int, _n bigint"
+    scored = None
+    for block in range(passes):
+        mine = F.pmod(F.xxhash64("_terms"), F.lit(passes)) == block
+        own = [r[0] for r in lists.filter(mine).sort("_terms").collect()]  # about SCAN_QUESTIONS lists of a few terms
+        if not own:
+            continue
+        places = q.sparkSession.createDataFrame(list(enumerate(own)), "_at int, _terms array<string>")
+        here = asked.filter(mine).join(F.broadcast(places), "_terms").drop("_terms")
+        rows = texts
+        if keys:
+            asks = here.groupBy(*keys).agg(F.sort_array(F.collect_set("_at")).alias("_asks"))
+            rows = salted_join(texts, asks, keys, ["chunk_id"])
+        found = rows.mapInPandas(_scan_best(own, k, keys, names), schema)
+        here = here.select("query_id", *(F.col(c).alias(c) for c in [*keys, "_at"]))
+        found = found.join(here, [*keys, "_at"]).select("query_id", "chunk_id", "file_id", (-F.col("_n")).cast("double").alias("score"))
+        scored = found if scored is None else scored.unionByName(found)
+    if scored is None:
+        kinds["query_id"] = asked.schema["query_id"].dataType.simpleString()
+        scored = q.sparkSession.createDataFrame([], ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "chunk_id", "file_id")) + ", score double")
     return top_per_group(scored, ["query_id"], ["score", "chunk_id"], k, rank_col="rank")

@@ -249,16 +249,9 @@ def scan_raw(q: DataFrame, docs: DataFrame, max_windows: int = scan.MAX_WINDOWS,
     ``q``: query_id, file_id, text. ``docs``: file_id, text. The windows of a scan over several files of
     one query are shared: max_windows div number of files.
     """
-    lines = settle(scan.to_lines(docs.select("file_id", "text")), "lines")
     counts = q.groupBy("query_id").agg(F.count("*").alias("_files"))
     share = q.join(counts, "query_id").withColumn("max_windows", F.greatest(F.lit(1), F.floor(F.lit(max_windows) / F.col("_files"))).cast("int"))
-    ranges = scan.raw_windows(share, lines, "max_windows", context)
-    scored = settle(scan.scored_windows(q, ranges, lines), "scored")
-    chosen = scan.select_raw_windows(scored, lines, share.select("query_id", "file_id", "max_windows"), context)
-    start = scan.raw_overview(q, chosen, lines, context)
-    return chosen.select("query_id", "file_id", "line_start", "line_end", "text", "score", "place", "neighbor").unionByName(
-        start.select("query_id", "file_id", "line_start", "line_end", "text", "score", F.lit(1).alias("place"), F.lit(False).alias("neighbor"))
-    )
+    return scan.scan_windows(share, docs, "max_windows", context)
 
 
 def answer_packs(plan: DataFrame, hits: DataFrame, memory: DataFrame, scope_files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -182,20 +182,83 @@ def test_budgeted_windows_shrink_cut_and_stop(spark):
     assert rows[2].text == "y" * 2800 + "\n… (truncated)"
 
 
-def test_neighbor_windows(spark):
-    lines = spark.createDataFrame([("f", i, f"line {i}") for i in range(1, 201)], "file_id string, line_no int, line string")
-    q = spark.createDataFrame([(1, "f", "line keyword100x")], "query_id int, file_id string, text string")
-    scored = spark.createDataFrame([(1, "f", 90, 110, "t", 5.0), (1, "f", 1, 20, "u", 3.0)], "query_id int, file_id string, line_start int, line_end int, text string, score double")
-    out = scan.select_raw_windows(scored, lines, 4, 5).orderBy("place").collect()
-    assert [(r.line_start, r.line_end, r.neighbor) for r in out] == [(90, 110, False), (1, 20, False), (80, 89, True), (111, 120, True)]
-    assert [r.place for r in scan.select_raw_windows(scored, lines, 2, 5).collect()] == [1, 2]
-    assert scan.raw_overview(q, scored.limit(0), lines, 5).first().line_end == 60
+def slow_scan(text, patterns, most, context, overview=True):
+    """Windows of one document for one question, step by step: (line_start, line_end, neighbor) in order of place."""
+    lines = text.split("\n")
+    hits = []
+    for p in patterns:
+        for i, line in enumerate(lines, 1):
+            if p in (line.lower() if p == p.lower() else line) and i not in hits:
+                hits.append(i)
+    ranges = []
+    for n in sorted(hits[: 2 * most]):
+        start, end = max(1, n - context), min(len(lines), n + context)
+        if ranges and start <= ranges[-1][1] + 1:
+            ranges[-1][1] = max(end, ranges[-1][1])
+        else:
+            ranges.append([start, end])
+    body = lambda a, b: "\n".join(lines[a - 1 : b]).strip()
+    kept = []
+    for a, b in ranges:
+        if t := body(a, b):
+            k = sum(p.lower() in t.lower() for p in patterns)
+            kept.append((-round(k + k / len(t.split("\n")), 6), a, b))
+    best = sorted(kept)[:most]
+    out, sides, seen = [(a, b, False) for _, a, b in best], [], set()
+    for _, a, b in best if len(best) < most else []:
+        for side, (x, y) in enumerate(((max(a - 2 * context, 1), a - 1), (b + 1, min(b + 2 * context, len(lines))))):
+            if x <= y and y >= 1 and body(x, y) and (x, y) not in seen:
+                seen.add((x, y))
+                sides.append((side, x, y))
+    near = [next((s for s in sides if s[0] == side), None) for side in (0, 1)]
+    near = sorted((s for s in near if s), key=sides.index)
+    out += [(x, y, True) for _, x, y in near][: most - len(best)]
+    if not best and overview and body(1, max(60, 4 * context)):
+        out = [(1, min(len(lines), max(60, 4 * context)), False)]
+    return out
+
+
+@pytest.mark.parametrize("per_row", [1, 256])
+def test_scan_windows_against_brute_force(spark, monkeypatch, per_row):
+    monkeypatch.setattr(scan, "ASKS_PER_ROW", per_row)
+    rng = random.Random(5)
+    words = ["alpha", "bravo", "charlie", "delta", "Echo", "filler", "filler", "filler", ""]
+    docs = [(f"f{i}", "\n".join(" ".join(rng.choices(words, k=rng.choice([0, 1, 3]))) for _ in range(rng.choice([1, 5, 60, 200])))) for i in range(12)] + [("e", ""), ("n", None)]
+    asks = [(q, f, t, m) for q, (t, m) in enumerate([("alpha", 1), ("bravo charlie", 3), ("delta alpha bravo", 10), ("nothing here", 2), ("echoes", 4)]) for f, _ in docs] + [(9, "gone", "alpha", 3), (8, "f1", "  ", 3)]
+    q = spark.createDataFrame(asks, "query_id int, file_id string, text string, most int")
+    df = spark.createDataFrame(docs, "file_id string, text string")
+    for context in (2, 5):
+        got = {}
+        for r in scan.scan_windows(q, df, "most", context, per_pattern=None).orderBy("place").collect():
+            got.setdefault((r.query_id, r.file_id), []).append((r.line_start, r.line_end, r.neighbor))
+        texts = dict(docs)
+        want = {(i, f): slow_scan(texts[f], [w for w in t.split() if len(w) > 4], m, context) for i, f, t, m in asks if texts.get(f) is not None}
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def test_grep_takes_any_number_of_lines_and_patterns_as_they_are(spark):
+    docs = spark.createDataFrame([("f", "\n".join(f"Line {i} a.b" for i in range(7000)))], "file_id string, text string")
+    asked = [(1, "f", 0, "a.b"), (1, "f", 1, "line 6999"), (1, "f", 2, "LINE"), (1, "f", 3, " "), (2, "f", 0, "Line 1")]
+    rows = scan.grep_lines(docs, spark.createDataFrame(asked, "query_id int, file_id string, pattern_no int, pattern string"))
+    assert {(r.query_id, r.pattern_no): r["count"] for r in rows.groupBy("query_id", "pattern_no").count().collect()} == {(1, 0): 7000, (1, 1): 1, (2, 0): 1111}
+    first = scan.grep_lines(docs, spark.createDataFrame([(1, "f", 0, "^line [0-9]+ A")], "query_id int, file_id string, pattern_no int, pattern string"), 3, regex=True)
+    assert first.count() == 0
+    with pytest.raises(ValueError):
+        scan.grep_lines(docs, rows, 0)
 
 
 def test_window_bytes_cut(spark):
-    lines = spark.createDataFrame([("f", i, "é" * 1000) for i in range(1, 6)], "file_id string, line_no int, line string")
-    text = scan.cap_window_bytes(lines, ["file_id"], 1).first().text
-    assert text == "\n".join(["é" * 1000] * 2 + ["… (truncated)"])
+    docs = spark.createDataFrame([("f", "\n".join(["é" * 1000] * 5)), ("g", " a \n\n"), ("h", "x" * 5000)], "file_id string, text string")
+    texts = {r.file_id: r.text for r in scan.cap_window_bytes(docs, 1).collect()}
+    assert texts == {"f": "\n".join(["é" * 1000] * 2 + ["… (truncated)"]), "g": "a", "h": "… (truncated)"}
+
+
+def test_scanned_lines_meet_no_shuffle(spark):
+    """What is exchanged for a scan is the documents and the questions, never a table of lines."""
+    docs = spark.createDataFrame([("f", "a\nb")], "file_id string, text string")
+    q = spark.createDataFrame([(1, "f", "alpha")], "query_id int, file_id string, text string")
+    plan = scan.scan_windows(q, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(") == 2 and "posexplode" not in plan and "Window" not in plan
 
 
 @pytest.mark.parametrize("rows, queries", [(10, 7), (1000, 1000)])
@@ -430,6 +493,37 @@ def test_scan_sees_the_oldest_chunk_and_parts_of_words(spark):
     assert recent.count() == 0
 
 
+def test_keyword_scan_in_passes_and_scopes(spark, monkeypatch):
+    """Several passes, kept rows handed out early, scopes of one chunk and of many, ties, repeated terms: as by counting."""
+    from lectern.operators import keyword
+
+    monkeypatch.setattr(keyword, "SCAN_QUESTIONS", 2)
+    monkeypatch.setattr(keyword, "SCAN_ROWS", 7)
+    monkeypatch.setattr(keyword, "SCAN_KEPT", 11)
+    rng = random.Random(4)
+    letters = ["ab", "abab", "aab", "b_a", "the", "theta", "a-b", "zz", "q9"]
+    rows = [(f"c{i:03d}", f"f{min(i % 40, 5)}", i, " ".join(rng.choices(letters, k=rng.randrange(9))).upper() if i % 3 else "the " * (i % 5)) for i in range(150)] + [("n", "f1", 1, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, file_id string, created_ord int, text string")
+    asks = [(1, "the theta the"), (2, "ab"), (3, "zz q9 b_a"), (4, "nowhere"), (5, "ab"), (6, "aab abab"), (7, "!")]
+    low = [(c, f, (t or "").lower()) for c, f, _, t in rows]
+
+    def want(files=None):
+        out = set()
+        for i, text in asks:
+            scored = sorted((-sum(t.count(w) for w in text.split()), c) for c, f, t in low if files is None or f in files[i])
+            out |= {(i, c, float(s), r) for r, (s, c) in enumerate([x for x in scored if x[0] < 0][:5], 1)}
+        return out
+
+    q = spark.createDataFrame(asks, "query_id int, text string")
+    got = keyword.keyword_scan_topk(q, chunks, 5)
+    assert {(r.query_id, r.chunk_id, r.score, r["rank"]) for r in got.collect()} == want()
+    files = {i: {f"f{i % 6}", "f5"} for i, _ in asks}
+    scoped = spark.createDataFrame([(i, f, t) for i, t in asks for f in files[i]], "query_id int, file_id string, text string")
+    got = keyword.keyword_scan_topk(scoped, chunks, 5, scope=["file_id"])
+    assert {(r.query_id, r.chunk_id, r.score, r["rank"]) for r in got.collect()} == want(files)
+    assert keyword.keyword_scan_topk(q.limit(0), chunks, 5).count() == 0 and keyword.keyword_scan_topk(q, chunks.limit(0), 5).count() == 0
+
+
 def test_bm25_keeps_to_the_file_before_the_limit(spark):
     from lectern.operators import keyword
 
