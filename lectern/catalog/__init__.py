@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.catalog import base
 
-MODULES = ("texts", "planning", "retrieval", "evidence", "scans", "reports", "changes", "streams")
+MODULES = ("texts", "planning", "retrieval", "evidence", "scans", "reports", "changes", "streams", "stores")
 
 
 def _load() -> None:

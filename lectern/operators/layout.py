@@ -113,7 +113,8 @@ def score_headings(ordered: DataFrame, outline: DataFrame | None = None) -> Data
     rows = rows.withColumn("heading_score", F.when(possible, score).otherwise(0.0)).withColumn("heading_level", scored)
     if outline is not None:
         rows = match_outline(rows, outline)
-        toc = F.least(F.greatest(F.col("outline_level"), F.lit(1)), F.lit(6))
+        # greatest passes over nulls: a block that no title fits keeps its own level
+        toc = F.when(F.col("outline_level").isNotNull(), F.least(F.greatest(F.col("outline_level"), F.lit(1)), F.lit(6)))
         rows = rows.withColumn("heading_level", F.coalesce(toc, F.col("heading_level"))).drop("outline_level")
     return rows
 

@@ -360,7 +360,7 @@ def test_layout_order_headings_and_lists(spark):
     assert kinds == [("heading", "A Wide Title"), ("paragraph", "left one"), ("paragraph", "left two"), ("paragraph", "right one"), ("list", "a\nb\nc"),
                      ("code", "x | y\n1 | 2"), ("heading", "2.1 Numbered part")]
     outline = spark.createDataFrame([("d", 1, 2, "Left  One!"), ("d", 1, 5, "zzz")], "doc_id string, page int, level int, title string")
-    assert {r.block: r.heading_level for r in layout.score_headings(ordered, outline).collect()}[3] == 2
+    assert {r.block: r.heading_level for r in layout.score_headings(ordered, outline).collect()} == levels | {3: 2}
     lonely = spark.createDataFrame([span(4, 290.0, 770.0, 310.0, 790.0, ["Page 7"])], SPAN)
     assert layout.drop_page_furniture(lonely).count() == 1
 
