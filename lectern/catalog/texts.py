@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.catalog.base import Tables, query, strip_sql, tokens_sql, with_views, words_sql
@@ -11,7 +13,9 @@ from lectern.operators import blocks as B
 from lectern.operators import chunking, evidence, find
 from lectern.operators.scan import to_lines
 from lectern.plans import jobs
+from lectern.session import shared_dir
 from lectern.sources import files as sources
+from lectern.streaming.ingest import batch_writer
 
 NL = "chr(10)"
 TAGS = "|".join(REASONING_TAGS)
@@ -413,7 +417,7 @@ def code_language(t: Tables):
     return t.documents.select("doc_id", codes.code_language(_named(), mime).alias("language"))
 
 
-def _contents(t: Tables):
+def _contents(t: Tables, *more: str):
     """Documents as files of four kinds: text, JSON, CSV and HTML, with a bad byte at the end of plain text."""
     body = (
         F.when(F.col("lang") == "en", F.col("text").cast("binary"))
@@ -422,7 +426,7 @@ def _contents(t: Tables):
         .otherwise(F.concat(F.lit("<title>"), "source", F.lit("</title><p>"), "text", F.lit("</p><script>x</script>")).cast("binary"))
     )
     mime = F.when(F.col("lang") == "en", "text/plain").when(F.col("lang") == "fr", "application/json").when(F.col("lang") == "de", "text/csv").otherwise("text/html")
-    return t.docs.select("file_id", mime.alias("mime"), body.alias("content"))
+    return t.docs.select("file_id", mime.alias("mime"), body.alias("content"), *more)
 
 
 @query("s4_extract_text")
@@ -480,7 +484,7 @@ def small_doc_pack(t: Tables):
 
 @query("d1_ingest")
 def ingest(t: Tables):
-    files = _contents(t).join(t.docs.select("file_id", "doc_id", "source"), "file_id").select(
+    files = _contents(t, "doc_id", "source").select(
         F.concat(F.lit("/in/"), F.col("file_id"), F.when(F.col("mime") == "text/plain", ".txt").when(F.col("mime") == "application/json", ".json")
                  .when(F.col("mime") == "text/csv", ".csv").otherwise(".html")).alias("path"),
         F.concat(F.col("file_id"), F.when(F.col("mime") == "text/plain", ".txt").when(F.col("mime") == "application/json", ".json")
@@ -492,6 +496,53 @@ def ingest(t: Tables):
     return tables["vectors"].select("chunk_id", "file_id", "seq", F.size("vector").alias("dim"))
 
 
+INGESTED_SQL = """b AS (SELECT 'file_' || sha256(text) AS file_id, 'chat_' || source AS chat_id, strlen(text) AS size_bytes, doc_id, doc_id % 2 AS late FROM documents)"""
+
+
+def _ingested(t: Tables) -> str:
+    """Two batches of files into one sink, the second twice: documents of even ids, then all of them."""
+    sink = f"{shared_dir(t.spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    files = t.documents.select(
+        F.format_string("/in/%d.txt", "doc_id").alias("path"), F.octet_length("text").cast("bigint").alias("length"), F.timestamp_seconds("doc_id").alias("modificationTime"),
+        F.col("text").cast("binary").alias("content"), F.concat(F.lit("chat_"), "source").alias("chat_id"), "doc_id")
+    write = batch_writer(sink, "inbox", dims=t.spark.createDataFrame([(jobs.MODEL, jobs.VERSION, 256)], "embedding_model string, embedding_version int, dim int"))
+    write(files.filter("doc_id % 2 = 0"), 0)
+    for _ in range(2):
+        write(files, 1)
+    return sink
+
+
+@query("k1_ingest_files", f"""WITH {INGESTED_SQL}
+SELECT file_id, CAST(any_value(size_bytes) AS BIGINT) AS size_bytes, arg_min('/in/' || doc_id || '.txt', (late, doc_id)) AS path, CAST(min(late) AS INTEGER) AS batch_id, 'completed' AS status
+FROM b GROUP BY file_id""")
+def ingest_batches(t: Tables):
+    """Equal bytes are one file, read in the first batch that brings them; the replay adds nothing."""
+    return t.spark.read.parquet(f"{_ingested(t)}/files").select("file_id", "size_bytes", "path", "batch_id", "status")
+
+
+@query("k1_ingest_links", f"""WITH {INGESTED_SQL}
+SELECT chat_id, file_id, CAST(min(late) AS INTEGER) AS batch_id, CAST(arg_min(doc_id, (late, doc_id)) AS BIGINT) AS created_s FROM b GROUP BY chat_id, file_id""")
+def ingest_links(t: Tables):
+    links = t.spark.read.parquet(f"{_ingested(t)}/links")
+    return links.select("chat_id", "file_id", "batch_id", F.unix_seconds("created_at").alias("created_s"))
+
+
+@query("d1_ingest_files", f"""WITH {INGESTED_SQL}, n AS (SELECT doc_id, text FROM documents)
+SELECT b.file_id, CAST(any_value(size_bytes) AS BIGINT) AS size_bytes, '/in/' || min(b.doc_id) || '.txt' AS path, 'completed' AS status, true AS has_text, true AS has_vectors FROM b GROUP BY b.file_id""")
+def ingest_files(t: Tables):
+    """Every distinct text once, with its text, and with a vector for each of its chunks."""
+    files = t.documents.select(
+        F.format_string("/in/%d.txt", "doc_id").alias("path"), F.format_string("%d.txt", "doc_id").alias("filename"), F.octet_length("text").cast("bigint").alias("size_bytes"),
+        F.timestamp_seconds("doc_id").alias("created_at"), F.col("text").cast("binary").alias("content"), F.lit("chat").alias("chat_id"))
+    made = jobs.ingest(files)
+    chunks = made["chunks"].groupBy("file_id").agg(F.count_if(~text.is_blank(F.col("text"))).alias("n"))
+    vectors = made["vectors"].groupBy("file_id").agg(F.count("vector").alias("v"), F.count_distinct("chunk_id").alias("d"))
+    counts = chunks.join(vectors, "file_id", "left").join(made["file_text"].select("file_id", F.lit(True).alias("_text")), "file_id", "left")
+    same = (F.coalesce("v", F.lit(0)) == F.col("n")) & (F.coalesce("d", F.lit(0)) == F.col("n"))
+    return made["files"].join(counts, "file_id", "left").select(
+        "file_id", "size_bytes", "path", "status", F.coalesce("_text", F.lit(False)).alias("has_text"), F.coalesce(same, F.lit(False)).alias("has_vectors"))
+
+
 @query("d6_find")
 def find_job(t: Tables):
     docs = B.text_blocks(t.docs.select("file_id", "text")).select("file_id", "blocks")

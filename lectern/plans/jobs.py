@@ -17,30 +17,54 @@ from lectern.operators.embedding import embed, hashed_bag
 from lectern.operators.filters import classify_file_size, relevance_gate, resolve_scope
 from lectern.operators.hybrid import hybrid_topk
 from lectern.operators.keyword import bm25_topk, build_term_index, keyword_scan_topk
-from lectern.operators.maintenance import plan_retries
+from lectern.operators.maintenance import apply_updates, plan_retries
 from lectern.session import settle
 from lectern.sources.files import default_registry, detect_mime, extract
+from lectern.sources.tables import split_by_dimension
 
 MODEL, VERSION = "hashed-bag", 1
+#: Up to here paths are broadcast to the files' bytes (about 300 bytes each).
+BROADCAST_PATHS = 50_000
+
+
+def with_bytes(narrow: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of ``narrow`` (path, created_at, …) with their bytes. Few paths are brought to the bytes, in the task that
+    reads them; only more than ``BROADCAST_PATHS`` of them take a shuffle."""
+    keys = ["path", "created_at"]
+    wanted = F.broadcast(narrow) if narrow.count() <= BROADCAST_PATHS else narrow
+    return files.select(*keys, "content").join(wanted, keys)
 
 
 def ingest(
     files: DataFrame, factory: Callable | None = None, registry: dict | None = None, model: str = MODEL,
-    version: int = VERSION, now_s: int = 0,
+    version: int = VERSION, now_s: int = 0, known: DataFrame | None = None, known_links: DataFrame | None = None,
+    dims: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Files with bytes to tables: files, links, file_text, chunks, vectors, raw_large, failures.
 
-    ``files``: path, filename, size_bytes, created_at, content, chat_id. Equal bytes are read once. A
-    file that is refused or cannot be read becomes a failure row.
+    ``files``: path, filename, size_bytes, created_at, content, chat_id; a path names one file at a time. Equal bytes are
+    read once, and not at all where ``known`` (file_id) has them; ``known_links`` (chat_id, file_id) are not made again.
+    Bytes are hashed where they are scanned; what is grouped and joined from there on is their hash. A file that is
+    refused or cannot be read, or whose vectors do not have the dimension that ``dims`` expects of the model's version,
+    becomes a failure row.
     """
-    ident = files.withColumn("hash", F.sha2("content", 256)).withColumn("file_id", F.concat(F.lit("file_"), F.col("hash")))
+    ident = files.withColumn("hash", F.sha2("content", 256)).drop("content").withColumn("file_id", F.concat(F.lit("file_"), F.col("hash")))
+    ident = settle(ident, "identities")
     links = ident.groupBy("chat_id", "file_id").agg(F.min("created_at").alias("created_at"))
-    first = F.min_by("path", F.struct("created_at", "path")).alias("path")
-    chosen = ident.drop("content").groupBy("file_id").agg(first)
-    once = ident.join(chosen, ["file_id", "path"], "left_semi")
-    routed = classify_file_size(detect_mime(once, "filename"))
+    if known_links is not None:
+        links = links.join(known_links.select("chat_id", "file_id"), ["chat_id", "file_id"], "left_anti")
+    rest = [c for c in ident.columns if c not in ("file_id", "hash")]
+    once = ident.groupBy("file_id", "hash").agg(F.min_by(F.struct(*rest), F.struct("created_at", "path")).alias("_first")).select("file_id", "hash", "_first.*")
+    if known is not None:
+        # the new hashes go to the registry, however large it is, and come back as the few that it holds
+        once = settle(once, "once")
+        asked = once.select("file_id")
+        held = known.select("file_id").join(F.broadcast(asked) if asked.count() <= BROADCAST_PATHS else asked, "file_id", "left_semi").distinct()
+        once = once.join(held, "file_id", "left_anti")
+    routed = settle(classify_file_size(detect_mime(once, "filename")), "routed")
     taken = routed.filter("policy = 'ingest'")
-    texts = settle(extract(taken.select("file_id", "mime", "content"), registry or default_registry()), "texts")
+    read_now = with_bytes(taken.select("path", "created_at", "file_id", "mime"), files)
+    texts = settle(extract(read_now.select("file_id", "mime", "content"), registry or default_registry()), "texts")
     read = texts.filter(F.col("error").isNull()).select("file_id", normalize_text(F.col("text")).alias("plain_text"))
     with_blocks = text_blocks(read, "plain_text")
     owners = taken.select(
@@ -53,20 +77,25 @@ def ingest(
     chunks = settle(chunks, "chunks")
     usable = chunks.filter(~is_blank(F.col("text")))
     vectors = embed(usable, "text", factory or hashed_bag()).drop("text").withColumn("embedding_id", F.col("chunk_id"))
+    misfits = None
+    if dims is not None:
+        vectors, misfits = split_by_dimension(settle(vectors, "vectors"), dims)
     bad_read = texts.filter(F.col("error").isNotNull()).select(
         "file_id", F.regexp_extract("error", r"^(\w+)", 1).alias("exception_name"), F.col("error").alias("error_message")
     )
     refused = routed.filter("policy = 'rejected'").select(
         "file_id", F.lit("Rejected").alias("exception_name"), F.col("reject_reason").alias("error_message")
     )
-    failures = plan_retries(bad_read.unionByName(refused).withColumn("retry_count", F.lit(0)), now_s, jitter=0.0)
-    failed = failures.select("file_id", F.lit("failed").alias("_failed"))
-    rows = routed.drop("content").join(failed, "file_id", "left").withColumn(
-        "status", F.coalesce("_failed", F.lit("completed"))
-    ).drop("_failed", "reject_reason")
+    failed_now = bad_read.unionByName(refused)
+    if misfits is not None:
+        odd = misfits.groupBy("file_id").agg(F.min("error").alias("error_message"))
+        failed_now = failed_now.unionByName(odd.select("file_id", F.lit("DimensionMismatch").alias("exception_name"), "error_message"))
+    failures = plan_retries(failed_now.withColumn("retry_count", F.lit(0)), now_s, jitter=0.0)
+    rows = apply_updates(routed.drop("reject_reason").withColumn("status", F.lit("completed")), failures.select("file_id", F.lit("failed").alias("status")), ["file_id"])
+    large = with_bytes(routed.filter("policy = 'raw_large'").select("path", "created_at", "file_id", "filename"), files)
     return {
         "files": rows, "links": links, "file_text": with_blocks, "chunks": chunks, "vectors": vectors,
-        "raw_large": routed.filter("policy = 'raw_large'").select("file_id", "filename", "content"), "failures": failures,
+        "raw_large": large.select("file_id", "filename", "content"), "failures": failures,
     }
 
 

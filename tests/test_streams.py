@@ -156,6 +156,50 @@ def test_assembled_messages(spark, folder):
     assert batch <= got
 
 
+def test_batches_do_known_bytes_once(spark, folder):
+    from pyspark.sql import functions as F
+
+    from lectern.streaming import ingest as I
+
+    def batch(*rows):
+        df = spark.createDataFrame([(p, at(s), c.encode(), chat) for p, s, c, chat in rows], "path string, modificationTime timestamp, content binary, chat_id string")
+        return df.withColumn("length", F.when(F.col("path") == "/huge.txt", 1 << 27).otherwise(F.octet_length("content")).cast("bigint"))
+
+    def table(name):
+        return sorted(tuple(r) for r in spark.read.parquet(f"{folder}/sink/{name}").select(*{"files": ("file_id", "path", "status"), "links": ("chat_id", "file_id"), "chunks": ("chunk_id", "text")}[name]).collect())
+
+    write = I.batch_writer(f"{folder}/sink", "inbox")
+    first = batch(("/a.txt", 1, "one text", "x"), ("/b.txt", 2, "one text", "y"), ("/huge.txt", 3, "refused at first", "x"))
+    write(first, 0)
+    files, links, chunks = (table(n) for n in ("files", "links", "chunks"))
+    assert [(p, s) for _, p, s in files if s == "completed"] == [("/a.txt", "completed")] and len(links) == 3 and len(chunks) == 1
+    write(first, 0)
+    assert (table("files"), table("links"), table("chunks")) == (files, links, chunks)
+    # the same bytes under another name and in another chat, a new text, and the bytes that were refused
+    second = batch(("/c.txt", 9, "one text", "x"), ("/c.txt", 10, "one text", "z"), ("/d.txt", 11, "two", "x"), ("/cut.txt", 12, "refused at first", "x"))
+    for _ in range(2):
+        write(second, 1)
+        assert len(table("chunks")) == len({c for c, _ in table("chunks")}) and sum(t == "one text" for _, t in table("chunks")) == 1
+        assert len(table("links")) == 5
+    rows = {r.path: r for r in I.current_files(spark, f"{folder}/sink").collect()}
+    assert rows["/cut.txt"].status == "completed" and "/huge.txt" not in rows
+    assert rows["/a.txt"].status == "completed" and "/c.txt" not in rows and rows["/d.txt"].status == "completed"
+    assert I.is_known(spark, f"{folder}/sink", rows["/a.txt"].hash) and not I.is_known(spark, f"{folder}/sink", "0" * 64)
+    assert I.known_files(spark, f"{folder}/none") is None
+
+
+def test_no_bytes_in_a_shuffle(spark):
+    from lectern.plans import jobs
+
+    files = spark.createDataFrame([("/a.txt", "a.txt", 3, at(0), b"abc", "x")], "path string, filename string, size_bytes bigint, created_at timestamp, content binary, chat_id string")
+    narrow = files.select("path", "created_at")
+    plan = jobs.with_bytes(narrow, files)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    made = jobs.ingest(files, dims=spark.createDataFrame([(jobs.MODEL, jobs.VERSION, 3)], "embedding_model string, embedding_version int, dim int"))
+    assert made["vectors"].count() == 0 and made["failures"].first().exception_name == "DimensionMismatch"
+    assert made["files"].first().status == "failed"
+
+
 def test_ingest_stream_is_replayable(spark, folder):
     import pathlib
 
