@@ -19,10 +19,13 @@ from lectern.llm.shared import saved
 
 #: A section ends after a paragraph whose digest this divides, so an edit moves no other section's ends.
 SECTION = 8
-#: Digits of a digest below the root that a fingerprint string shows: enough to tell the nodes of two texts apart.
+#: Digits of a digest below the root that a fingerprint string shows, at least; of 16 that are compared in memory.
 SHORT = 6
-#: Leaves of a paragraph: runs that end with a sentence, or after 128 characters.
-_LEAF = re.compile(r"[^\n]{16,128}?[.!?]+(?=[ \t])|[^\n]{1,128}\n?|\n")
+#: Letters after which, at a word's end, a leaf may end where no sentence does: every sixteenth code point, so that the
+#: text decides and not the distance, and an insertion moves the ends around it only.
+_ENDS = "".join(map(chr, range(100, 0x250, 16)))
+#: Leaves of a paragraph: runs that end with a sentence, else with such a word, else after 128 characters.
+_LEAF = re.compile(rf"[^\n]{{16,128}}?(?:[.!?]+(?=[ \t])|[。！？｡।؟])|[^\n]{{16,128}}?[{_ENDS}](?=[ \t])|[^\n]{{1,128}}\n?|\n")
 
 
 def _digest(text: str) -> str:
@@ -35,14 +38,20 @@ class Tree:
 
     root: str
     sections: list[tuple[str, list[tuple[str, list[tuple[str, int]]]]]]
+    #: Digits that the digests below the root have.
+    digits: int = 16
 
     def __str__(self) -> str:
-        out = [self.root]
+        """The root, the number of digits (in hexadecimal) and the nodes; digests keep so many digits that even two trees
+        of this many nodes share one by chance once in about a thousand times."""
+        nodes = sum(2 + len(leaves) for _, paragraphs in self.sections for _, leaves in paragraphs)
+        n = min(self.digits, max(SHORT, -(-(2 * nodes.bit_length() + 10) // 4)))
+        out = [f"{self.root}{n:x}" if n < 16 else f"{self.root}g"]
         for section, paragraphs in self.sections:
-            out.append(f"/{section[:SHORT]}")
+            out.append(f"/{section[:n]}")
             for paragraph, leaves in paragraphs:
-                out.append(f":{paragraph[:SHORT]}")
-                out.extend(f",{leaf[:SHORT]}.{size:x}" for leaf, size in leaves)
+                out.append(f":{paragraph[:n]}")
+                out.extend(f",{leaf[:n]}.{size:x}" for leaf, size in leaves)
         return "".join(out)
 
 
@@ -63,21 +72,18 @@ def build(text: str) -> Tree:
 
 
 def parse(fingerprint: str) -> Tree:
-    """The tree of a fingerprint string; digests below the root are shortened to ``SHORT`` digits there."""
-    root, *sections = fingerprint.split("/")
+    """The tree of a fingerprint string, its digests below the root as short as they are there."""
+    head, *sections = fingerprint.split("/")
+    root, digits = head[:-1], int(head[-1], 17)
     out = []
     for section in sections:
         digest, *paragraphs = section.split(":")
         rows = []
         for paragraph in paragraphs:
             name, *leaves = paragraph.split(",")
-            rows.append((name, [(leaf[:SHORT], int(leaf[SHORT + 1 :], 16)) for leaf in leaves]))
+            rows.append((name, [(leaf[:digits], int(leaf[digits + 1 :], 16)) for leaf in leaves]))
         out.append((digest, rows))
-    return Tree(root, out)
-
-
-def _branches(nodes: list[tuple]) -> Counter:
-    return Counter(d[:SHORT] for d, _ in nodes)
+    return Tree(root, out, digits)
 
 
 def _weight(node: tuple) -> int:
@@ -85,33 +91,36 @@ def _weight(node: tuple) -> int:
     return below if isinstance(below, int) else sum(map(_weight, below))
 
 
-def _differing(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], list[tuple], int]:
-    """Nodes of each side without a partner of the same digest on the other, and the characters under the partners."""
-    both = _branches(a) & _branches(b)
+def _differing(a: list[tuple], b: list[tuple], digits: int) -> tuple[list[tuple], list[tuple], int]:
+    """Nodes of each side without a partner of the same digest and size on the other, and the characters under the partners."""
+    names = [[(node[0][:digits], _weight(node)) for node in side] for side in (a, b)]
+    both = Counter(names[0]) & Counter(names[1])
     shared, left = 0, both.copy()
     rest_a, rest_b = [], []
-    for node in a:
-        if left[node[0][:SHORT]]:
-            left[node[0][:SHORT]] -= 1
-            shared += _weight(node)
+    for node, name in zip(a, names[0]):
+        if left[name]:
+            left[name] -= 1
+            shared += name[1]
         else:
             rest_a.append(node)
-    for node in b:
-        if both[node[0][:SHORT]]:
-            both[node[0][:SHORT]] -= 1
+    for node, name in zip(b, names[1]):
+        if both[name]:
+            both[name] -= 1
         else:
             rest_b.append(node)
     return rest_a, rest_b, shared
 
 
 def likeness(a: Tree, b: Tree) -> float:
-    """Share of characters under equal nodes, 1 for equal roots. Branches are opened only where their digests differ."""
+    """Share of characters under equal nodes, 1 for equal roots. Branches are opened only where their digests differ;
+    digests are compared in all the digits that both trees have."""
+    digits = min(a.digits, b.digits)
     if a.root == b.root:
         return 1.0
     total = sum(map(_weight, a.sections)) + sum(map(_weight, b.sections))
-    rest_a, rest_b, same = _differing(a.sections, b.sections)
+    rest_a, rest_b, same = _differing(a.sections, b.sections, digits)
     for _ in range(2):  # paragraphs of differing sections, leaves of differing paragraphs
-        rest_a, rest_b, more = _differing([n for _, below in rest_a for n in below], [n for _, below in rest_b for n in below])
+        rest_a, rest_b, more = _differing([n for _, below in rest_a for n in below], [n for _, below in rest_b for n in below], digits)
         same += more
     return min(1.0, 2 * same / total) if total else 0.0
 
@@ -121,12 +130,13 @@ def edits(a: Tree, b: Tree) -> list[tuple[int, int]]:
     out, at = [], 0
     if a.root == b.root:
         return out
-    theirs = Counter(leaf[0][:SHORT] for _, paragraphs in b.sections for _, leaves in paragraphs for leaf in leaves)
+    digits = min(a.digits, b.digits)
+    theirs = Counter((leaf[:digits], size) for _, paragraphs in b.sections for _, leaves in paragraphs for leaf, size in leaves)
     for _, paragraphs in a.sections:
         for _, leaves in paragraphs:
             for digest, size in leaves:
-                if theirs[digest[:SHORT]]:
-                    theirs[digest[:SHORT]] -= 1
+                if theirs[digest[:digits], size]:
+                    theirs[digest[:digits], size] -= 1
                 else:
                     if out and out[-1][1] == at:
                         out[-1] = (out[-1][0], at + size)

@@ -31,6 +31,31 @@ def test_an_edit_is_located_and_leaves_the_rest_alike():
     assert mk.likeness(a, mk.build("entirely other words")) == 0.0
 
 
+def leaves_of(tree):
+    return [leaf for _, paragraphs in tree.sections for _, leaves in paragraphs for leaf in leaves]
+
+
+def test_long_texts_share_nothing_by_chance():
+    """Two texts of a hundred thousand different leaves each: alike in the one line they share, by whole digests."""
+    same = "The one line that both of these texts hold.\n"
+    a, b = (mk.build("".join(f"{side} line {i} of a long text\n" for i in range(100_000)) + same) for side in ("left", "right"))
+    n = [sum(size for _, size in leaves_of(t)) for t in (a, b)]
+    assert len(leaves_of(a)) > 100_000 and mk.likeness(a, b) == 2 * len(same) / sum(n)
+    assert sum(end - start for start, end in mk.edits(a, b)) == n[0] - len(same)
+    again = mk.parse(str(a))
+    assert again.digits > mk.SHORT and abs(mk.likeness(again, mk.parse(str(b))) - mk.likeness(a, b)) < 1e-4
+
+
+def test_an_insertion_in_a_line_without_stops_moves_few_leaves():
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(3000)]
+    plain = " ".join(words)
+    assert mk.likeness(mk.build(plain), mk.build("x" + plain)) > 0.97
+    assert mk.likeness(mk.build(plain), mk.build(plain[:7000] + "more " + plain[7000:])) > 0.97
+
+
 def check(rows, texts):
     """texts: [(doc_id, text)] in order."""
     got = {r.doc_id: r for r in rows}
