@@ -55,6 +55,7 @@ FAMILIES = (
     ("bsl", "business source", (r"(?:the )?business source licen[cs]e",), ("1 0", "1 1")),
     ("sspl", "server side", (r"(?:the )?server side public licen[cs]e",), ("1",)),
     ("elastic", "elastic", (r"(?:the )?elastic licen[cs]e",), ("1 0", "2 0")),
+    ("epl", "epl", (r"epl",), ("1 0", "2 0")),
 )
 
 # Creative Commons elements as (label part, words), and their versions.
@@ -72,6 +73,8 @@ COMMONS_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 SINGLE = (
     ("mit", "mit licen", r"(?:the )?mit licen[cs]e"),
     ("mit", "mit", r"(?:released|licensed|distributed|available) under (?:the )?(?:terms of )?(?:the )?mit(?: licen[cs]e)?"),
+    ("mit", "mit", r"licen[cs]ed?(?: under)?(?: the)? mit"),
+    ("isc", "isc", r"isc"),
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit-0", "mit no attribution", r"mit no attribution"),
     ("x11", "x11", r"(?:the )?x11 licen[cs]e"),
@@ -129,7 +132,9 @@ def rules() -> Iterator[tuple[str, int, str, str]]:
             if name != "apache":  # the bare name is no license
                 yield label, 1, keyword, name
             for v in versions:
-                numbered = rf"{name}(?: (?:version|v|ver))? (?:v)?{v.removesuffix(' 0') if v.endswith(' 0') else v}(?: 0)?"
+                # short names take their version with a blank or without: gpl 2, gpl v2, gplv2
+                gap = " " if "licen" in name else " ?"
+                numbered = rf"{name}(?: (?:version|v|ver))?{gap}(?:v)?{v.removesuffix(' 0') if v.endswith(' 0') else v}(?: 0)?"
                 short = v.removesuffix(" 0").replace(" ", ".")
                 yield f"{label}-{short}", 3, keyword, numbered
                 if label in ("gpl", "lgpl", "agpl"):

@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 import re._parser as parser
 
+import pytest
+
 from lectern.llm import licenses as lc
 from lectern.llm.catalog import op9_licenses
 
@@ -108,3 +110,12 @@ def test_all_that_a_pattern_matches_passes_its_keyword(docs_of):
     got = {r.doc_id: r.labels for r in lc.scan(docs_of(list(enumerate(tried)))).collect()}
     assert {s: got[i] for i, s in enumerate(tried)} == {s: ungated(s) for s in tried}
     assert {"freebsd license", "0bsd", "gfdl", "psf licence", "the mit licence", "php licence", "json licence", "gnu general public licence"} <= {s for s in tried if ungated(s)}
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("GPLv2", "gpl-2"), ("GPLv3+", "gpl-3"), ("LGPLv2.1", "lgpl-2.1"), ("LGPLv2.1+ as above", "lgpl-2.1"), ("GNU GPLv2 or later", "gpl-2-or-later"),
+    ("AGPLv3 only", "agpl-3-only"), ("Apache2", "apache-2"), ("License: MIT", "mit"), ("License: ISC", "isc"), ("ISC", "isc"), ("EPL-2.0", "epl-2"), ("EPLv1.0", "epl-1"),
+    ("MPL2.0", "mpl-2"), ("gplv", ""), ("mygplv2", ""), ("iscc eplx", ""), ("mit Freunden lizenziert", ""),
+])
+def test_common_spellings(docs_of, text, labels):
+    assert lc.scan(docs_of([(1, f"This file: {text}, as it is.")])).first().labels == labels
