@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.session import settle
+
 ROWS_PER_CUT = 1_000_000
+#: Distinct values that one task puts in order, and parts into which a range with more of them is cut.
+SORT_ROWS, CUTS = 1 << 16, 1024
 
 
 def salted_join(
@@ -102,27 +106,29 @@ def _sort_key(order: Column | str) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, tuple[Column, Column]]
+    df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, tuple[Column, Column]], sort_rows: int = SORT_ROWS, cuts: int = CUTS
 ) -> DataFrame:
-    """Values at exact ranks of each group, without sorting a whole group in one task.
+    """Values at exact ranks of each group, without sorting a group, or any one range of it, in one task.
 
     ``ranks`` maps an output column to (low, high) zero-based rank expressions over the column ``_n``
     (the group's count); the output interpolates linearly between the two by the fractional part of
-    the rank in ``high`` (high = low + fraction). Equal values are counted first; a coarse magnitude
-    bucket finds which values can hold the rank, and only those are put in order.
+    the rank in ``high`` (high = low + fraction). Equal values are counted first. Counts by magnitude
+    find the range of values that holds a rank; a range of more than ``sort_rows`` distinct values is
+    counted in ``cuts`` equal parts and narrowed to the part with the rank, again and again, and only
+    what is left is put in order. The driver sees one number a round.
     """
     by = list(by)
     key = by or ["_all"]
     # a key the optimizer does not see through: joins on a literal would become nested loops
     data = df if by else df.withColumn("_all", F.pmod(F.xxhash64(value), F.lit(1)))
     data = data.filter(F.col(value).isNotNull())
-    counts = data.groupBy(*key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    counts = settle(data.groupBy(*key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")), "counts")
     magnitude = F.floor(F.log2(F.abs(F.col("_v")) + 1e-300) * 64)
     bucket = F.when(F.col("_v") == 0, F.lit(0).cast("bigint")).when(
         F.col("_v") > 0, magnitude + 100000
     ).otherwise(-(magnitude + 100000))
-    counts = counts.withColumn("_b", bucket)
-    sums = counts.groupBy(*key, "_b").agg(F.sum("_c").alias("_bc"))
+    held = [F.sum("_c").alias("_bc"), F.count("*").alias("_values"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    sums = counts.groupBy(*key, bucket.alias("_b")).agg(*held)
     totals = sums.groupBy(*key).agg(F.sum("_bc").alias("_n"))
     running = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     spans = sums.withColumn("_start", F.coalesce(F.sum("_bc").over(running), F.lit(0)))
@@ -139,17 +145,24 @@ def exact_quantiles(
         )
     targets = totals.select(*key, "_n", F.explode(F.array(*wanted)).alias("_t")).select(*key, "_n", "_t.*")
     points = targets.select(*key, "name", "frac", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_r"), "lo")
-    found = points.join(spans, key).filter(
-        (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_bc"))
-    )
-    hit_buckets = found.select(*key, "_b", "_start").distinct()
-    inside = W.partitionBy(*key, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    ordered = counts.join(hit_buckets, [*key, "_b"]).withColumn(
-        "_from", F.col("_start") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
-    )
+    here = (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_bc"))
+    asked = [*key, "name", "frac", "_r", "lo"]
+    cols = [*asked, "_start", "_values", "_low", "_high"]
+    found = settle(points.join(spans, key).filter(here).select(*cols), "ranks")
+    while (found.agg(F.max("_values")).first()[0] or 0) > sort_rows:
+        wide = found.filter(F.col("_values") > sort_rows)
+        part = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * cuts), F.lit(cuts - 1))
+        # the range's first and last value lie in different parts, so every round leaves fewer
+        parts = _within(counts, wide, key).groupBy(*key, F.col("_start").alias("_from"), part.alias("_part")).agg(*held)
+        before = W.partitionBy(*key, "_from").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        parts = parts.withColumn("_start", F.col("_from") + F.coalesce(F.sum("_bc").over(before), F.lit(0)))
+        nearer = wide.select(*asked, F.col("_start").alias("_from")).join(parts, [*key, "_from"]).filter(here)
+        found = settle(found.filter(F.col("_values") <= sort_rows).select(*cols).unionByName(nearer.select(*cols)), "ranks")
+
+    inside = W.partitionBy(*key, "_start").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    ordered = _within(counts, found, key).withColumn("_from", F.col("_start") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
     values = (
-        found.select(*key, "name", "frac", "lo", "_r", "_b")
-        .join(ordered.select(*key, "_b", "_v", "_c", "_from"), [*key, "_b"])
+        found.select(*asked, "_start").join(ordered.select(*key, "_start", "_v", "_c", "_from"), [*key, "_start"])
         .filter((F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_from") + F.col("_c")))
     )
     weight = F.when(F.col("_r") == F.col("lo"), 1 - F.col("frac")).otherwise(F.col("frac"))
@@ -160,6 +173,12 @@ def exact_quantiles(
     return out if by else out.drop("_all")
 
 
+def _within(counts: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """The counted values of the ranges (key, _start, _low, _high) that hold a rank."""
+    ranges = found.select(*key, "_start", "_low", "_high").distinct()
+    return counts.join(ranges, key).filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+
+
 def linear_rank(share: float) -> tuple[Column, Column]:
     """Rank of a percentile with linear interpolation, over the count ``_n``."""
     place = (F.col("_n") - 1) * F.lit(float(share))

@@ -141,6 +141,26 @@ def test_prefix_fold_and_salted_and_band_join(spark):
     assert got == sum(1 for k, p, _ in rows if (k == "hot" and 10 <= p <= 99) or (k == "b" and 0 <= p <= 30))
 
 
+def test_exact_quantiles_of_one_range_of_values(spark):
+    """All values of a group in one range of magnitudes, narrowed part by part; ties, negatives and single values too."""
+    rng = random.Random(6)
+    groups = {
+        "near": [1 + i * 1e-9 for i in range(3000)], "tied": [5.0] * 500 + [5.0 + 1e-12 * i for i in range(400)], "below": [-7 - rng.random() * 1e-3 for _ in range(900)],
+        "wide": [rng.lognormvariate(0, 20) for _ in range(700)], "one": [3.25], "zero": [0.0] * 9,
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("near", None)], "g string, v double").repartition(5)
+    ranks = {"p50": spread.linear_rank(0.5), "p95": spread.linear_rank(0.95), "low": spread.nearest_low_rank(0.95)}
+    out = {r.g: r for r in spread.exact_quantiles(df, ["g"], "v", ranks, sort_rows=16, cuts=4).collect()}
+    assert out.keys() == groups.keys()
+    for g, vs in groups.items():
+        assert out[g].p50 == pytest.approx(np.percentile(vs, 50), rel=1e-15, abs=0)
+        assert out[g].p95 == pytest.approx(np.percentile(vs, 95), rel=1e-15, abs=0)
+        assert out[g].low == sorted(vs)[int(0.95 * (len(vs) - 1))]
+    everything = sorted(v for vs in groups.values() for v in vs)
+    assert spread.exact_quantiles(df, [], "v", ranks, sort_rows=16, cuts=4).first().low == everything[int(0.95 * (len(everything) - 1))]
+    assert spread.exact_quantiles(df.limit(0), ["g"], "v", ranks).count() == 0
+
+
 def test_exact_quantiles(spark):
     rng = random.Random(2)
     groups = {"a": [rng.uniform(-50, 50) for _ in range(101)], "b": [7.0] * 50, "c": [1.0, 2.0, 10.0], "d": [0.0]}
