@@ -467,18 +467,22 @@ def small_doc_check(t: Tables):
     return evidence.small_doc_check(q).select("query_id", "small_doc_reason")
 
 
+PACK_TOKENS = 30_000
+
+
 @query("w14_small_doc_pack", f"""
 WITH d AS (SELECT *, lang || '_notes.txt' AS name, {strip_sql('text')} AS body FROM documents),
 o AS (SELECT source FROM d GROUP BY source HAVING bool_and(body <> '')),
 n AS (SELECT *, count(*) OVER (PARTITION BY source, name) AS same, row_number() OVER (PARTITION BY source, name ORDER BY doc_id) AS nth FROM d JOIN o USING (source)),
 s AS (SELECT source, doc_id, CASE WHEN same > 1 THEN name || ' (' || nth || ')' ELSE name END AS shown, body FROM n),
 k AS (SELECT source AS query_id, string_agg('===== FILE: ' || shown || ' =====' || {NL} || body, {NL} || {NL} ORDER BY doc_id) AS pack, string_agg(shown, '|' ORDER BY doc_id) AS names FROM s GROUP BY source)
-SELECT query_id, sha256(pack) AS pack_hash, names, CAST(length(pack) // 4 AS INTEGER) AS token_estimate FROM k""")
+SELECT query_id, sha256(pack) AS pack_hash, names, CAST(length(pack) // 4 AS INTEGER) AS token_estimate FROM k WHERE length(pack) // 4 <= {PACK_TOKENS}""")
 def small_doc_pack(t: Tables):
+    """One pack a source; sources longer than the budget are refused, and their texts never gathered."""
     asked = t.docs.select(F.col("source").alias("query_id"), "file_id", F.col("doc_id").alias("file_pos"))
     files = t.docs.select("file_id", F.concat("lang", F.lit("_notes.txt")).alias("filename"))
     texts = t.docs.select("file_id", F.col("text").alias("plain_text"))
-    packs = evidence.small_doc_pack(asked, files, texts)
+    packs = evidence.small_doc_pack(asked, files, texts, PACK_TOKENS)
     return packs.select("query_id", F.sha2("pack", 256).alias("pack_hash"), F.array_join("file_names", "|").alias("names"), "token_estimate")
 
 

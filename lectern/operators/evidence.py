@@ -121,21 +121,28 @@ def numbered_names(df: DataFrame, keys: list[str], name: str, order: str, out: s
     return rows.withColumn(out, shown).drop("_same", "_nth")
 
 
-def small_doc_pack(asked: DataFrame, files: DataFrame, file_text: DataFrame) -> DataFrame:
+def small_doc_pack(asked: DataFrame, files: DataFrame, file_text: DataFrame, budget: DataFrame | int | None = None) -> DataFrame:
     """``===== FILE: name =====`` sections per query; a query with any missing text gets no pack.
 
-    ``asked`` lists (query_id, file_id, file_pos).
+    ``asked`` lists (query_id, file_id, file_pos). ``budget`` (tokens: a number, or query_id and budget) refuses a pack
+    that would be longer: its length is known from the lengths of texts and names, so texts are gathered only for packs
+    that fit, and no row is longer than its budget.
     """
-    rows = (
-        asked.join(files.select("file_id", "filename"), "file_id", "left")
-        .join(file_text.select("file_id", "plain_text"), "file_id", "left")
-        .withColumn("_name", safe_name(F.col("filename"), NAME_CHARS))
-    )
-    whole = rows.groupBy("query_id").agg(F.bool_and(~is_blank(F.col("plain_text"))).alias("_whole")).filter("_whole")
-    rows = numbered_names(rows.join(whole.select("query_id"), "query_id"), ["query_id"], "_name", "file_pos", "_shown")
-    section = F.concat(F.lit("===== FILE: "), F.col("_shown"), F.lit(" =====\n"), strip(F.col("plain_text")), F.lit("\n"))
-    parts = F.sort_array(F.collect_list(F.struct("file_pos", section.alias("s"), F.col("_shown").alias("n"))))
-    packed = rows.groupBy("query_id").agg(parts.alias("_p"))
+    sizes = file_text.select("file_id", F.length(strip(F.col("plain_text"))).alias("_chars"))
+    rows = asked.join(files.select("file_id", "filename"), "file_id", "left").join(sizes, "file_id", "left").withColumn("_name", safe_name(F.col("filename"), NAME_CHARS))
+    rows = numbered_names(rows, ["query_id"], "_name", "file_pos", "_shown")
+    # a section is its heading, the text and two line ends; the last one's are stripped off
+    section = F.length("_shown") + F.col("_chars") + F.lit(len("===== FILE:  =====\n\n\n"))
+    totals = rows.groupBy("query_id").agg(F.bool_and(F.coalesce(F.col("_chars") > 0, F.lit(False))).alias("_whole"), (F.sum(section) - 2).alias("_total")).filter("_whole")
+    if isinstance(budget, DataFrame):
+        totals = totals.join(budget.select("query_id", F.col("budget").alias("_budget")), "query_id").filter(F.greatest(F.lit(1), F.floor(F.col("_total") / 4)) <= F.col("_budget"))
+    elif budget is not None:
+        totals = totals.filter(F.greatest(F.lit(1), F.floor(F.col("_total") / 4)) <= budget)
+    fits = rows.join(totals.select("query_id"), "query_id").select("query_id", "file_id", "file_pos", "_shown")
+    texts = fits.join(file_text.select("file_id", strip(F.col("plain_text")).alias("_text")), "file_id")
+    body = F.concat(F.lit("===== FILE: "), F.col("_shown"), F.lit(" =====\n"), F.col("_text"), F.lit("\n"))
+    parts = F.sort_array(F.collect_list(F.struct("file_pos", body.alias("s"), F.col("_shown").alias("n"))))
+    packed = texts.groupBy("query_id").agg(parts.alias("_p"))
     pack = strip(F.array_join(F.transform("_p", lambda p: p["s"]), "\n"))
     return packed.select(
         "query_id", pack.alias("pack"), F.transform("_p", lambda p: p["n"]).alias("file_names"),

@@ -14,11 +14,15 @@ from lectern.functions.text import (
 )
 from lectern.operators.joins import unreferenced_files
 from lectern.operators.ranking import top_per_group
+from lectern.operators.spread import prefix_fold
 from lectern.schemas import ACTIVE_JOB_STATUSES
+from lectern.session import settle
 from lectern.sources.tables import insert_ignore
 
 KEEP_SUMMARIES, MAX_AGE_S = 8, 30 * 86400
 COMPACT_SHARE, KEEP_TAIL = 0.70, 4
+#: Characters that are summarised at once, and positions of a chat that one task runs over.
+PART_CHARS, SPAN = 200_000, 1000
 BASE_DELAY_S, MAX_DELAY_S, MAX_RETRIES, JITTER = 15.0, 900.0, 3, 0.2
 STALE_JOB = "stale job from previous run"
 
@@ -200,8 +204,7 @@ def compact(messages: DataFrame, capacity: int, summarize=extractive_summary, fo
     """(kept messages, summaries). A chat at 70 % of capacity or more keeps its system messages and last four.
 
     ``messages``: chat_id, message_id, role, text, pos. The older messages become one summary per chat;
-    chats with at most four messages stay whole. The source text is cut to the first sentences a summary
-    can use, so a long chat never becomes one large row.
+    chats with at most four messages stay whole. Every character of them reaches ``summarize`` (see ``reduce_texts``).
     """
     used = messages.groupBy("chat_id").agg(F.sum(approx_tokens(F.col("text"))).alias("_used"))
     full = used.filter(F.lit(force) | (F.col("_used") >= F.lit(COMPACT_SHARE * capacity))).select("chat_id")
@@ -211,11 +214,31 @@ def compact(messages: DataFrame, capacity: int, summarize=extractive_summary, fo
     old = talk.join(full, "chat_id", "left_semi").join(tail_ids, ["chat_id", "message_id"], "left_anti")
     kept = messages.join(old.select("chat_id", "message_id"), ["chat_id", "message_id"], "left_anti")
     clean = old.withColumn("text", strip_history_prefix(F.coalesce("text", F.lit("")))).filter(~is_scaffold_message(F.col("text")))
-    # at most 600 characters or three sentences count, so the first 601 messages with text are enough
-    lead = top_per_group(clean.filter("text <> ''"), ["chat_id"], ["pos", "message_id"], 601)
-    parts = F.sort_array(F.collect_list(F.struct("pos", "message_id", F.substr("text", F.lit(1), F.lit(2000)).alias("t"))))
-    joined = lead.groupBy("chat_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("_t"))
-    return kept, joined.select("chat_id", summarize(F.col("_t")).alias("text"))
+    return kept, reduce_texts(clean.filter("text <> ''").select("chat_id", "pos", "message_id", "text"), summarize)
+
+
+def reduce_texts(rows: DataFrame, summarize, part_chars: int = PART_CHARS) -> DataFrame:
+    """(chat_id, text): one summary of each chat's texts, in order, by a tree of summaries.
+
+    ``rows``: chat_id, pos, message_id, text. Running lengths cut a chat into parts of about ``part_chars`` characters;
+    each part is put together and summarised by itself, and the summaries are the next level's texts, until each chat
+    has one. A row holds one part (or one message, where that is longer), whatever the length of the chat, and the
+    number of levels is logarithmic in it. A chat of one part is summarised as a whole.
+    """
+    rows = rows.select("chat_id", F.col("pos").cast("bigint").alias("pos"), F.col("message_id").cast("string").alias("message_id"), "text")
+    before = None
+    while True:
+        sized = rows.withColumn("_chars", F.length("text") + 1)
+        sized = prefix_fold(sized, ["chat_id"], ["pos", "message_id"], F.floor(F.col("pos") / SPAN), {"_start": ("_chars", "sum")})
+        parts = F.sort_array(F.collect_list(F.struct("pos", "message_id", "text")))
+        level = sized.groupBy("chat_id", F.floor(F.col("_start") / part_chars).alias("pos")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("_t"))
+        rows = settle(level.select("chat_id", "pos", F.lit("").alias("message_id"), summarize(F.col("_t")).alias("text")), "summaries")
+        n, chats = rows.agg(F.count("*"), F.count_distinct("chat_id")).first()
+        if n == chats:
+            return rows.select("chat_id", "text")
+        if before is not None and n >= before:
+            raise ValueError("summaries do not get shorter: part_chars is too small for this summariser")
+        before = n
 
 
 def plan_retries(failures: DataFrame, now_s: Column | int, jitter: float = JITTER, seed: int = 11) -> DataFrame:

@@ -569,3 +569,31 @@ def test_storage_is_counted_below_the_base_only(spark):
     rows = [("file:/ws/uploads/ws/x", 1), ("file:///ws/cache/a", 2), ("file:/other/ws/logs/a", 4), ("/ws/misc", 8)]
     got = reports.storage_usage(spark.createDataFrame(rows, "path string, length bigint"), "/ws").collect()
     assert {r.component: r.bytes for r in got} == {"uploads": 1, "cache": 2, "other": 8}
+
+
+def test_compaction_reads_every_message_of_a_long_chat(spark):
+    """A summary that keeps what it looks for finds all of it, however the chat is cut; order and single parts hold."""
+    keys = lambda c: F.concat(F.array_join(F.regexp_extract_all(c, F.lit("key[0-9]+"), F.lit(0)), " "), F.lit("."))
+    rows = [("long", "user", i, f"message {i} " + "x" * (5000 if i % 100 == 0 else 3) + f" key{i}") for i in range(3000)] + [("short", "user", i, f"key{i}!") for i in range(6)]
+    df = spark.createDataFrame(rows, "chat_id string, role string, pos int, text string").withColumn("message_id", F.concat("chat_id", F.lit("_"), "pos"))
+    texts = {r.chat_id: r.text for r in maintenance.reduce_texts(df, keys, part_chars=60_000).collect()}
+    assert texts["long"].split(".")[0].split() == [f"key{i}" for i in range(3000)] and texts["short"] == " ".join(f"key{i}" for i in range(6)) + "."
+    kept, made = maintenance.compact(df, 10, keys, force=True)
+    assert kept.count() == 8 and made.filter("chat_id = 'long'").first().text.split(".")[0].split() == [f"key{i}" for i in range(2996)]
+    with pytest.raises(ValueError, match="shorter"):
+        maintenance.reduce_texts(df, lambda c: c, part_chars=10).count()
+
+
+def test_small_doc_pack_refuses_before_it_gathers(spark):
+    files = spark.createDataFrame([(f"f{i}", f"n{i % 2}.txt") for i in range(4)], "file_id string, filename string")
+    texts = spark.createDataFrame([("f0", " one "), ("f1", "two\n"), ("f2", "x" * 400), ("f3", " ")], "file_id string, plain_text string")
+    asked = spark.createDataFrame([(1, "f0", 0), (1, "f1", 1), (2, "f0", 0), (2, "f2", 1), (3, "f3", 0), (4, "gone", 0), (5, "f2", 0)], "query_id int, file_id string, file_pos int")
+    whole = {r.query_id: r for r in evidence.small_doc_pack(asked, files, texts).collect()}
+    assert whole.keys() == {1, 2, 5} and whole[1].pack == "===== FILE: n0.txt =====\none\n\n===== FILE: n1.txt =====\ntwo"
+    for q, r in whole.items():
+        assert r.token_estimate == max(1, len(r.pack) // 4)
+        for budget, fits in ((r.token_estimate, True), (r.token_estimate - 1, False)):
+            got = {x.query_id: x.pack for x in evidence.small_doc_pack(asked, files, texts, budget).collect()}
+            assert (q in got) == fits and got.items() <= {k: v.pack for k, v in whole.items()}.items()
+    each = spark.createDataFrame([(1, 5), (2, 10_000)], "query_id int, budget int")
+    assert {r.query_id for r in evidence.small_doc_pack(asked, files, texts, each).collect()} == {2}
