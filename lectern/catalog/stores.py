@@ -52,7 +52,7 @@ def read_request_log(t: Tables):
 
 
 @query("s13_write_report", """
-SELECT true AS ok, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, list_sort(list_distinct(list(lang))) AS langs FROM documents""")
+SELECT true AS ok, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, array_to_string(list_sort(list_distinct(list(lang))), ' ') AS langs FROM documents""")
 def write_report(t: Tables):
     """A report written as JSON, as a reader of the file sees it."""
     report = t.documents.agg(
@@ -61,7 +61,7 @@ def write_report(t: Tables):
     path = f"{shared_dir(t.spark).rstrip('/')}/report-{uuid.uuid4().hex}"
     tables.write_report(report, path)
     read = t.spark.read.schema("ok boolean, report struct<documents: bigint, chars: bigint>, threshold_failures array<string>").json(path)
-    return read.select("ok", "report.*", F.col("threshold_failures").alias("langs"))
+    return read.select("ok", "report.*", F.array_join("threshold_failures", " ").alias("langs"))
 
 
 def _spans(t: Tables) -> DataFrame:
