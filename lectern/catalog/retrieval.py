@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.catalog.base import Tables, query, strip_sql, with_views
 from lectern.functions import codes, vectors
-from lectern.operators import hybrid, joins, keyword
+from lectern.operators import cells, hybrid, joins, keyword
 from lectern.operators.dense import vector_topk
 from lectern.operators.embedding import embed, hashed_bag
 from lectern.plans import jobs
@@ -42,13 +42,19 @@ def dense_topk_scoped(t: Tables):
 
 @query("r3_vector_topk_approx")
 def dense_topk_approx(t: Tables):
-    """Hits from shared signatures, with the share of each query's exact hits that are among them."""
-    q = _asked_vectors(t)
-    found = settle(vector_topk(q, t.vectors, K, approx=True, tables=18, bits=4), "approximate")
-    exact = vector_topk(q, t.vectors, K).select("query_id", "chunk_id")
+    """Lines near the lines of every fiftieth document, from the cells around them; ``looked_at`` is the share of rows they
+    are compared with. Recall is measured for the lines of every five hundredth document and null for the others."""
+    rows = settle(embed(t.chunks.select("chunk_id", "file_id", "text"), factory=hashed_bag(64)).drop("text"), "line-vectors")
+    number = F.replace("file_id", F.lit("file_"), F.lit("")).cast("long")
+    q = rows.filter(number % 50 == 0).select(F.col("chunk_id").alias("query_id"), "vector", (number % 500 == 0).alias("measured"))
+    known = cells.fit_cells(rows)
+    found = settle(vector_topk(q.drop("measured"), rows, K, approx=True, centroids=known), "approximate")
+    exact = vector_topk(q.filter("measured"), rows, K).filter("score > 0").select("query_id", "chunk_id")
     right = exact.join(found.select("query_id", "chunk_id", F.lit(1).alias("_in")), ["query_id", "chunk_id"], "left")
     recall = right.groupBy("query_id").agg(F.round(F.count("_in") / F.count("*"), 6).alias("recall"))
-    return found.join(recall, "query_id")
+    share = F.round(F.col("candidates") / rows.agg(F.count("*")).scalar(), 6).alias("looked_at")
+    seen = cells.looked_at(q, rows, known).select("query_id", share)
+    return found.join(seen, "query_id").join(recall, "query_id", "left")
 
 
 @query("j10_query_chunk_scores", """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import blocks as B
-from lectern.operators import chunking, dense, embedding, evidence, filters, find, joins, layout, maintenance, reports, scan, spread, trees, windows
+from lectern.operators import cells, chunking, dense, embedding, evidence, filters, find, joins, layout, maintenance, reports, scan, spread, trees, windows
 from lectern.sources import audit, files, logs, tables
 
 
@@ -301,13 +301,36 @@ def _cos(a, b):
 
 def test_approximate_candidates_recall(spark):
     rng = np.random.default_rng(1)
-    centers = rng.standard_normal((10, 16))
-    vecs = [(i, (centers[i % 10] + 0.1 * rng.standard_normal(16)).tolist()) for i in range(200)]
+    centers = rng.standard_normal((40, 16))
+    vecs = [(i, (centers[i % 40] + 0.1 * rng.standard_normal(16)).tolist()) for i in range(800)]
     df = spark.createDataFrame(vecs, "chunk_id int, vector array<double>")
-    q = df.select(F.col("chunk_id").alias("query_id"), "vector")
+    q = df.filter("chunk_id % 5 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    known = cells.fit_cells(df)
     exact = {(r.query_id, r.chunk_id) for r in dense.vector_topk(q, df, 5).collect()}
-    near = {(r.query_id, r.chunk_id) for r in dense.vector_topk(q, df, 5, approx=True, tables=8, bits=4).collect()}
-    assert len(exact & near) / len(exact) > 0.9
+    near = {(r.query_id, r.chunk_id) for r in dense.vector_topk(q, df, 5, approx=True, centroids=known, probes=4).collect()}
+    assert len(exact & near) / len(exact) > 0.95
+    counted = {r.query_id: r.candidates for r in cells.looked_at(q, df, known, 4).collect()}
+    assert len(counted) == 160 and sum(counted.values()) < 0.2 * 160 * 800
+
+
+def test_every_row_with_a_direction_has_one_cell(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)] + [(i, [1.0] * 8) for i in range(300, 340)]
+    odd = [(400, None), (401, []), (402, [0.0] * 8), (403, [float("nan")] * 8), (404, [float("inf")] + [0.0] * 7)]
+    other = [(500, [1.0, 2.0]), (501, [2.0, 1.0])]
+    df = spark.createDataFrame(rows + odd + other, "chunk_id int, vector array<double>")
+    known = cells.fit_cells(df.filter("chunk_id < 500"))
+    placed = cells.in_cells(df, known).collect()
+    assert sorted(r.chunk_id for r in placed) == [*range(340), 500, 501]
+    assert len({r._cell for r in placed if 300 <= r.chunk_id < 340}) == 1
+    # all cells probed: the same hits as the search of all rows, ties and lengths the sample did not hold included
+    q = df.filter("chunk_id in (3, 300, 500, 401, 402)").select(F.col("chunk_id").alias("query_id"), "vector")
+    near = dense.vector_topk(q, df, 5, approx=True, centroids=known, probes=10_000).collect()
+    exact = {(r.query_id, r.chunk_id, r.score) for r in dense.vector_topk(q, df.filter("chunk_id < 400 or chunk_id >= 500"), 5).collect()}
+    want = {e for e in exact if e[0] in (3, 300)} | {e for e in exact if e[0] == 500 and e[1] >= 500}
+    assert {(r.query_id, r.chunk_id, r.score) for r in near} == want
+    none = df.filter("false")
+    assert cells.fit_cells(none) == {} and dense.vector_topk(q, none, 5, approx=True).count() == 0
 
 
 def test_embedder_contract(spark):
