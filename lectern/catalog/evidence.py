@@ -11,7 +11,7 @@ from lectern.operators import evidence as E
 from lectern.operators import keyword, windows
 from lectern.operators.embedding import embed
 from lectern.operators.joins import enrich_chunks
-from lectern.plans import jobs
+from lectern.plans import answers, jobs
 from lectern.session import settle
 
 NL = "chr(10)"
@@ -263,13 +263,36 @@ def compare(t: Tables):
     return jobs.compare(q, t.chunks, t.files, budgets).select("query_id", "doc_id", "chunk_id", F.length("text").alias("n_chars"))
 
 
+def _routed(t: Tables):
+    """Turns of every route, by conversation: with their own document attached, with a selection in the first turn, in a chat of
+    one large file (each document once more under a name of its own), and as they are."""
+    n, own = F.col("query_id"), F.concat(F.lit("file_"), F.split("query_id", "_")[0])
+    kind = F.split(n, "_")[0].cast("long") % 4
+    none = F.lit(None).cast("string")
+    asked = turns(t).withColumn("_kind", kind)
+    asked = asked.withColumns({
+        "turn_doc_ids": F.when(F.col("_kind") == 1, F.array(own)).otherwise(F.col("turn_doc_ids")),
+        "selection_text": F.when(F.col("_kind") == 2, F.col("text")).otherwise(none),
+        "selection_file_id": F.when(F.col("_kind") == 2, own).otherwise(none),
+        "chat_id": F.when(F.col("_kind") == 3, F.concat(F.lit("raw_"), own)).otherwise(F.col("chat_id")),
+        "selection_page": F.when(F.col("_kind") == 2, 1),
+    }).drop("_kind")
+    copies = t.files.select(F.concat(F.lit("raw_"), F.col("file_id")).alias("file_id"), "filename", F.lit("raw_large").alias("policy"))
+    files = t.files.select("file_id", "filename", F.lit("ingest").alias("policy")).unionByName(copies)
+    links = t.chat_files.unionByName(copies.select(F.col("file_id").alias("chat_id"), "file_id", F.lit(0).cast("bigint").alias("linked_ord")))
+    return asked, links, files
+
+
 @query("d5_answer_packs")
 def answer_packs(t: Tables):
-    plan, hits = _retrieved(t)
-    memory = turns(t).select("query_id", "text", F.lit(1).alias("rank"))
-    scope = hits.select("query_id", F.col("pos").alias("file_pos"), "filename")
-    packs, _ = jobs.answer_packs(plan, hits, memory, scope)
-    return packs.select("query_id", F.length("pack_text").alias("n_chars"), "hits", "answerable")
+    asked, links, files = _routed(t)
+    texts = t.docs.select("file_id", F.col("text").alias("plain_text"))
+    raw = t.docs.select(F.concat(F.lit("raw_"), F.col("file_id")).alias("file_id"), "text")
+    store = asked.select("chat_id", F.concat(F.lit("s_"), "query_id").alias("memory_id"), "text", F.col("used").alias("created_at"))
+    made = answers.answer(asked, links, files, t.chunks, _index(t), texts, raw, store)
+    cites = made.citations.groupBy("query_id").agg(F.count("*").alias("citations"))
+    return made.packs.join(cites, "query_id", "left").select(
+        "query_id", "route", F.length("pack_text").alias("n_chars"), "hits", "answerable", F.coalesce("citations", F.lit(0)).alias("citations"))
 
 
 @query("d9_selection_hits")

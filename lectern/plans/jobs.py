@@ -105,20 +105,26 @@ def ingest_documents(docs: DataFrame, key: str = "file_id", text: str = "text")
     return chunk_documents(text_blocks(clean, "plain_text"), key, "plain_text", "blocks")
 
 
-def plan_turns(turns: DataFrame, chat_files: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def plan_turns(turns: DataFrame, chat_files: DataFrame, files: DataFrame, small: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(turn plans, turn files): intent, scope, route, rewritten query, depth, radius, budgets.
 
     ``turns``: query_id, chat_id, text, turn_doc_ids, focus_document_id, doc_pane_open, selection_text,
-    selection_file_id, capacity, used. ``files``: file_id, filename, policy.
+    selection_file_id, capacity, used. ``files``: file_id, filename, policy. ``small`` (query_id) names the turns whose
+    document fits whole.
     """
     plan, members = resolve_scope(turns, chat_files)
     names = files.select(F.col("file_id").alias("focus"), F.col("filename").alias("focus_name"))
-    raw = members.join(files.filter("policy = 'raw_large'").select("file_id"), "file_id", "left_semi").groupBy("query_id").agg(
+    raw = chat_files.join(files.filter("policy = 'raw_large'").select("file_id"), "file_id", "left_semi").groupBy("chat_id").agg(
         F.lit(True).alias("_raw")
     )
     text = F.col("text")
+    rows = turns.join(plan.drop("chat_id", "doc_pane_open"), "query_id").join(names, "focus", "left").join(raw, "chat_id", "left")
+    if small is None:
+        rows = rows.withColumn("_small", F.lit(False))
+    else:
+        rows = rows.join(small.select("query_id").distinct().withColumn("_small", F.lit(True)), "query_id", "left")
     rows = (
-        turns.join(plan.drop("chat_id", "doc_pane_open"), "query_id").join(names, "focus", "left").join(raw, "query_id", "left")
+        rows
         .withColumn("intent", questions.intent(text))
         .withColumn("generic", questions.is_generic_request(text, F.col("intent")))
         .withColumn("has_selection", ~is_blank(F.col("selection_text")))
@@ -126,7 +132,7 @@ def plan_turns(turns: DataFrame, chat_files: DataFrame, files: DataFrame) -> tup
     )
     anchored = F.col("has_selection") | F.col("summary") | questions.is_doc_anchored(text)
     route = questions.route(
-        F.coalesce("_raw", F.lit(False)), F.lit(False), F.col("has_selection"),
+        F.coalesce("_raw", F.lit(False)), F.coalesce("_small", F.lit(False)), F.col("has_selection"),
         F.size(F.coalesce("turn_doc_ids", F.array().cast("array<string>"))) > 0, F.col("has_doc_scope"), F.col("intent"),
         anchored, F.col("generic"),
     )
@@ -146,7 +152,7 @@ def plan_turns(turns: DataFrame, chat_files: DataFrame, files: DataFrame) -> tup
     rows = rows.withColumn("budget", budget.cast("bigint")).withColumn(
         "depth", codes.retrieval_depth(F.col("budget"), F.col("n_files"), base)
     ).withColumn("radius", codes.window_radius(F.col("budget"))).withColumn("base_depth", base)
-    return rows.drop("_raw"), turn_files
+    return rows.drop("_raw", "_small"), turn_files
 
 
 def hybrid_per_file(
@@ -191,11 +197,38 @@ def retrieve(
     """(plans, evidence): evidence rows of every document question, within budget and gated."""
     plan, turn_files = plan_turns(turns, chat_files, files)
     plan, turn_files = settle(plan, "turns"), settle(turn_files, "turn-files")
+    return plan, retrieve_planned(plan, turn_files, files, chunks, vectors, embed_query, max_depth, sparse)
+
+
+def repair_empty(
+    pairs: DataFrame, fused: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int, embed_query: Callable[[DataFrame], DataFrame],
+    sparse: str,
+) -> DataFrame:
+    """``fused``, and the hits of the (query, file) pairs that had none, once chunks missing from the index are embedded."""
+    empty = settle(pairs.join(fused.select("query_id", "file_id"), ["query_id", "file_id"], "left_anti"), "no-anchors")
+    bare = empty.select("file_id").distinct()
+    lost = chunks.join(bare, "file_id", "left_semi").join(vectors.select("chunk_id"), "chunk_id", "left_anti")
+    lost = lost.filter(~is_blank(F.col("text"))).select("file_id", "chunk_id", "text")
+    if empty.isEmpty() or lost.isEmpty():
+        return fused
+    found = settle(embed_query(lost).select("file_id", "chunk_id", "vector"), "repaired")
+    mended = empty.join(found.select("file_id").distinct(), "file_id", "left_semi")
+    here = chunks.join(found.select("file_id").distinct(), "file_id", "left_semi")
+    return fused.unionByName(hybrid_per_file(mended, here, found, k, embed_query, sparse))
+
+
+def retrieve_planned(
+    plan: DataFrame, turn_files: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame,
+    embed_query: Callable[[DataFrame], DataFrame] = embed, max_depth: int = codes.MAX_DEPTH, sparse: str = "scan",
+) -> DataFrame:
+    """Evidence of the turns that search: windows around the hits of each file, the selection's hits, within budget and
+    gated. A file without any hit has its missing vectors made and is searched again. ``plan`` and ``turn_files`` are stored tables."""
     searched = plan.filter(F.col("route").isin("rag", "selection_rag"))
     asked = searched.join(turn_files, "query_id")
     depth = F.greatest(F.col("depth"), F.lit(12))
     pairs = asked.select("query_id", "file_id", F.col("retrieval_query").alias("text"), "depth", "budget", "radius", "scope", "n_files", F.least(depth, F.lit(max_depth)).cast("int").alias("leg"))
-    fused = hybrid_per_file(pairs, chunks, vectors, max_depth, embed_query, sparse)
+    fused = settle(hybrid_per_file(pairs, chunks, vectors, max_depth, embed_query, sparse), "fused")
+    fused = repair_empty(pairs, fused, chunks, vectors, max_depth, embed_query, sparse)
     per_file = F.when(F.col("scope") == "all", F.ceil(F.greatest(F.lit(codes.DEPTH_ALL), F.col("depth") * F.col("n_files")) / F.col("n_files"))).otherwise(F.col("depth"))
     knobs = pairs.select("query_id", "file_id", per_file.alias("_k"), "radius", codes.file_cap(F.greatest(F.lit(600), F.col("budget")), F.col("n_files")).alias("cap"), "scope", "budget")
     anchors = fused.join(knobs, ["query_id", "file_id"]).filter(F.col("rank") <= F.col("_k"))
@@ -230,8 +263,7 @@ def retrieve(
     )
     cut = settle(fair.select(*cols, "pos").unionByName(single.select(*cols, "pos")), "trimmed")
     gate_text = F.concat_ws("\n", "retrieval_query", F.when(F.col("route") == "selection_rag", F.substr(strip(F.col("selection_text")), F.lit(1), F.lit(1800))))
-    gated = relevance_gate(cut, plan.select("query_id", questions.relevance_terms(gate_text).alias("terms"), "intent", "scope"))
-    return plan, gated
+    return relevance_gate(cut, plan.select("query_id", questions.relevance_terms(gate_text).alias("terms"), "intent", "scope"))
 
 
 def selection_hits(
@@ -283,24 +315,6 @@ def scan_raw(q: DataFrame, docs: DataFrame, max_windows: int = scan.MAX_WINDOWS,
     return scan.scan_windows(share, docs, "max_windows", context)
 
 
-def answer_packs(plan: DataFrame, hits: DataFrame, memory: DataFrame, scope_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(packs, citations) for planned turns and their evidence."""
-    with_task = plan.withColumn(
-        "task",
-        questions.task_instruction(F.col("text"), F.col("intent"), F.col("route"), F.col("has_doc_scope"), F.col("has_selection")),
-    )
-    q = with_task.select(
-        "query_id", "task", "text", "selection_text", F.col("focus_name").alias("selection_name"),
-        F.lit(None).cast("int").alias("selection_page"), "focus_name", F.lit(None).cast("string").alias("pack"),
-        F.lit(None).cast("string").alias("pack_name"),
-    )
-    packs = evidence.context_pack(q, hits, memory, scope_files)
-    replies = evidence.answerable(
-        plan.select("query_id", "route", "has_selection", F.lit(False).alias("has_small_doc")), hits
-    )
-    return packs.join(replies, "query_id"), evidence.citations(hits)
-
-
 def find_in_documents(q: DataFrame, documents: DataFrame, **options) -> DataFrame:
     """Literal find over the documents chats show. ``documents``: file_id, blocks."""
     blocks = documents.select("file_id", F.posexplode("blocks").alias("block_index", "_b")).select(
