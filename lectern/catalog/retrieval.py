@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from lectern.catalog.base import Tables, query, strip_sql, with_views
@@ -248,6 +250,25 @@ def search(t: Tables):
     return hybrid.search(hits, chunks, t.files).drop("file_id", "filename")
 
 
+@query("r17_search_filtered", with_views("asked", r"""
+WITH i AS (SELECT 'd_' || doc_id AS chunk_id, 'file_' || label AS file_id, text, embedding AS vector FROM embeddings JOIN documents ON vec_id = doc_id
+  WHERE lang = 'en' AND source = (SELECT min(source) FROM documents) AND label <= 4 AND n_chars > 300 AND n_chars BETWEEN 100 AND 100000),
+p AS (SELECT a.query_id, i.chunk_id, i.text, i.file_id, round(list_cosine_similarity(a.vector::DOUBLE[], i.vector::DOUBLE[]), 6) AS score FROM asked a, i)
+SELECT query_id, CAST(r AS INTEGER) AS rank, chunk_id, file_id, score, regexp_replace(replace(substr(text, 1, 400), chr(10), ' '), '\s+', ' ', 'g') AS preview
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM p) WHERE r <= 5"""))
+def search_filtered(t: Tables):
+    """All filters at once: a user's chunks in one chat, of five files, with one of two tags, from a span of time."""
+    about = t.documents.select(
+        F.concat(F.lit("d_"), "doc_id").alias("chunk_id"), F.when(F.col("lang") == "en", "ann").otherwise("bob").alias("user_id"),
+        F.col("source").alias("chat_id"), F.array(F.lit("all"), F.when(F.col("n_chars") > 300, "long").otherwise("short")).alias("tags"), F.timestamp_seconds("n_chars").alias("created_at"))
+    chunks = t.indexed.select("chunk_id", "file_id", "text").join(about, "chunk_id")
+    first = t.documents.agg(F.min("source")).first()[0]
+    found = jobs.search_chunks(
+        t.asked.select("query_id", "vector"), chunks, t.indexed.select("chunk_id", "vector"), t.files, 5, user="ann", chat=first,
+        file_ids=[f"file_{n}" for n in range(5)], tags=["long", "huge"], between=(datetime.fromtimestamp(100, UTC), datetime.fromtimestamp(100000, UTC)))
+    return found.drop("filename")
+
+
 @query("j1_enrich_chunks", with_views("hits", "SELECT query_id, chunk_id, file_id, seq, filename FROM hits"))
 def enrich_chunks(t: Tables):
     return joins.enrich_chunks(t.hits.select("query_id", "chunk_id"), t.chunks, t.files).select("query_id", "chunk_id", "file_id", "seq", "filename")

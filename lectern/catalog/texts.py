@@ -10,7 +10,7 @@ from lectern.catalog.base import Tables, query, strip_sql, tokens_sql, with_view
 from lectern.functions import codes, text
 from lectern.functions.text import REASONING_TAGS
 from lectern.operators import blocks as B
-from lectern.operators import chunking, evidence, find
+from lectern.operators import chunking, evidence, filters, find, trees
 from lectern.operators.scan import to_lines
 from lectern.plans import jobs
 from lectern.session import shared_dir
@@ -206,16 +206,12 @@ def blocks_to_text(t: Tables):
 
 @query("t18_tree_text_runs")
 def tree_runs(t: Tables):
-    from lectern.operators import trees
-
     docs = B.text_blocks(t.docs.select("file_id", _structured().alias("text"))).select("file_id", trees.blocks_to_tree(F.col("blocks")).alias("doc"))
     return trees.tree_text_runs(docs, ["file_id"])
 
 
 @query("t17_tree_round_trip")
 def tree_round_trip(t: Tables):
-    from lectern.operators import trees
-
     docs = B.text_blocks(t.docs.select("file_id", _structured().alias("text"))).select("file_id", trees.blocks_to_tree(F.col("blocks")).alias("doc"))
     rows = trees.tree_to_blocks(docs).select("file_id", F.posexplode("blocks").alias("idx", "b"))
     return rows.select("file_id", "idx", "b.kind", "b.text", "b.metadata.level")
@@ -549,7 +545,13 @@ def ingest_files(t: Tables):
 
 @query("d6_find")
 def find_job(t: Tables):
-    docs = B.text_blocks(t.docs.select("file_id", "text")).select("file_id", "blocks")
-    return jobs.find_in_documents(_needles(t), docs)
-
-
+    """Each document's first word, found in what each of its chats shows: an edited page for long English documents, blocks for
+    other English and French ones, the rest put together from their chunks."""
+    d, n = t.docs, F.length("text")
+    texts = B.text_blocks(d.filter("lang in ('en', 'fr')").select("file_id", "text")).select("file_id", "blocks", F.lit(None).cast("timestamp").alias("updated_at"))
+    english = B.text_blocks(d.filter("lang = 'en'").select("file_id", "text")).select("file_id", (n > 500).alias("is_user_edited"), trees.blocks_to_tree(F.col("blocks")).alias("doc"))
+    pages = english.join(t.chat_files.select("chat_id", "file_id"), "file_id").withColumns(
+        {"title": F.lit(""), "source_file_updated_at": F.lit(None).cast("timestamp")})
+    shown = filters.effective_document(t.chat_files, t.files, texts, pages, t.chunks)
+    asked = _needles(t).join(t.chat_files.select("chat_id", "file_id"), "file_id")
+    return jobs.find_in_chats(asked, shown)

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions import codes, questions
 from lectern.functions.text import chunk_id, is_blank, normalize_text, strip
-from lectern.operators import evidence, find, joins, reports, scan, windows
-from lectern.operators.blocks import text_blocks
+from lectern.operators import evidence, find, joins, reports, scan, trees, windows
+from lectern.operators.blocks import blocks_from_text, text_blocks
 from lectern.operators.chunking import chunk_documents, with_chunk_context
 from lectern.operators.dense import vector_topk
 from lectern.operators.embedding import embed, hashed_bag
-from lectern.operators.filters import classify_file_size, relevance_gate, resolve_scope
-from lectern.operators.hybrid import hybrid_topk
+from lectern.operators.filters import classify_file_size, relevance_gate, resolve_scope, scope_filter
+from lectern.operators.hybrid import hybrid_topk, search
 from lectern.operators.keyword import bm25_topk, build_term_index, keyword_scan_topk
 from lectern.operators.maintenance import apply_updates, plan_retries
 from lectern.session import settle
@@ -315,6 +315,34 @@ def scan_raw(q: DataFrame, docs: DataFrame, max_windows: int = scan.MAX_WINDOWS,
     return scan.scan_windows(share, docs, "max_windows", context)
 
 
+def search_chunks(
+    q: DataFrame, chunks: DataFrame, vectors: DataFrame, files: DataFrame, k: int, embed_query: Callable[[DataFrame], DataFrame] = embed,
+    **scope,
+) -> DataFrame:
+    """The search command: ranked chunks of one scope (user, chat, file_ids, tags, between: those of ``scope_filter``) with previews.
+
+    ``q``: query_id and vector, or text to embed. The scope is cut before the ranking, so k chunks come back where it has them.
+    """
+    asked = q if "vector" in q.columns else embed_query(q.select("query_id", "text"))
+    inside = scope_filter(chunks, **scope)
+    narrow = vectors.select("chunk_id", "vector").join(inside.select("chunk_id"), "chunk_id", "left_semi") if scope else vectors
+    return search(vector_topk(asked.select("query_id", "vector"), narrow, k), inside.select("chunk_id", "file_id", "text"), files)
+
+
+def search_chunks(
+    q: DataFrame, chunks: DataFrame, vectors: DataFrame, files: DataFrame, k: int, embed_query: Callable[[DataFrame], DataFrame] = embed,
+    **scope,
+) -> DataFrame:
+    """The search command: ranked chunks of one scope (user, chat, file_ids, tags, between: those of ``scope_filter``) with previews.
+
+    ``q``: query_id and vector, or text to embed. The scope is cut before the ranking, so k chunks come back where it has them.
+    """
+    asked = q if "vector" in q.columns else embed_query(q.select("query_id", "text"))
+    inside = scope_filter(chunks, **scope)
+    narrow = vectors.select("chunk_id", "vector").join(inside.select("chunk_id"), "chunk_id", "left_semi") if scope else vectors
+    return search(vector_topk(asked.select("query_id", "vector"), narrow, k), inside.select("chunk_id", "file_id", "text"), files)
+
+
 def find_in_documents(q: DataFrame, documents: DataFrame, **options) -> DataFrame:
     """Literal find over the documents chats show. ``documents``: file_id, blocks."""
     blocks = documents.select("file_id", F.posexplode("blocks").alias("block_index", "_b")).select(
@@ -323,6 +351,28 @@ def find_in_documents(q: DataFrame, documents: DataFrame, **options) -> DataFram
     return find.find_literal(q, blocks, **options)
 
 
+def find_in_chats(q: DataFrame, documents: DataFrame, **options) -> DataFrame:
+    """Literal find over what each chat shows of a file, with editor positions.
+
+    ``q``: query_id, chat_id, file_id, needle; a file that the chat does not have gives nothing. ``documents`` are those of
+    ``effective_document``: an edited page is read as its tree, blocks and rebuilt texts as the tree made of them, so all
+    three are searched alike. Columns: query_id, chat_id, file_id, origin, match_no, block_index, start, end, snippet,
+    from_pos, to_pos.
+    """
+    keys = ["chat_id", "file_id"]
+    # only documents that are asked about are laid out
+    asked = q.withColumn("_doc", F.to_json(F.struct(*keys)))
+    wanted = asked.select(*keys, "_doc").distinct()
+    shown = documents.join(wanted, keys)
+    tree = F.coalesce("doc", trees.blocks_to_tree(F.coalesce("blocks", blocks_from_text(F.col("text")))))
+    laid = shown.filter("origin <> 'none'").select(F.col("_doc").alias("file_id"), tree.alias("doc"))
+    runs = settle(trees.tree_text_runs(laid, ["file_id"]), "runs")
+    found = find.find_literal(asked.select("query_id", F.col("_doc").alias("file_id"), "needle"), trees.run_blocks(runs, ["file_id"]), **options)
+    placed = find.to_positions(found, runs).withColumnRenamed("file_id", "_doc")
+    return placed.join(shown.select("_doc", *keys, "origin"), "_doc").select(
+        "query_id", *keys, "origin", "match_no", "block_index", "start", "end", "snippet", "from_pos", "to_pos")
+
+
 def evaluate(gold: DataFrame, pred: DataFrame | None, k: int, **limits) -> DataFrame:
     """One report row: retrieval, grounding, latency and the threshold verdict."""
     rows = gold if pred is None else joins.merge_predictions(gold, pred, ["retrieved_doc_ids", "answer", "latency_ms"])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import blocks as B
 from lectern.operators import cells, chunking, dense, embedding, evidence, filters, find, joins, layout, maintenance, reports, scan, spread, trees, windows
+from lectern.plans import jobs
+from lectern.schemas import BLOCKS
 from lectern.sources import audit, files, logs, tables
 
 
@@ -378,6 +380,20 @@ def test_tree_blocks_and_positions(spark):
     assert (hit.start, hit.end, hit.from_pos, hit.to_pos) == (1, 4, 6, 9)
 
 
+def test_find_in_what_chats_show(spark):
+    meta = (None, None, None, None, None)
+    documents = spark.createDataFrame([
+        ("c", "f", "page", DOC, None, None), ("c2", "f", "blocks", None, [("paragraph", "x ab", meta), ("paragraph", "ab", meta)], "x ab"),
+        ("c", "g", "chunks", None, None, "first\n\nthe ab"), ("c", "h", "none", None, None, None)],
+        f"chat_id string, file_id string, origin string, doc string, blocks {BLOCKS}, text string")
+    q = spark.createDataFrame(
+        [(1, "c", "f", "b\nc"), (2, "c2", "f", "ab"), (3, "c", "g", "ab"), (4, "c", "h", "ab"), (5, "c9", "f", "ab"), (6, "c", "f", "ab")],
+        "query_id int, chat_id string, file_id string, needle string")
+    rows = jobs.find_in_chats(q, documents).orderBy("query_id", "match_no").collect()
+    assert [(r.query_id, r.origin, r.block_index, r.start, r.end, r.from_pos, r.to_pos) for r in rows] == [
+        (1, "page", 1, 1, 4, 6, 9), (2, "blocks", 0, 2, 4, 3, 5), (2, "blocks", 1, 0, 2, 7, 9), (3, "chunks", 1, 4, 6, 12, 14), (6, "page", 1, 0, 2, 5, 7)]
+
+
 SPAN = "doc_id string, page int, block int, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double, " \
        "lines array<string>, max_size double, median_size double, bold_ratio double"
 
