@@ -58,11 +58,17 @@ def scope_join(q: DataFrame, chunks: DataFrame) -> DataFrame:
     return named.select(*cols).unionByName(every.select(*cols))
 
 
-def classify_file_size(files: DataFrame, name: str = "filename", size: str = "size_bytes") -> DataFrame:
-    large = F.col(size) > codes.INGEST_BYTES
-    reason = F.when(F.col(size) > codes.ABSOLUTE_BYTES, "file_too_large").when(
-        large & ~codes.suffix(F.col(name)).isin(*codes.LARGE_SUFFIXES), "large_file_type_not_supported"
-    )
+def classify_file_size(
+    files: DataFrame, name: str = "filename", size: str = "size_bytes", ingest_bytes: int | None = codes.INGEST_BYTES,
+    most_bytes: int | None = codes.ABSOLUTE_BYTES, large_suffixes: Sequence[str] | None = codes.LARGE_SUFFIXES,
+) -> DataFrame:
+    """Adds policy and reject_reason. Without ``ingest_bytes`` no file is large, without ``most_bytes`` none too large,
+    without ``large_suffixes`` a large file may be of any type."""
+    none = F.lit(False)
+    large = none if ingest_bytes is None else F.col(size) > ingest_bytes
+    over = none if most_bytes is None else F.col(size) > most_bytes
+    odd = none if large_suffixes is None else ~codes.suffix(F.col(name)).isin(*large_suffixes)
+    reason = F.when(over, "file_too_large").when(large & odd, "large_file_type_not_supported")
     policy = F.when(reason.isNotNull(), "rejected").when(large, "raw_large").otherwise("ingest")
     return files.withColumn("policy", policy).withColumn("reject_reason", reason)
 

@@ -38,7 +38,7 @@ def with_bytes(narrow: DataFrame, files: DataFrame) -> DataFrame:
 def ingest(
     files: DataFrame, factory: Callable | None = None, registry: dict | None = None, model: str = MODEL,
     version: int = VERSION, now_s: int = 0, known: DataFrame | None = None, known_links: DataFrame | None = None,
-    dims: DataFrame | None = None,
+    dims: DataFrame | None = None, sizes: dict | None = None,
 ) -> dict[str, DataFrame]:
     """Files with bytes to tables: files, links, file_text, chunks, vectors, raw_large, failures.
 
@@ -46,7 +46,7 @@ def ingest(
     read once, and not at all where ``known`` (file_id) has them; ``known_links`` (chat_id, file_id) are not made again.
     Bytes are hashed where they are scanned; what is grouped and joined from there on is their hash. A file that is
     refused or cannot be read, or whose vectors do not have the dimension that ``dims`` expects of the model's version,
-    becomes a failure row.
+    becomes a failure row. ``sizes`` holds other limits than those of ``classify_file_size``.
     """
     ident = files.withColumn("hash", F.sha2("content", 256)).drop("content").withColumn("file_id", F.concat(F.lit("file_"), F.col("hash")))
     ident = settle(ident, "identities")
@@ -61,7 +61,7 @@ def ingest(
         asked = once.select("file_id")
         held = known.select("file_id").join(F.broadcast(asked) if asked.count() <= BROADCAST_PATHS else asked, "file_id", "left_semi").distinct()
         once = once.join(held, "file_id", "left_anti")
-    routed = settle(classify_file_size(detect_mime(once, "filename")), "routed")
+    routed = settle(classify_file_size(detect_mime(once, "filename"), **(sizes or {})), "routed")
     taken = routed.filter("policy = 'ingest'")
     read_now = with_bytes(taken.select("path", "created_at", "file_id", "mime"), files)
     texts = settle(extract(read_now.select("file_id", "mime", "content"), registry or default_registry()), "texts")

@@ -380,6 +380,15 @@ def test_tree_blocks_and_positions(spark):
     assert (hit.start, hit.end, hit.from_pos, hit.to_pos) == (1, 4, 6, 9)
 
 
+def test_size_limits_are_arguments(spark):
+    df = spark.createDataFrame([("a.txt", 20 << 20), ("a.exe", 20 << 20), ("b.txt", 60 << 20), ("c.exe", 5), ("d", None)], "filename string, size_bytes long")
+    policies = lambda **limits: [r.policy for r in filters.classify_file_size(df, **limits).collect()]
+    assert policies() == ["raw_large", "rejected", "rejected", "ingest", "ingest"]
+    assert policies(most_bytes=None, large_suffixes=None) == ["raw_large", "raw_large", "raw_large", "ingest", "ingest"]
+    assert policies(ingest_bytes=None, most_bytes=None) == ["ingest"] * 5
+    assert policies(ingest_bytes=1, most_bytes=6, large_suffixes=(".exe",)) == ["rejected", "rejected", "rejected", "raw_large", "ingest"]
+
+
 def test_find_in_what_chats_show(spark):
     meta = (None, None, None, None, None)
     documents = spark.createDataFrame([
