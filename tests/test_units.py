@@ -360,6 +360,14 @@ def test_find_literal_edges(spark):
     assert run("  ") == []
 
 
+def test_find_without_a_limit_returns_every_match(spark):
+    blocks = spark.createDataFrame([("f", 0, "ab x " * 1500), ("f", 1, "ab\u0301 ab")], "file_id string, block_index int, text string")
+    q = spark.createDataFrame([(1, "f", "ab")], "query_id int, file_id string, needle string")
+    for word in (False, True):
+        got = find.find_literal(q, blocks, limit=None, whole_word=word).orderBy("match_no").collect()
+        assert [(r.match_no, r.block_index, r.start) for r in got] == [(i + 1, 0, 5 * i) for i in range(1500)] + [(1501, 1, 0), (1502, 1, 4)]
+
+
 DOC = '{"type":"doc","content":[{"type":"heading","attrs":{"level":9},"content":[{"type":"text","text":"Hi"}]},' \
       '{"type":"paragraph","content":[{"type":"text","text":"ab"},{"type":"hardBreak"},{"type":"text","text":"cd"}]},' \
       '{"type":"orderedList","content":[{"type":"listItem","content":[{"type":"paragraph","content":[{"type":"text","text":"one"}]}]}]}]}'
