@@ -62,3 +62,10 @@ def test_results_do_not_depend_on_partitions(spark):
         seen.append([sorted(map(str, r)) for r in rows])
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_small_doc_pack_takes_every_source_whole(spark):
+    folder = "/root/testdata/sf0.01"
+    whole = connect(folder).execute(r"SELECT source, sum(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))) FROM documents GROUP BY source").fetchall()
+    got = {r.query_id: r.token_estimate for r in QUERIES["w14_small_doc_pack"](spark, folder).collect()}
+    assert set(got) == {s for s, _ in whole} and all(4 * got[s] >= n - 4 for s, n in whole)
