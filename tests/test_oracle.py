@@ -69,3 +69,20 @@ def test_small_doc_pack_takes_every_source_whole(spark):
     whole = connect(folder).execute(r"SELECT source, sum(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))) FROM documents GROUP BY source").fetchall()
     got = {r.query_id: r.token_estimate for r in QUERIES["w14_small_doc_pack"](spark, folder).collect()}
     assert set(got) == {s for s, _ in whole} and all(4 * got[s] >= n - 4 for s, n in whole)
+
+
+def test_grounding_of_letters_without_a_single_capital(spark, duck, tmp_path):
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(["Straße und mehr Text dahinter", "plain words stand here as well", "ŉ ß ǰ"])]
+    tables = {"documents": ("doc_id bigint, text string, lang string, source string, n_chars bigint", rows),
+              "labels": ("doc_id bigint, quality int, toxic int", [(i, 1, 0) for i in range(3)])}
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        duck.execute(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    try:
+        for name in ("g6_evaluate_grounding", "d7_evaluate"):
+            ok, note = compare(QUERIES[name](spark, str(tmp_path)), duck, ORACLE[name])
+            assert ok, note
+        assert QUERIES["g6_evaluate_grounding"](spark, str(tmp_path)).first().passed == 3
+    finally:
+        for name in tables:
+            duck.execute(f"DROP VIEW temp.{name}")
