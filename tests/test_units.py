@@ -640,6 +640,27 @@ def test_compaction_reads_every_message_of_a_long_chat(spark):
         maintenance.reduce_texts(df, lambda c: c, part_chars=10).count()
 
 
+def test_keyword_index_and_search_leave_postings_where_they_are(spark, monkeypatch):
+    from lectern.operators import keyword
+
+    texts = ["the a-b the", "", None, "Ünder the_a b", "zeta the a b the a"]
+    chunks = spark.createDataFrame([(f"c{i}", "f", t) for i, t in enumerate(texts)], "chunk_id string, file_id string, text string")
+    monkeypatch.setattr(keyword, "INDEX_WORDS", 2)
+    index = keyword.build_term_index(chunks)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    want = {("the", "c0"): [0, 3], ("a", "c0"): [1], ("b", "c0"): [2], ("ünder", "c3"): [0], ("the", "c3"): [1], ("a", "c3"): [2], ("b", "c3"): [3],
+            ("zeta", "c4"): [0], ("the", "c4"): [1, 4], ("a", "c4"): [2, 5], ("b", "c4"): [3]}
+    rows = index.collect()
+    assert {(r.term, r.chunk_id): r.positions for r in rows} == want and len(rows) == len(want)
+    assert all(r.tf == len(r.positions) and r.doc_len == {"c0": 4, "c3": 4, "c4": 6}[r.chunk_id] for r in rows)
+    q = spark.createDataFrame([(1, "the-a b2 the"), (2, "the the-a"), (3, "zeta the")], "query_id int, text string")
+    found = []
+    for most in (keyword.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(keyword, "BROADCAST_ROWS", most)
+        found.append(sorted((r.query_id, r.chunk_id, r.score, r.rank) for r in keyword.bm25_topk(q, index, 5).collect()))
+    assert found[0] == found[1] and {(x[0], x[1]) for x in found[0]} == {(2, "c0"), (2, "c3"), (2, "c4"), (3, "c4")}
+
+
 def test_small_doc_pack_refuses_before_it_gathers(spark):
     files = spark.createDataFrame([(f"f{i}", f"n{i % 2}.txt") for i in range(4)], "file_id string, filename string")
     texts = spark.createDataFrame([("f0", " one "), ("f1", "two\n"), ("f2", "x" * 400), ("f3", " ")], "file_id string, plain_text string")
