@@ -674,3 +674,21 @@ def test_small_doc_pack_refuses_before_it_gathers(spark):
             assert (q in got) == fits and got.items() <= {k: v.pack for k, v in whole.items()}.items()
     each = spark.createDataFrame([(1, 5), (2, 10_000)], "query_id int, budget int")
     assert {r.query_id for r in evidence.small_doc_pack(asked, files, texts, each).collect()} == {2}
+
+
+def test_dense_cell_is_scored_in_slices(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    q = pd.DataFrame({"query_id": np.arange(11), "vector": [rng.integers(-2, 3, 3 + i % 2).astype(float) for i in range(11)]})
+    c = pd.DataFrame({"chunk_id": rng.permutation(60), "vector": [rng.integers(-2, 3, 3 + i % 2).astype(float) for i in range(60)]})
+    widest, best = [], dense._best
+    monkeypatch.setattr(dense, "QUERIES_AT_ONCE", 4)
+    monkeypatch.setattr(dense, "_best", lambda s, k: widest.append(len(s)) or best(s, k))
+    got = dense._score_cell(7)(q, c)
+    assert max(widest) == 4
+    for i, v in enumerate(q["vector"]):
+        unit = lambda x: x / (np.linalg.norm(x) or 1)
+        points = [(-(round(float(unit(v) @ unit(w)), 6) + 0.0) if len(w) == len(v) else 0.0, n) for n, w in zip(c["chunk_id"], c["vector"])]
+        mine = got[got["query_id"] == i]
+        assert list(zip(mine["chunk_id"], mine["score"].round(6))) == [(n, -s + 0.0) for s, n in sorted(points)[:7]]
