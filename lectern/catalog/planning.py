@@ -294,8 +294,7 @@ j AS (SELECT r.*, status FROM r LEFT JOIN s USING (chat_id, file_id))
 SELECT query_id, count(*) AS required, count(*) FILTER (status IS NULL) AS missing, count(*) FILTER (status IS NULL OR status NOT IN ('completed', 'failed')) AS not_ready,
   count(*) FILTER (status = 'failed') AS failed, bool_and(coalesce(status = 'completed', false)) AS ready FROM j GROUP BY query_id"""))
 def readiness(t: Tables):
-    states = P.readiness(P.required_files(_turns(t), t.chat_files), t.files, t.chat_files)
-    return P.readiness_summary(states)
+    return P.readiness_by_turn(_turns(t), t.files, t.chat_files)
 
 
 @query("p14_relevance_gate", with_views("hits", f"""

@@ -200,12 +200,8 @@ def resolve_scope(turns: DataFrame, chat_files: DataFrame) -> tuple[DataFrame, D
     return plan.drop("_mode", "_turn"), members
 
 
-def required_files(turns: DataFrame, chat_files: DataFrame) -> DataFrame:
-    """Rows (query_id, chat_id, file_id) a turn needs to be ready.
-
-    A selection needs its own file; mode "all" every file of the chat plus the new ones; else the
-    focused file (pane open, nothing new) and the new ones; else the chat's latest file.
-    """
+def _required(turns: DataFrame, chat_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, chat_id, file_id) of the files that turns need by name, and (query_id, chat_id) of those that need their whole chat."""
     none = F.array().cast("array<string>")
     asked = F.nullif(strip(F.coalesce("focus_document_id", F.lit(""))), F.lit(""))
     base = turns.select(
@@ -226,11 +222,21 @@ def required_files(turns: DataFrame, chat_files: DataFrame) -> DataFrame:
     named = base.select("query_id", "chat_id", F.explode("_listed").alias("file_id"))
     links = chat_files.select("chat_id", "file_id", "linked_ord")
     whole = base.filter(F.col("_all") & F.col("_sel").isNull()).select("query_id", "chat_id")
-    every = salted_join(links, whole, ["chat_id"], ["file_id"]).select("query_id", "chat_id", "file_id")
     latest = links.groupBy("chat_id").agg(F.max_by("file_id", F.struct("linked_ord", "file_id")).alias("file_id"))
     bare = base.filter(~F.col("_pane") & (F.size("_listed") == 0) & ~F.col("_all")).select("query_id", "chat_id")
     newest = bare.join(latest, "chat_id").select("query_id", "chat_id", "file_id")
-    return named.unionByName(every).unionByName(newest).distinct()
+    return named.unionByName(newest).distinct(), whole.distinct()
+
+
+def required_files(turns: DataFrame, chat_files: DataFrame) -> DataFrame:
+    """Rows (query_id, chat_id, file_id) a turn needs to be ready.
+
+    A selection needs its own file; mode "all" every file of the chat plus the new ones; else the
+    focused file (pane open, nothing new) and the new ones; else the chat's latest file.
+    """
+    named, whole = _required(turns, chat_files)
+    every = salted_join(chat_files.select("chat_id", "file_id"), whole, ["chat_id"], ["file_id"]).select("query_id", "chat_id", "file_id")
+    return named.unionByName(every).distinct()
 
 
 def readiness(required: DataFrame, files: DataFrame, chat_files: DataFrame) -> DataFrame:
@@ -254,6 +260,29 @@ def readiness_summary(states: DataFrame) -> DataFrame:
     )
 
 
+def readiness_by_turn(turns: DataFrame, files: DataFrame, chat_files: DataFrame) -> DataFrame:
+    """What ``readiness_summary`` says of a turn's required files, with no row for each turn and file of its chat.
+
+    A chat's files are counted once; turns that need all of them take the counts, and add the named files that the chat lacks.
+    """
+    def counts(states: DataFrame, key: str) -> DataFrame:
+        n = lambda *names: F.count_if(F.col("state").isin(*names))
+        return states.groupBy(key).agg(
+            F.count("*").alias("required"), n("missing").alias("missing"), n("missing", "not_ready").alias("not_ready"),
+            n("failed").alias("failed"), n("ready").alias("_ready"))
+
+    named, whole = _required(turns, chat_files)
+    links = chat_files.select("chat_id", "file_id").distinct()
+    chats = counts(readiness(links.withColumn("query_id", F.col("chat_id")), files, chat_files), "chat_id")
+    known = links.withColumn("_linked", F.lit(True))
+    extra = named.join(whole.withColumn("_whole", F.lit(True)), ["query_id", "chat_id"], "left").join(known, ["chat_id", "file_id"], "left")
+    extra = extra.filter("_whole is null or _linked is null").select("query_id", "chat_id", "file_id")
+    rows = counts(readiness(extra, files, chat_files), "query_id").unionByName(whole.join(chats, "chat_id").drop("chat_id"))
+    total = lambda c: F.sum(c).alias(c)
+    return rows.groupBy("query_id").agg(
+        *[total(c) for c in ("required", "missing", "not_ready", "failed")], (F.sum("_ready") == F.sum("required")).alias("ready"))
+
+
 def gate_verdict(text: Column, score: Column, chunk_id: Column, terms: Column, intent: Column) -> Column:
     head = F.lower(F.substr(text, F.lit(1), F.lit(GATE_CHARS)))
     is_window = F.coalesce(chunk_id, F.lit("")).startswith(WINDOW_ID)

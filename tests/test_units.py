@@ -661,6 +661,20 @@ def test_keyword_index_and_search_leave_postings_where_they_are(spark, monkeypat
     assert found[0] == found[1] and {(x[0], x[1]) for x in found[0]} == {(2, "c0"), (2, "c3"), (2, "c4"), (3, "c4")}
 
 
+def test_readiness_counts_a_chat_once(spark):
+    links = spark.createDataFrame([("a", f"f{i % 7}", i) for i in range(9)] + [("b", "f1", 1), (None, "f2", 1)], "chat_id string, file_id string, linked_ord int")
+    states = ["completed", "failed", "queued", "processing", "completed"]
+    known = spark.createDataFrame([(f"f{i}", s) for i, s in enumerate(states)], "file_id string, status string")
+    turns = spark.createDataFrame([
+        (1, "a", ["f1", "none", "f9"], None, None, None, "all"), (2, "a", [], None, None, None, "ALL "), (3, "b", ["f1"], "f2", True, None, ""),
+        (4, "b", [], None, None, None, "all"), (5, "c", ["f1"], None, None, None, "all"), (6, "c", [], None, None, None, "all"), (7, "a", [], None, None, "f4", "all"),
+        (8, "a", [], None, None, None, ""), (9, None, ["f2"], None, None, None, "all"),
+    ], "query_id int, chat_id string, turn_doc_ids array<string>, focus_document_id string, doc_pane_open boolean, selection_file_id string, doc_scope_mode string")
+    want = filters.readiness_summary(filters.readiness(filters.required_files(turns, links), known, links))
+    got = filters.readiness_by_turn(turns, known, links)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) and got.count() == 8
+
+
 def test_small_doc_pack_refuses_before_it_gathers(spark):
     files = spark.createDataFrame([(f"f{i}", f"n{i % 2}.txt") for i in range(4)], "file_id string, filename string")
     texts = spark.createDataFrame([("f0", " one "), ("f1", "two\n"), ("f2", "x" * 400), ("f3", " ")], "file_id string, plain_text string")
