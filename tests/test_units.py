@@ -675,6 +675,13 @@ def test_readiness_counts_a_chat_once(spark):
     assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) and got.count() == 8
 
 
+def test_trees_are_listed_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(trees, "TREES_AT_ONCE", 3)
+    df = spark.createDataFrame([(f"f{i}", DOC if i % 4 else "broken") for i in range(11)], "file_id string, doc string").coalesce(1)
+    blocks = {r.file_id: len(r.blocks) for r in trees.tree_to_blocks(df).collect()}
+    assert blocks == {f"f{i}": 3 if i % 4 else 0 for i in range(11)}
+
+
 def test_small_doc_pack_refuses_before_it_gathers(spark):
     files = spark.createDataFrame([(f"f{i}", f"n{i % 2}.txt") for i in range(4)], "file_id string, filename string")
     texts = spark.createDataFrame([("f0", " one "), ("f1", "two\n"), ("f2", "x" * 400), ("f3", " ")], "file_id string, plain_text string")
