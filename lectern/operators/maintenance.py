@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import codes
 from lectern.functions.text import (
-    approx_tokens, extractive_summary, is_scaffold_message, memory_key, sanitize_memory, strip, strip_history_prefix,
+    approx_tokens, extractive_summary, is_blank, is_scaffold_message, memory_key, sanitize_memory, strip, strip_history_prefix,
 )
 from lectern.operators.joins import unreferenced_files
 from lectern.operators.ranking import top_per_group
@@ -106,15 +108,25 @@ def save_memories(mem: DataFrame, new: DataFrame, now: Column | int, keep: int =
     chats that receive a memory are pruned.
     """
     stamp = F.lit(now) if isinstance(now, int) else now
-    fresh = new.withColumn("text", sanitize_memory(F.col("text"))).filter("text <> ''").withColumn("created_at", stamp.cast("bigint"))
-    touched = fresh.select("chat_id", F.lit(True).alias("_touched")).distinct()
+    # a text is empty once sanitised where it is blank before
+    fresh = new.filter(~is_blank(F.col("text"))).withColumn("text", sanitize_memory(F.col("text"))).withColumn("created_at", stamp.cast("bigint"))
+    # stored, so that their sizes are known: few chats and few kept rows go to the texts, which are not shuffled for them
+    touched = settle(fresh.select("chat_id", F.lit(True).alias("_touched")).distinct(), "touched")
     both = mem.withColumn("_new", F.lit(0)).unionByName(fresh.select(*mem.columns).withColumn("_new", F.lit(1)))
     marked = both.join(touched, "chat_id", "left").withColumn("_key", memory_key(F.col("text")))
     rest = marked.filter(F.col("_touched").isNull())
     live = marked.filter(F.col("_touched").isNotNull())
+    # texts stay where they are until the few rows that remain are known by their narrow columns
+    spot = ["chat_id", "type", "_key", "_new", "created_at", "memory_id"]
+    first = live.groupBy("chat_id", "type", "_key").agg(
+        F.min_by(F.struct("_new", "created_at", "memory_id"), F.struct(-F.col("_new"), F.col("created_at").isNull(), -F.col("created_at"), "memory_id")).alias("_first"))
+    newest = [F.desc("created_at"), F.desc("_new"), "memory_id"]
+    kept = top_per_group(first.select("chat_id", "type", "_key", "_first.*"), ["chat_id", "type"], newest, keep)
+    kept = settle(kept.select(*spot), "kept")
+    same = [F.col(c).eqNullSafe(F.col(f"_kept_{c}")) for c in spot]
+    live = live.join(kept.select(*(F.col(c).alias(f"_kept_{c}") for c in spot)), reduce(and_, same), "left_semi")
     last = W.partitionBy("chat_id", "type", "_key").orderBy(F.desc("_new"), F.desc("created_at"), "memory_id")
     live = live.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1")
-    live = top_per_group(live, ["chat_id", "type"], [F.desc("created_at"), F.desc("_new"), "memory_id"], keep)
     live = live.filter((F.coalesce("created_at", F.lit(0)) == 0) | (F.col("created_at") >= stamp - max_age_s))
     return rest.select(*mem.columns).unionByName(live.select(*mem.columns))
 

@@ -713,3 +713,17 @@ def test_dense_cell_is_scored_in_slices(monkeypatch):
         points = [(-(round(float(unit(v) @ unit(w)), 6) + 0.0) if len(w) == len(v) else 0.0, n) for n, w in zip(c["chunk_id"], c["vector"])]
         mine = got[got["query_id"] == i]
         assert list(zip(mine["chunk_id"], mine["score"].round(6))) == [(n, -s + 0.0) for s, n in sorted(points)[:7]]
+
+
+def test_memories_are_chosen_without_their_texts(spark):
+    """Same text replaced, the newest kept, untouched chats whole; only rows that stay meet a window with their texts."""
+    from lectern.operators.maintenance import save_memories
+
+    cols = "memory_id string, chat_id string, type string, text string, created_at bigint"
+    old = [(f"o{i}", "a", "summary", f"text {i}", 1000 + i) for i in range(12)] + [("z", "a", "summary", "never", 0), ("n", "a", "summary", "no time", None)]
+    old += [("x", "b", "summary", "kept", 1), ("y", "b", "summary", "KEPT", 1)]
+    new = [("f1", "a", "summary", " TEXT \n 11 "), ("f2", "a", "summary", " \n\t\xa0"), ("f3", "c", "summary", "w" * 1300)]
+    out = save_memories(spark.createDataFrame(old, cols), spark.createDataFrame(new, "memory_id string, chat_id string, type string, text string"), 2000, keep=4, max_age_s=992)
+    got = sorted((r.chat_id, r.memory_id, r.text, r.created_at) for r in out.collect())
+    assert got == sorted([("a", "f1", "TEXT 11", 2000), *(("a", f"o{i}", f"text {i}", 1000 + i) for i in (10, 9, 8)), ("b", "x", "kept", 1), ("b", "y", "KEPT", 1), ("c", "f3", "w" * 1200, 2000)])
+    assert "LeftSemi, BuildRight" in out._jdf.queryExecution().executedPlan().toString()
