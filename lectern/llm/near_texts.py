@@ -1,4 +1,6 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, with MinHash bands as candidates."""
+"""Near copies by SimHash and the generalised pigeonhole principle, links counted by exact Jaccard similarity of five-word shingles.
+
+Fingerprints within two bits find the close copies; MinHash bands beside them find the links that lie more bits apart."""
 
 from __future__ import annotations
 
@@ -9,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
+from lectern.llm.near_dedup import BITS, links
 from lectern.llm.shared import saved
 
 WORDS = 5
 SIMILARITY = 0.8
 SEED = 42
+#: Differing bits up to which fingerprints make candidates.
+DISTANCE = 2
 #: Two texts of similarity s share a band with chance 1 - (1 - s^ROWS)^BANDS: 0.9997 at 0.8.
 BANDS, ROWS = 20, 5
 #: Buckets of up to this many texts are compared pair by pair, larger ones in blocks of ``TILE`` texts.
@@ -45,10 +50,29 @@ def _bands(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes()) - (1 << 63) for r in rows]
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed number: a bit is set if over half of them have it."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(found), BLOCK):
+        part = np.ascontiguousarray(found[at : at + BLOCK])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
 def _marks(texts: pd.Series) -> pd.DataFrame:
-    """Of each text the key of its set of shingles and its bands."""
+    """Of each text the key of its set of shingles, its fingerprint and its bands."""
     sets = [shingles(t) for t in texts]
-    return pd.DataFrame({"node": [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], "bands": [_bands(s) for s in sets]})
+    return pd.DataFrame({
+        "node": [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], "fp": [fingerprint(s) for s in sets], "bands": [_bands(s) for s in sets]})
+
+
+def close_fingerprints(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) that join those of equal fingerprints, and fingerprints within ``distance`` bits."""
+    lows = saved(nodes.groupBy("fp").agg(F.min("node").alias("low")), "fingerprints")
+    equal = nodes.join(lows, "fp").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    x, y = (lows.select(F.col("fp").alias(f"fp_{n}"), F.col("low").alias(n)) for n in "ab")
+    near = links(lows.select("fp"), distance).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return equal.union(near.join(x, "fp_a").join(y, "fp_b").select("a", "b"))
 
 
 def _packed(texts: pd.Series) -> pd.Series:
@@ -164,25 +188,28 @@ def _few(rows: DataFrame) -> DataFrame:
 
 
 def similar_groups(marked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of every text of ``marked`` (row, node, bands, text) that has a near copy.
+    """(node, root) of every text of ``marked`` (row, node, fp, bands, text) that has a near copy.
 
-    Texts that share a band are candidates. First each is compared with the smallest text it shares one with, then the
+    Texts whose fingerprints are close are candidates, and so are texts that share a band. First fingerprints are
+    searched and each text is compared with the smallest one it shares a band with, then the
     candidates that are still apart with each other: all pairs of a bucket of up to ``PAIRWISE`` texts one by one, those
     of a larger one in blocks. Every link is counted on the whole sets of shingles; of a component only as many links
     are kept as join it, and large groups of near copies, one component after the first step, never form their pairs.
     """
-    nodes = saved(marked.groupBy("node").agg(F.min("row").alias("row"), F.min("bands").alias("bands")), "nodes")
+    nodes = saved(marked.groupBy("node").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
+    close = saved(close_fingerprints(nodes.select("node", "fp")), "close")
     index = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = index.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("low")).filter("size > 1")
     index = saved(index.join(sizes, ["band", "key"]), "bands")
 
-    held = saved(index.select("node").distinct().join(nodes, "node").select("node", "row"), "held")
+    named = index.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    held = saved(named.join(nodes, "node").select("node", "row"), "held")
     texts = marked.select("row", "text").join(_few(held), "row")
     sets = texts.select("node", F.pandas_udf(_packed, "binary")("text").alias("shingles"))
     sets = saved(sets.withColumn("n", F.octet_length("shingles") / 8), "shingles")
 
     first = index.groupBy("node").agg(F.min("low").alias("b")).select(F.col("node").alias("a"), "b").filter("a <> b")
-    first = saved(_verified(first, sets, similarity), "links")
+    first = saved(_verified(close.union(first).distinct(), sets, similarity), "links")
     roots = saved(components(first), "roots")
 
     small = index.filter(F.col("size") <= PAIRWISE).groupBy("band", "key").agg(F.collect_list("node").alias("nodes"))
@@ -197,14 +224,14 @@ def keep_distinct(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without their near copies: of each group one row stays, that of the smallest doc_id (null last).
 
     Texts are near copies when the sets of their five-word runs (ASCII lower case, white space apart) have a Jaccard
-    similarity of at least ``similarity`` and share a band, as all but three of 10,000 such pairs do; groups are closed
+    similarity of at least ``similarity`` and close fingerprints, or a common band, as all but three of 10,000 such pairs have; groups are closed
     under it. Rows count one by one: an id that comes twice with unrelated texts loses neither, and copies without ids
     are reduced like others. Empty and null texts are copies of each other. Columns are those of ``docs``.
     """
-    mark = F.pandas_udf(_marks, "node bigint, bands array<bigint>")
+    mark = F.pandas_udf(_marks, "node bigint, fp bigint, bands array<bigint>")
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
     whole = saved(whole.withColumn("mark", mark(F.col("doc.text").cast("string"))), "marked")  # row numbers hold from here on
-    marked = whole.select("row", "mark.node", "mark.bands", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    marked = whole.select("row", "mark.node", "mark.fp", "mark.bands", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
     roots = similar_groups(marked).withColumnRenamed("node", "_node")
     rows = marked.select("row", "doc_id", F.xxhash64("text").alias("mark"), F.col("node").alias("_node"))
     rows = rows.join(roots, "_node", "left").withColumn("root", F.coalesce("root", "_node"))

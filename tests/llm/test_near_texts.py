@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline as cp
 from lectern.llm import near_texts as nt
+from lectern.llm.near_dedup import simhash
 
 
 def slow_set(text):
@@ -113,3 +114,15 @@ def test_overlaps_are_those_of_sets(monkeypatch):
     rng = np.random.default_rng(3)
     a, b = ([np.unique(rng.integers(0, 60, size=n)).astype("<u8") for n in sizes] for sizes in ((0, 5, 40, 90), (1, 30, 0)))
     assert nt.overlaps(a, b).tolist() == [[len(set(x) & set(y)) for y in b] for x in a]
+
+
+def test_fingerprints_find_close_copies(docs_of, monkeypatch):
+    """With bands that tell every text apart, copies within two bits are still found, and the fingerprint is op1's over the set."""
+    monkeypatch.setattr(nt, "_marks", lambda texts, made=nt._marks: made(texts).assign(bands=lambda d: [[n + i for i in range(nt.BANDS)] for n in d["node"]]))
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + ["end"])), (3, " ".join(changed(base, 1500, rng))), (4, "a b c"), (5, "A  b c")]
+    assert bin((nt.fingerprint(nt.shingles(rows[0][1])) ^ nt.fingerprint(nt.shingles(rows[1][1]))) & (1 << 64) - 1).count("1") <= nt.DISTANCE
+    assert sorted(r.doc_id for r in nt.keep_distinct(docs_of(rows)).collect()) == [1, 3, 4]
+    text = " ".join(f"v{i}" for i in range(80))
+    assert nt.fingerprint(nt.shingles(text)) & (1 << 64) - 1 == simhash(text, nt.WORDS)
