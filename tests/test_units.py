@@ -727,3 +727,27 @@ def test_memories_are_chosen_without_their_texts(spark):
     got = sorted((r.chat_id, r.memory_id, r.text, r.created_at) for r in out.collect())
     assert got == sorted([("a", "f1", "TEXT 11", 2000), *(("a", f"o{i}", f"text {i}", 1000 + i) for i in (10, 9, 8)), ("b", "x", "kept", 1), ("b", "y", "KEPT", 1), ("c", "f3", "w" * 1200, 2000)])
     assert "LeftSemi, BuildRight" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_texts_that_nfc_may_change_leave_the_jvm():
+    """Composed letters need no Python; marks, singletons and Hangul parts do, and nothing that NFC changes is left out."""
+    import re
+    import unicodedata
+
+    pattern = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: rf"\U{int(m[1], 16):08X}", X._unsettled()))
+    assert not pattern.search("plain äöüñé – “text” 漢字 가")
+    for changed in ("e\u0301", "\u212b", "\u1100\u1161", "\uac00\u11a8", "a\u0323\u0302", "\u09c7\u09be", "\U0001d15e"):
+        assert pattern.search(changed)
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(chr(rng.choice((rng.randrange(0x20, 0xD800), rng.randrange(0x300, 0x370), rng.randrange(0xE000, 0x2FFFF)))) for _ in range(4))
+        assert pattern.search(text) or unicodedata.normalize("NFC", text) == text
+
+
+def test_extracted_texts_are_handed_on_in_parts(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(files, "OUT_CHARS", 10)
+    batch = pd.DataFrame({"file_id": list("abcde"), "content": [b"1234567", b"1234567", b"", b"12345678901", b"x"]})
+    parts = list(files.per_file(files._plain, "plain_text")(iter([batch])))
+    assert [len(p) for p in parts] == [2, 2, 1] and "".join(t for p in parts for t in p["text"]) == "1234567" * 2 + "12345678901x"
