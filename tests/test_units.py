@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -777,3 +778,19 @@ def test_chunking_holds_few_documents_as_python_objects():
     spans, peak = _peak_mb(lambda: chunking.span_lists(pa.array(tokens * 4, pa.list_(pa.int32())).slice(1), 20, 5))
     assert spans.slice(0, 499).to_pylist() == [[{"start": a, "stop": b} for a, b in chunking.fold_spans(t or [], 20, 5)] for t in tokens[1:]]
     assert peak < 8
+
+
+def test_embedding_holds_vectors_in_one_buffer():
+    texts = [f"word{i} other{i % 7} Über" for i in range(3000)]
+    texts[1:3] = [None, ""]
+    model = embedding.HashedBag(256)
+    model(["warm"])
+    made, peak = _peak_mb(lambda: embedding.embed_texts(model, pa.array(texts)))
+    bag = np.zeros(256)
+    for token in ("word7", "other0", "über"):
+        code = zlib.crc32(token.encode())
+        bag[code % 256] += 1.0 if code & 0x80000000 else -1.0
+    assert np.allclose(made[7].as_py(), bag / np.linalg.norm(bag))
+    assert len(made) == 3000 and not any(made[1].as_py()) and made[1] == made[2]
+    assert peak < 10  # their floats are 3 MB
+    assert embedding.embed_texts(model, pa.array([], pa.string())).to_pylist() == []
