@@ -794,3 +794,18 @@ def test_embedding_holds_vectors_in_one_buffer():
     assert len(made) == 3000 and not any(made[1].as_py()) and made[1] == made[2]
     assert peak < 10  # their floats are 3 MB
     assert embedding.embed_texts(model, pa.array([], pa.string())).to_pylist() == []
+
+
+def test_valid_plain_text_stays_in_the_jvm_and_the_rest_is_read_in_one_pass(spark):
+    contents = {
+        "plain": ("text/plain", "Übër\r\n\x00 ok".encode()), "bad": ("text/plain", b"a\xff\xc3b\xed\xa0\x80c"), "none": ("text/plain", None), "empty": ("image/x", b""),
+        "xml": ("application/xml", b"<a>1</a>"), "html": ("text/html", b"<title>T</title><p>x</p>"), "json": ("application/json", b'{"a": 1}'), "csv": ("text/csv", b"a , b")}
+    df = spark.createDataFrame([(k, m, c and bytearray(c)) for k, (m, c) in contents.items()], "file_id string, mime string, content binary")
+    made = files.extract(df)
+    out = {r.file_id: (r.text, r.title, r.method, r.error) for r in made.collect()}
+    assert len(out) == made.count() == len(contents)
+    for name in ("plain", "bad", "none", "empty", "xml"):
+        assert out[name] == ((contents[name][1] or b"").decode("utf-8", "ignore"), None, "plain_text", None)
+    assert out["html"] == ("T\nx", "T", "html_text", None) and out["json"][0] == '{\n  "a": 1\n}' and out["csv"][0] == "a, b"
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
