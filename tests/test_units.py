@@ -146,6 +146,28 @@ def test_prefix_fold_and_salted_and_band_join(spark):
     assert got == sum(1 for k, p, _ in rows if (k == "hot" and 10 <= p <= 99) or (k == "b" and 0 <= p <= 30))
 
 
+@pytest.mark.parametrize("options", [{}, {"list_rows": 3}, {"broadcast_rows": 4, "list_rows": 2}, {"broadcast_rows": 1, "list_rows": 1}])
+def test_fan_join_against_brute_force(spark, options):
+    big = [(f"k{i % 3}", i) for i in range(40)] + [("alone", 99), (None, 98)]
+    small = [("k0", q, None if q % 4 else "x") for q in range(25)] + [("k1", 0, "y"), ("k1", 0, "y"), ("k9", 5, "z"), (None, 6, "z")]
+    got = spread.fan_join(spark.createDataFrame(big, "k string, n int"), spark.createDataFrame(small, "k string, q int, f string"), ["k"], ["n"], **options)
+    assert got.columns == ["k", "n", "q", "f"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((k, n, q, f)) for k, n in big for j, q, f in small if k is not None and k == j)
+    none = spread.fan_join(spark.createDataFrame(big, "k string, n int"), spark.createDataFrame([], "k string, q int"), ["k"], ["n"], **options)
+    assert none.count() == 0
+
+
+def test_scope_of_one_chat_is_made_in_many_tasks(spark):
+    chunks = spark.range(0, 4000, 1, 4).select(F.lit("chat").alias("chat_id"), F.concat(F.lit("f"), F.col("id") % 9).alias("file_id"), F.col("id").alias("chunk_id"))
+    q = spark.range(30).select(F.col("id").alias("query_id"), F.lit("chat").alias("chat_id"), F.lit(None).cast("array<string>").alias("file_ids"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = filters.scope_join(q, chunks).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in made) == 120_000 and max(r["count"] for r in made) <= 40_000
+
+
 def test_exact_quantiles_of_one_range_of_values(spark):
     """All values of a group in one range of magnitudes, narrowed part by part; ties, negatives and single values too."""
     rng = random.Random(6)
