@@ -168,6 +168,20 @@ def test_scope_of_one_chat_is_made_in_many_tasks(spark):
     assert sum(r["count"] for r in made) == 120_000 and max(r["count"] for r in made) <= 40_000
 
 
+def test_members_of_one_chat_are_made_in_many_tasks(spark):
+    links = spark.range(0, 4000, 1, 4).select(F.lit("chat").alias("chat_id"), F.concat(F.lit("f"), F.col("id")).alias("file_id"), F.col("id").alias("linked_ord"))
+    text = F.lit(None).cast("string")
+    turns = spark.range(30).select(F.col("id").alias("query_id"), F.lit("chat").alias("chat_id"), F.lit(None).cast("array<string>").alias("turn_doc_ids"),
+                                   text.alias("focus_document_id"), (F.col("id") % 2 == 0).alias("doc_pane_open"), text.alias("selection_file_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = filters.resolve_scope(turns, links)[1].groupBy(F.spark_partition_id(), "role").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {role: sum(r["count"] for r in made if r.role == role) for role in ("scope", "secondary")} == {"scope": 60_000, "secondary": 15 * 3999}
+    assert max(r["count"] for r in made) <= 20_000
+
+
 def test_exact_quantiles_of_one_range_of_values(spark):
     """All values of a group in one range of magnitudes, narrowed part by part; ties, negatives and single values too."""
     rng = random.Random(6)
