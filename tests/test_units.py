@@ -34,6 +34,20 @@ def test_normalize_text(spark, raw, want):
     assert one(spark, X.normalize_text(F.col("t")), t=raw) == want
 
 
+def test_blanks_of_every_kind_and_of_none(spark, monkeypatch):
+    """Runs and line ends of every blank, beside characters near them, as the plain patterns would have it; texts without any
+    are not searched for runs."""
+    near = [chr(ord(c) + d) for c in X.BLANKS for d in (-1, 0, 1)] + ["\x00", "\x7f", "é", "’", "—", "漢", "\U0001F600"]
+    texts = [f"a{c}b{c}{d}c{c}\nd{c}{c}\n\ne {c}" for c in near for d in (" ", "", "\u00a0")] + ["plain words", "", " ", "a\n\n b \n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    slow = F.regexp_replace("t", f"{X.BLANK}{X.BLANK}+|[{X.BLANK}&&[^ ]]", " ")
+    ends = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", r"\r\n?", "\n"), r"(?mdU)[^\S\n]+$", ""), r"\n{3,}", "\n\n")
+    rows = df.select("t", X.collapse_ws(F.col("t")).alias("got"), slow.alias("want"), X.normalize_text(F.col("t"), False).alias("norm"), X.strip(F.coalesce(ends, F.lit(""))).alias("ends")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and [r.norm for r in rows] == [r.ends for r in rows]
+    monkeypatch.setattr(X, "BLANK", "(")  # no pattern at all, so a text that meets it fails
+    assert df.filter("t = 'plain words'").select(X.collapse_ws(F.col("t")).alias("v")).first().v == "plain words"
+
+
 def test_strip_reasoning_and_titles(spark):
     assert one(spark, X.strip_reasoning(F.col("t")), t="a<THINK>x\ny</plan>b</think>c<plan>d") == "abc"
     assert one(spark, X.title(F.col("t")), t="  \n ") is None
