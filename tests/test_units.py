@@ -196,6 +196,15 @@ def test_members_of_one_chat_are_made_in_many_tasks(spark):
     assert max(r["count"] for r in made) <= 20_000
 
 
+def test_scan_patterns_are_found_once_a_text(spark):
+    texts = [(1, "find alpha-7 in Berlin reports"), (1, "another text of the same number"), (2, "  so  "), (3, None), (None, "unnamed question about Paris")]
+    q = spark.createDataFrame([(i, f"f{n}", t) for i, t in texts for n in range(6)] + [(2, "f0", "  so  ")], "query_id int, file_id string, text string")
+    got = scan.scan_patterns(q)
+    want = q.select("query_id", "file_id", F.posexplode(scan._patterns(F.col("text"), 6)).alias("pattern_no", "pattern"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert "regexp" not in got._jdf.queryExecution().executedPlan().toString()  # no text is searched beside its files
+
+
 def test_exact_quantiles_of_one_range_of_values(spark):
     """All values of a group in one range of magnitudes, narrowed part by part; ties, negatives and single values too."""
     rng = random.Random(6)
