@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import tracemalloc
 import zlib
 
@@ -205,6 +206,15 @@ def test_scan_patterns_are_found_once_a_text(spark):
     assert "regexp" not in got._jdf.queryExecution().executedPlan().toString()  # no text is searched beside its files
 
 
+def test_compare_windows_places_slices_without_their_texts(spark):
+    chunks = spark.createDataFrame([("f", n, f"words of chunk {n} " * 30, n, n) for n in range(9)], "file_id string, seq int, text string, page_start int, page_end int")
+    made = windows.compare_windows(spark.createDataFrame([("q", "f", 600)], "query_id string, file_id string, cap int"), chunks)
+    lines = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines) if " Window [" in line]
+    assert below and not any(re.search(r"\b(t|text)#\d+", line) for line in below)
+    assert [(r.seq_start, r.seq_end, r.page_start) for r in made.orderBy("seq_start").collect()] == [(0, 2, 0), (3, 5, 3), (6, 8, 6)]
+
+
 def test_exact_quantiles_of_one_range_of_values(spark):
     """All values of a group in one range of magnitudes, narrowed part by part; ties, negatives and single values too."""
     rng = random.Random(6)
